@@ -16,7 +16,7 @@ from pagelake.functions import half_up, keys, let
 from pagelake.functions import text as T
 from pagelake.operators.index import Hits
 from pagelake.operators.ranked import top_per_group
-from pagelake.sources.store import broadcast_if_small
+from pagelake.sources.store import broadcast_if_small, materialise
 
 
 def parse(queries: DataFrame, query: str = "query") -> DataFrame:
@@ -66,6 +66,25 @@ def _phrase_starts_somewhere(hits: Column, names: Column, phrase: Column) -> Col
     )
 
 
+def _query_weights(parsed: DataFrame, hits: Hits, cfg: Settings) -> DataFrame:
+    """(query_id, weights array<struct<df, term, idf>>), rarest term first."""
+    return (
+        _weighted(parsed, hits, cfg)
+        .groupBy("query_id")
+        .agg(F.array_sort(F.collect_list(F.struct("df", "term", "idf"))).alias("weights"))
+    )
+
+
+def _row_score(weights: Column, cfg: Settings) -> Column:
+    """BM25 of a document row that has hits, names, dl and avg_dl."""
+
+    def add(acc: Column, w: Column) -> Column:
+        tf = _lookup(F.col("hits"), F.col("names"), w["term"], "tf")
+        return acc + F.coalesce(term_weight(w["idf"], tf, F.col("dl"), F.col("avg_dl"), cfg), F.lit(0.0))
+
+    return half_up(F.aggregate(weights, F.lit(0.0), add))
+
+
 def match_all(
     parsed: DataFrame,
     hits: Hits,
@@ -79,9 +98,7 @@ def match_all(
     ``none_of`` one whose words must be absent. Both must be among the scanned terms.
     """
     per_query = (
-        _weighted(parsed, hits, cfg)
-        .groupBy("query_id")
-        .agg(F.array_sort(F.collect_list(F.struct("df", "term", "idf"))).alias("weights"))
+        _query_weights(parsed, hits, cfg)
         .withColumn("rarest", F.get("weights", F.lit(0))["term"])
         # a term found nowhere leaves nothing to match
         .filter(F.get("weights", F.lit(0))["df"] > 0)
@@ -99,16 +116,8 @@ def match_all(
         candidates = candidates.filter(_phrase_starts_somewhere(F.col("hits"), F.col("names"), F.col(phrase)))
     if none_of:
         candidates = candidates.filter(~F.arrays_overlap("names", F.col(none_of)))
-    scored = candidates.withColumn("avg_dl", hits.avg_dl).withColumn(
-        "score",
-        F.aggregate(
-            "weights",
-            F.lit(0.0),
-            lambda acc, w: acc
-            + term_weight(w["idf"], _lookup(F.col("hits"), F.col("names"), w["term"], "tf"), F.col("dl"), F.col("avg_dl"), cfg),
-        ),
-    )
-    return scored.select("query_id", "doc_id", half_up(F.col("score")).alias("score"))
+    scored = candidates.withColumn("avg_dl", hits.avg_dl)
+    return scored.select("query_id", "doc_id", _row_score(F.col("weights"), cfg).alias("score"))
 
 
 def match_any(parsed: DataFrame, hits: Hits, cfg: Settings = DEFAULT) -> DataFrame:
@@ -130,6 +139,64 @@ def match_any(parsed: DataFrame, hits: Hits, cfg: Settings = DEFAULT) -> DataFra
     return sums.select("query_id", "doc_id", "n_matched", half_up(F.col("score")).alias("score"))
 
 
+def top_any(
+    parsed: DataFrame,
+    hits: Hits,
+    k: int,
+    cfg: Settings = DEFAULT,
+    shard: Column | None = None,
+    n_shards: int = 1,
+    slack: int = 20,
+) -> DataFrame:
+    """First k documents of each query that have at least one of its terms; exact.
+
+    With ``shard`` (an expression over doc_id) the first k of each shard. Scoring all
+    documents that share a frequent word with a query would emit nearly all pairs.
+    A term adds at most idf * (k1 + 1), so the rarest term a document has bounds its
+    whole score. Documents with the rarest terms are scored first; their k-th score
+    then tells which frequent terms cannot lift a document into the list any more.
+    """
+    group = ["query_id"] + (["shard"] if shard is not None else [])
+    weights = materialise(
+        _query_weights(parsed, hits, cfg).withColumn("weights", F.filter("weights", lambda w: w["df"] > 0)), "weights"
+    )
+    rows = weights.select("query_id", F.posexplode("weights").alias("i", "w"), "weights").select(
+        "query_id",
+        "i",
+        F.col("w.term").alias("term"),
+        # documents found by the terms up to this one, and the best score from here on
+        F.aggregate(F.slice("weights", F.lit(1), F.col("i")), F.lit(0).cast("long"), lambda a, w: a + w["df"]).alias("before"),
+        F.aggregate(
+            F.slice("weights", F.col("i") + 1, F.size("weights")), F.lit(0.0), lambda a, w: a + w["idf"] * (cfg.bm25_k1 + 1)
+        ).alias("bound"),
+    )
+    rows = materialise(rows, "bounds")
+
+    def scored(terms: DataFrame) -> DataFrame:
+        """Each document once per query: at the rarest of its terms."""
+        named = hits.docs.withColumn("names", F.transform("hits", lambda h: h["term"]))
+        found = (
+            named.withColumn("term", F.explode("names"))
+            .join(broadcast_if_small(terms), "term")
+            .join(broadcast_if_small(weights), "query_id")
+            .filter(~F.exists(F.slice("weights", F.lit(1), F.col("i")), lambda w: F.array_contains("names", w["term"])))
+            .withColumn("avg_dl", hits.avg_dl)
+        )
+        present = F.size(F.filter("weights", lambda w: F.array_contains("names", w["term"]))).cast("long")
+        out = found.select("query_id", "doc_id", present.alias("n_matched"), _row_score(F.col("weights"), cfg).alias("score"))
+        return out if shard is None else out.withColumn("shard", shard)
+
+    seeds = rows.filter(F.col("before") < slack * k * n_shards).select("query_id", "i", "term")
+    kth = top_per_group(scored(seeds), group, best_first(), k, "doc_id").filter(F.col("rank") == k)
+    floor = kth.groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n"))
+    floor = materialise(floor.filter(F.col("n") == n_shards).select("query_id", "least"), "floor")
+    # bounds are compared with room for the rounding of scores
+    needed = rows.join(floor, "query_id", "left").filter(
+        F.col("least").isNull() | (F.col("bound") + 1e-5 >= F.col("least"))
+    )
+    return top_per_group(scored(needed.select("query_id", "i", "term")), group, best_first(), k, "doc_id")
+
+
 def best_first() -> list[Column]:
     return [F.desc("score"), F.asc("doc_id")]
 
@@ -144,16 +211,21 @@ def top_per_shard(matches: DataFrame, shard: Column, k: int) -> DataFrame:
     return top_per_group(matches.withColumn("shard", shard), ["query_id", "shard"], best_first(), k, "doc_id")
 
 
+def page_rows(tops: DataFrame, page: int, per_page: int = DEFAULT.per_page) -> DataFrame:
+    """One page out of ranked rows; page numbers start at 1."""
+    if page < 1 or per_page < 1:
+        raise ValueError("page and per_page start at 1")
+    return tops.filter((F.col("rank") > (page - 1) * per_page) & (F.col("rank") <= page * per_page))
+
+
 def merge_shards(shard_tops: DataFrame, k: int) -> DataFrame:
     """Merge the shard lists into one list per query."""
     return top(shard_tops.drop("rank", "shard"), k)
 
 
 def page_of(matches: DataFrame, page: int, per_page: int = DEFAULT.per_page) -> DataFrame:
-    """One result page per query; page numbers start at 1."""
-    if page < 1 or per_page < 1:
-        raise ValueError("page and per_page start at 1")
-    return top(matches, page * per_page).filter(F.col("rank") > (page - 1) * per_page)
+    """One result page per query."""
+    return page_rows(top(matches, max(page * per_page, 1)), page, per_page)
 
 
 def envelope(results: DataFrame, query: str, category: str = "all", page: int = 1) -> DataFrame:

@@ -103,17 +103,19 @@ def page_keys(spark, sf):
 
 
 def fetched_pages(spark, sf):
-    status = F.when(F.col("page_id") % 5 == 0, 404).otherwise(200)
+    """Addresses with a query string were moved; the others were fetched."""
+    status = F.when(F.col("url").contains("?"), 301).otherwise(200)
     return SRC.fetched(_pages(spark, sf).withColumn("status", status)).select("page_id", "url", *_long("status"))
 
 
 def _sitemaps(spark, sf):
+    """Sitemap texts of each host, split as sites do: at most 1000 page numbers per file."""
     entry = F.concat(F.lit("<url><loc> "), F.col("url"), F.lit(" </loc></url>"))
     parts = F.array_sort(F.collect_list(F.struct("page_id", entry.alias("e"))))
     xml = F.concat(
         F.lit("<urlset>"), F.array_join(F.transform(parts, lambda p: p["e"]), ""), F.lit("<url><loc>ftp://x/</loc></url></urlset>")
     )
-    return _pages(spark, sf).groupBy(urls.netloc(F.col("url")).alias("host")).agg(xml.alias("xml"))
+    return _pages(spark, sf).groupBy(urls.netloc(F.col("url")).alias("host"), F.floor(F.col("page_id") / 1000).alias("part")).agg(xml.alias("xml"))
 
 
 def sitemap_urls(spark, sf):
@@ -126,7 +128,8 @@ def sitemap_candidates(spark, sf):
 
 def sitemap_choice(spark, sf):
     """Hosts with an even name length have the first file, of the rest those divisible by 3 the second."""
-    maps = _sitemaps(spark, sf)
+    entry = F.concat(F.lit("<urlset><url><loc>"), F.min("url"), F.lit("</loc></url></urlset>"))
+    maps = _pages(spark, sf).groupBy(urls.netloc(F.col("url")).alias("host")).agg(entry.alias("xml"))
     n = F.length("host")
     site = F.concat(F.lit("http://"), F.col("host"))
     fetches = maps.select(
@@ -166,7 +169,7 @@ def _addresses(spark, sf):
         F.filter(H.elements(F.col("html")), lambda e: F.coalesce(e["src"], e["href"], F.lit("")) != ""),
         lambda e: F.coalesce(e["src"], e["href"]),
     )
-    return _enriched(spark, sf).select("page_id", "url", F.posexplode(F.concat(F.array("url"), seen)).alias("at", "address"))
+    return _enriched(spark, sf).select("page_id", "url", F.posexplode(F.concat(F.array("url"), seen)).alias("place", "address"))
 
 
 def url_flags(spark, sf):
@@ -174,7 +177,7 @@ def url_flags(spark, sf):
     host = urls.netloc(a)
     wide = replace(DEFAULT, trusted_domains=(*DEFAULT.trusted_domains, "hub3.example.org"))
     return _addresses(spark, sf).select(
-        "page_id", F.col("at").cast("long").alias("at"), "address",
+        "page_id", F.col("place").cast("long").alias("place"), "address",
         urls.is_trusted(host, wide).alias("trusted"),
         urls.is_tracker(host).alias("tracker"),
         urls.is_ad(a).alias("ad"),
@@ -186,14 +189,14 @@ def url_flags(spark, sf):
 
 
 def blocked_urls(spark, sf):
-    """Deny-list check of addresses that a third of the pages send to a sign-in host."""
-    target = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("https://accounts.google.com/?continue="), F.col("url"))).otherwise(F.col("url"))
+    """Deny-list check where https pages lead through a sign-in host."""
+    target = F.when(urls.scheme(F.col("url")) == "https", F.concat(F.lit("https://accounts.google.com/?continue="), F.col("url"))).otherwise(F.col("url"))
     return _pages(spark, sf).select("page_id", target.alias("url")).withColumn("blocked", urls.is_sign_in(F.col("url")))
 
 
 def resolve_links(spark, sf):
-    return _addresses(spark, sf).filter("at > 0").select(
-        "page_id", F.col("at").cast("long").alias("at"), urls.resolve(F.col("url"), F.col("address")).alias("resolved")
+    return _addresses(spark, sf).filter("place > 0").select(
+        "page_id", F.col("place").cast("long").alias("place"), urls.resolve(F.col("url"), F.col("address")).alias("resolved")
     )
 
 
@@ -241,9 +244,9 @@ def safety_score(spark, sf):
 
 
 def safety_trusted(spark, sf):
-    """Same pages with every .net site and one response header trusted."""
+    """Same pages with every .net site trusted and strict transport on https pages."""
     cfg = replace(DEFAULT, trusted_domains=(*DEFAULT.trusted_domains, "example.net"))
-    headers = F.when(F.col("page_id") % 2 == 0, F.create_map(F.lit("Strict-Transport-Security"), F.lit("max-age=1"))).otherwise(F.create_map(F.lit("content-type"), F.lit("text/html")))
+    headers = F.when(urls.scheme(F.col("url")) == "https", F.create_map(F.lit("Strict-Transport-Security"), F.lit("max-age=1"))).otherwise(F.create_map(F.lit("content-type"), F.lit("text/html")))
     done = analyze(_enriched(spark, sf).withColumn("headers", headers), cfg)
     return done.select("page_id", half_up(F.col("score")).alias("score"), F.array_join("threats", ",").alias("threats"), "sandbox_required")
 
@@ -309,8 +312,8 @@ def link_share(spark, sf):
 
 
 def edges_ignore(spark, sf):
-    """Edges of all versions in the crawl log that are not stored yet."""
-    stored = L.edges(_enriched(spark, sf)).select("from_url", "to_url")
+    """Edges of all versions in the crawl log; those of https pages are stored already."""
+    stored = L.edges(_pages(spark, sf).filter(urls.scheme(F.col("url")) == "https"), include_boilerplate=True)
     found = L.edges(_crawl_log(spark, sf), include_boilerplate=True)
     return L.distinct_edges(found, stored)
 
@@ -375,7 +378,8 @@ def upsert_merge(spark, sf):
 
 def insert_valid(spark, sf):
     """Rows without an address are skipped when keys are added."""
-    gaps = F.when(F.col("page_id") % 4 == 0, F.lit(None).cast("string")).when(F.col("page_id") % 4 == 1, F.lit("")).otherwise(F.col("url"))
+    url = F.col("url")
+    gaps = F.when(url.contains("?"), F.lit(None).cast("string")).when(url.contains("#"), F.lit("")).otherwise(url)
     return ST.with_keys(_pages(spark, sf).withColumn("url", gaps)).select("page_id", "url_hash", *_long("shard"))
 
 
@@ -408,20 +412,25 @@ def document_lengths(spark, sf):
     return I.document_lengths(_documents(spark, sf), "doc_id", ["text"])
 
 
-def _matches(spark, sf, match):
-    return P.search(_queries(spark, sf), _documents(spark, sf), "doc_id", ["text"], match=match)
+def _matches(spark, sf):
+    return P.search(_queries(spark, sf), _documents(spark, sf), "doc_id", ["text"])
+
+
+def _any_hits(spark, sf):
+    parsed = S.parse(_queries(spark, sf))
+    return parsed, I.scan_hits(_documents(spark, sf), "doc_id", I.tokens_of(["text"]), S.terms_of(parsed))
 
 
 def search_bm25(spark, sf):
-    return S.top(_matches(spark, sf, "all"), TOP_K)
+    return S.top(_matches(spark, sf), TOP_K)
 
 
 def search_any(spark, sf):
-    return S.top(_matches(spark, sf, "any"), TOP_K).select("query_id", "doc_id", "n_matched", "score", "rank")
+    return S.top_any(*_any_hits(spark, sf), TOP_K).select("query_id", "doc_id", "n_matched", "score", "rank")
 
 
 def search_all_matches(spark, sf):
-    return _matches(spark, sf, "all")
+    return _matches(spark, sf)
 
 
 def search_phrase(spark, sf):
@@ -445,7 +454,7 @@ def search_boolean(spark, sf):
 
 def _shard_tops(spark, sf):
     shard = keys.shard_of_url(F.col("doc_id").cast("string")).cast("long")
-    return S.top_per_shard(_matches(spark, sf, "any").drop("n_matched"), shard, TOP_K)
+    return S.top_any(*_any_hits(spark, sf), TOP_K, shard=shard, n_shards=DEFAULT.shard_count).drop("n_matched")
 
 
 def search_shard_topk(spark, sf):
@@ -458,7 +467,7 @@ def search_merged(spark, sf):
 
 def search_page(spark, sf):
     """Second result page."""
-    return S.page_of(_matches(spark, sf, "any").drop("n_matched"), 2, TOP_K)
+    return S.page_rows(S.top_any(*_any_hits(spark, sf), 2 * TOP_K).drop("n_matched"), 2, TOP_K)
 
 
 def search_envelope(spark, sf):
@@ -486,7 +495,7 @@ def search_folded(spark, sf):
 def snippets(spark, sf):
     fields = ST.materialise(_page_fields(spark, sf).select("page_id", "url", "title"), "titles")
     queries = _queries(spark, sf)
-    tops = S.top(P.search(queries, fields, "page_id", ["title"], match="any").drop("n_matched"), TOP_K)
+    tops = P.search_top(queries, fields, "page_id", ["title"], TOP_K, match="any")
     return P.results(tops, queries, fields, "page_id").select("query_id", "doc_id", "rank", "url", "excerpt")
 
 
@@ -503,7 +512,7 @@ def suggest_prefix(spark, sf):
 # --- ranking ------------------------------------------------------------------
 def _document_hits(spark, sf):
     docs = _documents(spark, sf)
-    tops = ST.materialise(S.top(_matches(spark, sf, "any").drop("n_matched"), TOP_K), "tops")
+    tops = ST.materialise(S.top_any(*_any_hits(spark, sf), TOP_K).drop("n_matched"), "tops")
     return ST.broadcast_if_small(tops).join(docs.select("doc_id", F.col("text").alias("content")), "doc_id")
 
 

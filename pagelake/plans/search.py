@@ -29,6 +29,17 @@ def search(
     return S.match_all(parsed, hits, cfg) if match == "all" else S.match_any(parsed, hits, cfg)
 
 
+def search_top(
+    queries: DataFrame, docs: DataFrame, doc: str, fields: list[str], k: int, cfg: Settings = DEFAULT, match: str = "all"
+) -> DataFrame:
+    """(query_id, doc_id, score, rank): the first k documents of each query."""
+    if match == "all":
+        return S.top(search(queries, docs, doc, fields, cfg), k)
+    parsed = S.parse(queries)
+    hits = I.scan_hits(docs, doc, I.tokens_of(fields), S.terms_of(parsed))
+    return S.top_any(parsed, hits, k, cfg).drop("n_matched")
+
+
 def results(tops: DataFrame, queries: DataFrame, pages: DataFrame, doc: str, cfg: Settings = DEFAULT) -> DataFrame:
     """Titles, addresses and excerpts of result lists. ``pages``: (doc, url, title)."""
     parsed = S.parse(queries).select("query_id", "terms")
@@ -54,8 +65,7 @@ def ranked_search(
     ``pages``: (doc, url, title, content, crawled_at, security_score).
     """
     k = k or cfg.per_page
-    matches = search(queries, pages, doc, ["title", "content"], cfg, match)
-    tops = materialise(S.top(matches, k), "tops")
+    tops = materialise(search_top(queries, pages, doc, ["title", "content"], k, cfg, match), "tops")
     joined = broadcast_if_small(tops).join(pages.withColumnRenamed(doc, "doc_id"), "doc_id")
     corpus = R.corpus_text(joined.select("query_id", "doc_id", "title", "content"))
     similarity = R.tfidf_cosine(corpus, queries, cfg)
