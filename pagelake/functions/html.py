@@ -11,6 +11,7 @@ import html as _html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from pagelake.functions import let
 
@@ -46,7 +47,7 @@ def decode_entities(text: Column) -> Column:
     return F.when(text.contains("&"), out).otherwise(text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _unescape(text: pd.Series) -> pd.Series:
     return text.map(_html.unescape, na_action="ignore")
 

@@ -51,8 +51,8 @@ def stem_vocabulary(terms: DataFrame) -> DataFrame:
 
 
 def stem_postings(post: DataFrame, doc: str) -> DataFrame:
-    """Postings by stem. The vocabulary is broadcast while it is small."""
-    vocabulary = broadcast_if_small(stem_vocabulary(post))
+    """Postings by stem. The vocabulary is stemmed once and broadcast while it is small."""
+    vocabulary = broadcast_if_small(materialise(stem_vocabulary(post), "vocabulary"))
     stemmed = post.join(vocabulary, "term").groupBy(doc, "field", "stem")
     return stemmed.agg(
         F.sum("tf").alias("tf"), F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions")

@@ -12,11 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelake.config import DEFAULT, Settings
-from pagelake.functions import half_up, keys, let
+from pagelake.functions import explode_rows, half_up, keys, let
 from pagelake.functions import text as T
 from pagelake.operators.index import Hits
 from pagelake.operators.ranked import top_per_group
-from pagelake.sources.store import broadcast_if_small, materialise
+from pagelake.sources.store import broadcast_if_small, is_small, materialise
 
 
 def parse(queries: DataFrame, query: str = "query") -> DataFrame:
@@ -110,7 +110,7 @@ def match_all(
         hits.docs.withColumn("names", F.transform("hits", lambda h: h["term"]))
         .withColumn("rarest", F.explode("names"))
         .join(broadcast_if_small(per_query), "rarest")
-        .filter(F.forall("weights", lambda w: F.array_contains("names", w["term"])))
+        .filter(F.size(F.array_except(F.transform("weights", lambda w: w["term"]), "names")) == 0)
     )
     if phrase:
         candidates = candidates.filter(_phrase_starts_somewhere(F.col("hits"), F.col("names"), F.col(phrase)))
@@ -121,12 +121,14 @@ def match_all(
 
 
 def match_any(parsed: DataFrame, hits: Hits, cfg: Settings = DEFAULT) -> DataFrame:
-    """(query_id, doc_id, n_matched, score): documents with at least one term.
+    """(query_id, doc_id, n_matched, score): documents with at least one term."""
+    weights = _weighted(parsed, hits, cfg).filter("df > 0").select("query_id", "term", "idf")
+    return _score_all(hits, broadcast_if_small(weights), cfg)
 
-    Documents are partitioned once; the sums per (query, document) then need no
-    further shuffle.
-    """
-    weights = broadcast_if_small(_weighted(parsed, hits, cfg).filter("df > 0").select("query_id", "term", "idf"))
+
+def _score_all(hits: Hits, weights: DataFrame, cfg: Settings) -> DataFrame:
+    """Documents are partitioned once; the sums per (query, document) then need no
+    further shuffle."""
     rows = (
         hits.docs.repartition("doc_id")
         .select("doc_id", "dl", F.explode("hits").alias("h"))
@@ -134,6 +136,10 @@ def match_any(parsed: DataFrame, hits: Hits, cfg: Settings = DEFAULT) -> DataFra
         .join(weights, "term")
         .withColumn("avg_dl", hits.avg_dl)
     )
+    return _sums(rows, cfg)
+
+
+def _sums(rows: DataFrame, cfg: Settings) -> DataFrame:
     weight = term_weight(F.col("idf"), F.col("tf"), F.col("dl"), F.col("avg_dl"), cfg)
     sums = rows.groupBy("doc_id", "query_id").agg(F.count("*").alias("n_matched"), F.sum(weight).alias("score"))
     return sums.select("query_id", "doc_id", "n_matched", half_up(F.col("score")).alias("score"))
@@ -147,46 +153,61 @@ def top_any(
     shard: Column | None = None,
     n_shards: int = 1,
     slack: int = 20,
+    plain_rows: int = 50_000_000,
 ) -> DataFrame:
     """First k documents of each query that have at least one of its terms; exact.
 
-    With ``shard`` (an expression over doc_id) the first k of each shard. Scoring all
-    documents that share a frequent word with a query would emit nearly all pairs.
-    A term adds at most idf * (k1 + 1), so the rarest term a document has bounds its
+    With ``shard`` (an expression over doc_id) the first k of each shard. Up to
+    ``plain_rows`` matches of a term and a document are scored directly. Beyond that,
+    scoring all documents that share a frequent word with a query would emit nearly all
+    pairs. A term adds at most idf * (k1 + 1), so the rarest term a document has bounds its
     whole score. Documents with the rarest terms are scored first; their k-th score
     then tells which frequent terms cannot lift a document into the list any more.
     """
     group = ["query_id"] + (["shard"] if shard is not None else [])
-    weights = materialise(
-        _query_weights(parsed, hits, cfg).withColumn("weights", F.filter("weights", lambda w: w["df"] > 0)), "weights"
-    )
+    weights = _query_weights(parsed, hits, cfg).withColumn("weights", F.filter("weights", lambda w: w["df"] > 0))
     rows = weights.select("query_id", F.posexplode("weights").alias("i", "w"), "weights").select(
         "query_id",
-        "i",
+        F.col("w.df").alias("df"),
         F.col("w.term").alias("term"),
-        # documents found by the terms up to this one, and the best score from here on
+        F.col("w.idf").alias("idf"),
+        F.transform(F.slice("weights", F.lit(1), F.col("i")), lambda w: w["term"]).alias("rarer"),
+        F.transform("weights", lambda w: w["term"]).alias("all_terms"),
+        # documents found by the rarer terms, and the best score from this term on
         F.aggregate(F.slice("weights", F.lit(1), F.col("i")), F.lit(0).cast("long"), lambda a, w: a + w["df"]).alias("before"),
         F.aggregate(
             F.slice("weights", F.col("i") + 1, F.size("weights")), F.lit(0.0), lambda a, w: a + w["idf"] * (cfg.bm25_k1 + 1)
         ).alias("bound"),
     )
     rows = materialise(rows, "bounds")
+    # one check covers the subsets joined below
+    shrink = F.broadcast if is_small(rows) else (lambda df: df)
+    of_query = shrink(rows.select("query_id", "term", "idf"))
+    located = (lambda df: df) if shard is None else (lambda df: df.withColumn("shard", shard))
+    if (rows.agg(F.sum("df")).first()[0] or 0) <= plain_rows:
+        return top_per_group(located(_score_all(hits, of_query, cfg)), group, best_first(), k, "doc_id")
+    # partitioned once by document: the sums per (query, document) need no shuffle
+    docs = hits.docs.repartition("doc_id").select(
+        "doc_id", "dl", F.transform("hits", lambda h: h["term"]).alias("names"), F.transform("hits", lambda h: h["tf"]).alias("tfs")
+    )
 
     def scored(terms: DataFrame) -> DataFrame:
-        """Each document once per query: at the rarest of its terms."""
-        named = hits.docs.withColumn("names", F.transform("hits", lambda h: h["term"]))
+        """Score documents that hold one of the (query_id, term) pairs."""
         found = (
-            named.withColumn("term", F.explode("names"))
-            .join(broadcast_if_small(terms), "term")
-            .join(broadcast_if_small(weights), "query_id")
-            .filter(~F.exists(F.slice("weights", F.lit(1), F.col("i")), lambda w: F.array_contains("names", w["term"])))
-            .withColumn("avg_dl", hits.avg_dl)
+            docs.withColumn("term", F.explode("names"))
+            .join(shrink(terms.select("query_id", "term", "rarer", "all_terms")), "term")
+            # a document counts once per query: at the rarest of its terms
+            .filter(~F.arrays_overlap("names", "rarer"))
+        )
+        shared = F.array_intersect("names", "all_terms")
+        each = explode_rows(found, ["query_id", "doc_id", "dl", "names", "tfs"], shared, "term")
+        matched = each.select(
+            "query_id", "doc_id", "dl", "term", F.get("tfs", F.array_position("names", F.col("term")).cast("int") - 1).alias("tf")
         )
-        present = F.size(F.filter("weights", lambda w: F.array_contains("names", w["term"]))).cast("long")
-        out = found.select("query_id", "doc_id", present.alias("n_matched"), _row_score(F.col("weights"), cfg).alias("score"))
-        return out if shard is None else out.withColumn("shard", shard)
+        weighted = matched.join(of_query, ["query_id", "term"]).withColumn("avg_dl", hits.avg_dl)
+        return located(_sums(weighted, cfg))
 
-    seeds = rows.filter(F.col("before") < slack * k * n_shards).select("query_id", "i", "term")
+    seeds = rows.filter(F.col("before") < slack * k * n_shards)
     kth = top_per_group(scored(seeds), group, best_first(), k, "doc_id").filter(F.col("rank") == k)
     floor = kth.groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n"))
     floor = materialise(floor.filter(F.col("n") == n_shards).select("query_id", "least"), "floor")
@@ -194,7 +215,7 @@ def top_any(
     needed = rows.join(floor, "query_id", "left").filter(
         F.col("least").isNull() | (F.col("bound") + 1e-5 >= F.col("least"))
     )
-    return top_per_group(scored(needed.select("query_id", "i", "term")), group, best_first(), k, "doc_id")
+    return top_per_group(scored(needed), group, best_first(), k, "doc_id")
 
 
 def best_first() -> list[Column]:

@@ -18,6 +18,7 @@ from pagelake.functions import keys, urls
 from pagelake.operators import links as L
 from pagelake.operators.upsert import replace_upsert
 from pagelake.plans.crawl import analysed_pages, stored_pages
+from pagelake.sources.pages import spread
 from pagelake.sources.store import write_pages
 
 
@@ -35,7 +36,7 @@ def ingest(
     """Analyse, sanitise and store pages as they arrive."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        rows = stored_pages(analysed_pages(batch, cfg), cfg)
+        rows = stored_pages(analysed_pages(spread(batch, "url"), cfg), cfg)
         write_pages(rows.drop("out_links"), f"{store}/epoch={epoch}", cfg, mode="overwrite")
 
     return _start(pages, write, checkpoint, interval)
@@ -98,7 +99,7 @@ def grow_frontier(
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        links = L.edges(analysed_pages(batch, cfg), "clean_html")
+        links = L.edges(analysed_pages(spread(batch, "url"), cfg), "clean_html")
         found = links.select(F.col("to_url").alias("url")).distinct()
         seen = batch.select("url")
         if epoch > 0:
