@@ -11,71 +11,78 @@ from pagelake.config import DEFAULT, Settings
 from pagelake.functions import half_up, inline_rows
 from pagelake.functions import text as T
 from pagelake.operators.ranked import top_per_group
-from pagelake.sources.store import materialise
+from pagelake.sources.store import broadcast_if_small, materialise
 
 FEATURES = ("similarity", "share", "freshness", "safety")
 
 
-def corpus_text(hits: DataFrame) -> DataFrame:
-    """Text to compare with the query: content, or titles where a query's hits have none."""
-    any_content = F.max(F.coalesce(F.col("content"), F.lit("")) != "")
-    chosen = hits.groupBy("query_id").agg(any_content.alias("_has_content"))
-    return (
-        hits.join(chosen, "query_id")
-        .withColumn(
-            "corpus",
-            F.coalesce(F.when(F.col("_has_content"), F.col("content")).otherwise(F.col("title")), F.lit("")),
-        )
-        .drop("_has_content")
-    )
-
-
 def _ranking_tokens(text: Column) -> Column:
     words = F.regexp_extract_all(F.lower(text), F.lit(T.KEYWORD_TOKEN % 2), F.lit(0))
     return T.without_stop_words(words, T.stop_words(("english",)))
 
 
+def _counted(text: Column, field: str) -> Column:
+    runs = T.term_runs(_ranking_tokens(F.coalesce(text, F.lit(""))))
+    return F.transform(
+        runs, lambda r: F.struct(F.lit(field).alias("field"), r["term"].alias("term"), r["tf"].alias("tf"))
+    )
+
+
 def tfidf_cosine(hits: DataFrame, queries: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     """(query_id, doc_id, similarity) of each hit with its query.
 
-    ``hits``: (query_id, doc_id, corpus); ``queries``: (query_id, query). The query is
-    one more document of its own corpus. Vectors stay as (query, document, term, tf)
-    rows; each document counts its terms in place.
+    ``hits``: (query_id, doc_id, title, content); ``queries``: (query_id, query). The
+    query is one more document of its own corpus. Contents are compared, or titles
+    where a query's hits have no content at all. Vectors stay as (query, document,
+    term, tf) rows: texts are read once, and each document counts its terms in place.
     """
-    query_rows = queries.select("query_id", F.lit(None).cast("long").alias("doc_id"), F.col("query").alias("corpus"))
-    both = hits.select("query_id", F.col("doc_id").cast("long"), "corpus").unionByName(
-        query_rows.join(hits.select("query_id").distinct(), "query_id", "left_semi")
+    filled = F.coalesce(F.col("content"), F.lit("")) != ""
+    # one row stands for the document itself, so hits without terms are kept
+    itself = F.array(F.struct(F.lit("itself").alias("field"), F.lit("").alias("term"), filled.cast("long").alias("tf")))
+    parts = F.concat(itself, _counted(F.col("content"), "content"), _counted(F.col("title"), "title"))
+    doc_rows = inline_rows(hits, ["query_id", F.col("doc_id").cast("long").alias("doc_id")], parts, "field")
+    query_rows = inline_rows(
+        queries, ["query_id", F.lit(None).cast("long").alias("doc_id")], _counted(F.col("query"), "query"), "field"
     )
-    runs = T.term_runs(_ranking_tokens(F.col("corpus")))
-    counted = F.transform(runs, lambda r: F.struct(r["term"].alias("term"), r["tf"].alias("tf")))
-    tf = materialise(inline_rows(both, ["query_id", "doc_id"], counted, "term"), "tfidf")
-    vocabulary = tf.groupBy("query_id", "term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
-    kept = top_per_group(vocabulary, ["query_id"], [F.desc("total"), F.asc("term")], cfg.max_vocabulary, "term")
-    sizes = both.groupBy("query_id").agg(F.count("*").alias("n"))
-    weights = kept.join(sizes, "query_id").select(
-        "query_id", "term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")
+    tf = materialise(doc_rows.unionByName(query_rows), "tfidf")
+
+    docs = tf.filter("field = 'itself'").select("query_id", "doc_id", "tf")
+    per_query = docs.groupBy("query_id").agg(
+        (F.count("*") + 1).alias("n"),
+        F.when(F.max("tf") > 0, F.lit("content")).otherwise(F.lit("title")).alias("compared"),
     )
-    vectors = tf.join(weights, ["query_id", "term"]).select(
-        "query_id", "doc_id", "term", (F.col("tf") * F.col("idf")).alias("w")
+    used = tf.join(broadcast_if_small(per_query), "query_id").filter((F.col("field") == "query") | (F.col("field") == F.col("compared")))
+    vocabulary = materialise(
+        used.groupBy("query_id", "term", "n").agg(
+            F.sum("tf").alias("total"),
+            F.count("*").alias("df"),
+            F.coalesce(F.max(F.when(F.col("field") == "query", F.col("tf"))), F.lit(0)).alias("query_tf"),
+        ),
+        "vocabulary",
     )
-    query_vector = vectors.filter(F.col("doc_id").isNull()).select("query_id", "term", F.col("w").alias("qw"))
-    doc_vectors = vectors.filter(F.col("doc_id").isNotNull())
-    query_norm = query_vector.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
+    largest = vocabulary.groupBy("query_id").count().agg(F.max("count")).first()[0] or 0
+    if largest > cfg.max_vocabulary:
+        vocabulary = top_per_group(
+            vocabulary, ["query_id"], [F.desc("total"), F.asc("term")], cfg.max_vocabulary, "term"
+        )
+    idf = F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1
+    weights = vocabulary.select("query_id", "term", idf.alias("idf"), (F.col("query_tf") * idf).alias("qw"))
+    query_norm = weights.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
+    w = F.col("tf") * F.col("idf")
     dots = (
-        doc_vectors.join(query_vector, ["query_id", "term"], "left")
+        used.filter("field <> 'query'")
+        .select("query_id", "doc_id", "term", "tf")
+        .join(weights, ["query_id", "term"])
         .groupBy("query_id", "doc_id")
-        .agg(
-            F.sum(F.col("w") * F.coalesce("qw", F.lit(0.0))).alias("dot"),
-            F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn"),
-        )
-        .join(query_norm, "query_id", "left")
+        .agg(F.sum(w * F.col("qw")).alias("dot"), F.sqrt(F.sum(w * w)).alias("dn"))
+        .join(query_norm, "query_id")
     )
+    length = F.col("dn") * F.col("qn")
     similarity = dots.select(
-        "query_id", "doc_id", F.coalesce(F.col("dot") / (F.col("dn") * F.col("qn")), F.lit(0.0)).alias("similarity")
+        "query_id", "doc_id", F.when(length > 0, F.col("dot") / length).otherwise(F.lit(0.0)).alias("similarity")
     )
-    # hits without a single term have similarity 0
     return (
-        hits.select("query_id", F.col("doc_id").cast("long"))
+        docs.select("query_id", "doc_id")
         .join(similarity, ["query_id", "doc_id"], "left")
         .select("query_id", "doc_id", F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
     )
@@ -94,7 +101,8 @@ def freshness(crawled_at: Column, as_of: Column, cfg: Settings = DEFAULT) -> Col
     micros = F.unix_micros(as_of) - F.unix_micros(crawled_at)
     days = F.floor(micros / F.lit(86_400_000_000))
     fresh = F.greatest(F.lit(cfg.min_freshness), F.lit(1.0) - days / F.lit(cfg.freshness_days))
-    return F.coalesce(fresh, F.lit(1.0))
+    # greatest() skips nulls, so a missing date is tested on its own
+    return F.when(days.isNull(), F.lit(1.0)).otherwise(fresh)
 
 
 def composite(similarity: Column, share: Column, fresh: Column, safety: Column, cfg: Settings = DEFAULT) -> Column:
@@ -134,7 +142,8 @@ def assemble(df: DataFrame) -> DataFrame:
 def train_ranker(labelled: DataFrame, label: str, cfg: Settings = DEFAULT) -> RandomForestRegressionModel:
     """Forest over (similarity, share, freshness, safety)."""
     forest = RandomForestRegressor(
-        featuresCol="features", labelCol=label, numTrees=cfg.forest_trees, seed=cfg.forest_seed
+        featuresCol="features", labelCol=label, numTrees=cfg.forest_trees, seed=cfg.forest_seed,
+        featureSubsetStrategy="all",
     )
     return forest.fit(assemble(labelled))
 

@@ -517,8 +517,7 @@ def _document_hits(spark, sf):
 
 
 def tfidf_cosine(spark, sf):
-    corpus = R.corpus_text(_document_hits(spark, sf).withColumn("title", F.lit("")))
-    out = R.tfidf_cosine(corpus, _queries(spark, sf))
+    out = R.tfidf_cosine(_document_hits(spark, sf).withColumn("title", F.lit("")), _queries(spark, sf))
     return out.select("query_id", "doc_id", half_up(F.col("similarity")).alias("similarity"))
 
 

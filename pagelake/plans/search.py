@@ -67,8 +67,7 @@ def ranked_search(
     k = k or cfg.per_page
     tops = materialise(search_top(queries, pages, doc, ["title", "content"], k, cfg, match), "tops")
     joined = broadcast_if_small(tops).join(pages.withColumnRenamed(doc, "doc_id"), "doc_id")
-    corpus = R.corpus_text(joined.select("query_id", "doc_id", "title", "content"))
-    similarity = R.tfidf_cosine(corpus, queries, cfg)
+    similarity = R.tfidf_cosine(joined.select("query_id", "doc_id", "title", "content"), queries, cfg)
     hits = joined.join(similarity, ["query_id", "doc_id"]).select(
         "query_id", "doc_id", "url", "title", "similarity", "crawled_at",
         F.col("security_score").alias("safety"), F.col("rank").alias("input_rank"),
