@@ -101,9 +101,8 @@ def _unquote(value: Column) -> Column:
 
 
 def attribute_of(names: Column, values: Column, name: str) -> Column:
-    """Decoded value of an attribute; null when absent, '' when bare."""
-    at = F.array_position(names, F.lit(name)).cast("int")
-    return F.when(at > 0, decode_entities(_unquote(F.get(values, at - 1))))
+    """Value of an attribute; null when absent, '' when bare."""
+    return F.get(values, F.array_position(names, F.lit(name)).cast("int") - 1)
 
 
 def element(token: Column, pos: Column) -> Column:
@@ -111,7 +110,8 @@ def element(token: Column, pos: Column) -> Column:
 
     def build(open_tag: Column) -> Column:
         names = F.regexp_extract_all(F.lower(open_tag), F.lit(ATTRIBUTE), F.lit(1))
-        values = F.regexp_extract_all(open_tag, F.lit(ATTRIBUTE), F.lit(2))
+        quoted = F.regexp_extract_all(open_tag, F.lit(ATTRIBUTE), F.lit(2))
+        values = F.transform(quoted, lambda v: let(_unquote(v), decode_entities))
         pair = F.struct(names.alias("names"), values.alias("values"))
         return let(
             pair,

@@ -112,8 +112,7 @@ def _merge_path(base_path: Column, path: Column) -> Column:
     return F.when(plain, path).otherwise(let(segments, _remove_dots))
 
 
-def resolve(base: Column, href: Column) -> Column:
-    """Address of a link ``href`` found on the page ``base``."""
+def _resolve(base: Column, parts: Column, href: Column) -> Column:
     clean = F.regexp_replace(F.regexp_replace(href, r"[\t\r\n]", ""), r"^[\x00-\x20]+", "")
 
     def joined(b: Column, h: Column) -> Column:
@@ -135,4 +134,14 @@ def resolve(base: Column, href: Column) -> Column:
             )
         )
 
-    return let(_split(base), lambda b: let(_split(clean), lambda h: joined(b, h)))
+    return let(_split(clean), lambda h: joined(parts, h))
+
+
+def resolve(base: Column, href: Column) -> Column:
+    """Address of a link ``href`` found on the page ``base``."""
+    return let(_split(base), lambda parts: _resolve(base, parts, href))
+
+
+def resolve_all(base: Column, hrefs: Column) -> Column:
+    """Addresses of an array of links; the page address is taken apart once."""
+    return let(_split(base), lambda parts: F.transform(hrefs, lambda h: _resolve(base, parts, h)))

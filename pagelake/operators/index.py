@@ -73,8 +73,8 @@ class Hits:
 
 
 def _document_frequency(docs: DataFrame) -> DataFrame:
-    terms = docs.select(F.explode(F.transform("hits", lambda h: h["term"])).alias("term"))
-    return terms.groupBy("term").agg(F.count("*").alias("df"))
+    terms = docs.select(F.explode("hits.term").alias("term"))
+    return materialise(terms.groupBy("term").agg(F.count("*").alias("df")), "df")
 
 
 def scan_hits(
@@ -115,14 +115,15 @@ def scan_hits(
 def write_index(docs: DataFrame, doc: str, fields: list[str], path: str) -> None:
     """Store postings and corpus statistics.
 
-    Postings are range-partitioned and sorted by (term, document): a search reads the
-    row groups of its terms only, and a term found everywhere spans many files.
+    Each file is sorted by (term, document), so a search reads the row groups of its
+    terms only. The rebalance hint cuts the postings of a term found everywhere into
+    many tasks by size, without a sampling pass over the texts.
     """
     combined = docs.select(F.col(doc).alias("doc_id"), tokens_of(fields).alias("_tokens"))
     length = F.size("_tokens").cast("long").alias("dl")
     rows = inline_rows(combined, ["doc_id", length], T.term_runs(F.col("_tokens")), "term")
     (
-        rows.repartitionByRange("term", "doc_id")
+        rows.hint("rebalance", F.col("term"))
         .sortWithinPartitions("term", "doc_id")
         .write.option("compression", "zstd")
         .parquet(f"{path}/postings")

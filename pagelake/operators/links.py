@@ -24,9 +24,7 @@ def hrefs(html: Column, include_boilerplate: bool = False) -> Column:
 
 def outgoing(url: Column, html: Column, include_boilerplate: bool = False) -> Column:
     """Distinct absolute http(s) targets of one page, first appearance first."""
-    absolute = F.transform(
-        F.array_distinct(hrefs(html, include_boilerplate)), lambda h: urls.resolve(url, h)
-    )
+    absolute = urls.resolve_all(url, F.array_distinct(hrefs(html, include_boilerplate)))
     return F.array_distinct(F.filter(absolute, urls.is_web))
 
 

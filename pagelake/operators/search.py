@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelake.config import DEFAULT, Settings
-from pagelake.functions import explode_rows, half_up, keys, let
+from pagelake.functions import explode_rows, half_up, let
 from pagelake.functions import text as T
 from pagelake.operators.index import Hits
 from pagelake.operators.ranked import top_per_group
@@ -320,7 +320,3 @@ def parse_prefix(queries: DataFrame, query: str = "query") -> DataFrame:
     return queries.filter((F.length(query) >= 2) & (F.size(words) > 0)).withColumn(
         "terms", F.array_distinct(F.concat(whole, F.array(last)))
     )
-
-
-def shard_column(url: Column, cfg: Settings = DEFAULT) -> Column:
-    return keys.shard_of_url(url, cfg.shard_count)

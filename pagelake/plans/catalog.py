@@ -216,9 +216,8 @@ def page_text(spark, sf):
 
 def _with_media(spark, sf):
     clean = remove_unwanted(F.col("html"))
-    return _enriched(spark, sf).select("page_id", "url", clean.alias("html")).select(
-        "page_id", media(H.elements(F.col("html")), F.col("url")).alias("media")
-    )
+    staged = _enriched(spark, sf).withColumn("clean_html", clean).withColumn("els", H.elements(F.col("clean_html")))
+    return staged.select("page_id", media(F.col("els"), F.col("url")).alias("media"))
 
 
 def page_media(spark, sf):
@@ -493,20 +492,24 @@ def search_folded(spark, sf):
 
 
 def snippets(spark, sf):
-    fields = ST.materialise(_page_fields(spark, sf).select("page_id", "url", "title"), "titles")
+    fields = ST.materialise(_page_titles(spark, sf), "titles")
     queries = _queries(spark, sf)
     tops = P.search_top(queries, fields, "page_id", ["title"], TOP_K, match="any")
     return P.results(tops, queries, fields, "page_id").select("query_id", "doc_id", "rank", "url", "excerpt")
 
 
+def _page_titles(spark, sf):
+    title = H.title(F.col("clean_html"), F.col("url"))
+    return C.analysed_pages(_pages(spark, sf)).select("page_id", "url", title.alias("title"))
+
+
 def _typed_words(spark, sf):
     words = S.parse(_queries(spark, sf)).select(F.explode("terms").alias("query")).distinct()
     return words.select(F.col("query").alias("query_id"), "query")
 
 
 def suggest_prefix(spark, sf):
-    titles = _page_fields(spark, sf).select("page_id", "title")
-    return P.suggest(_typed_words(spark, sf), titles, "page_id")
+    return P.suggest(_typed_words(spark, sf), _page_titles(spark, sf), "page_id")
 
 
 # --- ranking ------------------------------------------------------------------

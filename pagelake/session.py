@@ -21,6 +21,7 @@ def local_session(cores: str = "8", partitions: int = 8, memory: str = "8g") ->
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.warehouse.dir", os.path.join(tempfile.gettempdir(), "pagelake-warehouse"))
     )
     spark = builder.getOrCreate()

@@ -13,6 +13,7 @@ from pagelake.functions import keys
 
 _DIR_KEY = "spark.checkpoint.dir"
 _local_folder: str | None = None
+_intermediate: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -44,10 +45,21 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark, name)
+    _intermediate.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_intermediates(spark: SparkSession) -> int:
+    """Delete the tables ``materialise`` wrote in this process, once their results are used."""
+    conf = spark._jsc.hadoopConfiguration()
+    dropped = 0
+    while _intermediate:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_intermediate.pop())
+        dropped += bool(path.getFileSystem(conf).delete(path, True))
+    return dropped
+
+
 def is_small(df: DataFrame, max_rows: int = 200_000, max_bytes: int = 32 << 20) -> bool:
     """Whether a table is provably small enough for one executor's memory."""
     row = (

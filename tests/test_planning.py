@@ -135,6 +135,12 @@ def test_shared_folder_comes_from_the_session(spark):
         assert ST.shared_folder(spark) == named.rstrip("/")
 
 
+def test_intermediate_tables_are_dropped(spark, tmp_path):
+    before = ST.materialise(spark.range(3), "gone")
+    assert before.count() == 3 and ST.drop_intermediates(spark) >= 1
+    assert ST.drop_intermediates(spark) == 0
+
+
 def test_size_check(spark):
     assert ST.is_small(spark.range(10))
     assert not ST.is_small(spark.range(10), max_rows=9)

@@ -81,6 +81,14 @@ def test_top_any_is_exact_on_both_paths(corpus, tables, plain_rows, shards):
     assert {(r.query_id, r.doc_id, r["rank"]) for r in got.collect()} == want
 
 
+def test_shard_lists_merge_into_the_global_list(corpus, tables):
+    found = P.search(tables[1], tables[0], "doc_id", ["text"], match="any").drop("n_matched")
+    per_shard = S.top_per_shard(found, F.col("doc_id") % 3, 4)
+    assert {(r.query_id, r.doc_id, r["rank"]) for r in per_shard.collect()} == brute_top(brute(corpus, "any"), 4, lambda d: d % 3)
+    merged = S.merge_shards(per_shard, 4)
+    assert {(r.query_id, r.doc_id, r["rank"]) for r in merged.collect()} == brute_top(brute(corpus, "any"), 4)
+
+
 def test_stored_index_gives_the_same(corpus, tables, spark, tmp_path):
     I.write_index(tables[0], "doc_id", ["text"], str(tmp_path / "i"))
     parsed = S.parse(tables[1])
