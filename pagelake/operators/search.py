@@ -16,7 +16,7 @@ from pagelake.functions import explode_rows, half_up, let
 from pagelake.functions import text as T
 from pagelake.operators.index import Hits
 from pagelake.operators.ranked import top_per_group
-from pagelake.sources.store import broadcast_if_small, is_small, materialise
+from pagelake.sources.store import is_small, materialise
 
 
 def parse(queries: DataFrame, query: str = "query") -> DataFrame:
@@ -41,11 +41,19 @@ def term_weight(idf_: Column, tf: Column, dl: Column, avg_dl: Column, cfg: Setti
     return idf_ * tf * (cfg.bm25_k1 + 1) / (tf + cfg.bm25_k1 * norm)
 
 
-def _weighted(parsed: DataFrame, hits: Hits, cfg: Settings) -> DataFrame:
+def _shrink(parsed: DataFrame):
+    """Broadcast hint for tables derived from the query batch, if the batch is small.
+
+    Their rows are terms of the queries, so the size of the batch bounds them all.
+    """
+    return F.broadcast if is_small(parsed) else (lambda df: df)
+
+
+def _weighted(parsed: DataFrame, hits: Hits, cfg: Settings, shrink) -> DataFrame:
     """(query_id, term, df, idf), df 0 for terms found nowhere."""
     rows = parsed.select("query_id", F.explode("terms").alias("term"))
     return (
-        rows.join(broadcast_if_small(hits.df), "term", "left")
+        rows.join(shrink(hits.df), "term", "left")
         .withColumn("df", F.coalesce("df", F.lit(0)))
         .withColumn("idf", idf(F.col("df"), hits.n_docs, cfg))
     )
@@ -66,10 +74,10 @@ def _phrase_starts_somewhere(hits: Column, names: Column, phrase: Column) -> Col
     )
 
 
-def _query_weights(parsed: DataFrame, hits: Hits, cfg: Settings) -> DataFrame:
+def _query_weights(parsed: DataFrame, hits: Hits, cfg: Settings, shrink) -> DataFrame:
     """(query_id, weights array<struct<df, term, idf>>), rarest term first."""
     return (
-        _weighted(parsed, hits, cfg)
+        _weighted(parsed, hits, cfg, shrink)
         .groupBy("query_id")
         .agg(F.array_sort(F.collect_list(F.struct("df", "term", "idf"))).alias("weights"))
     )
@@ -97,8 +105,9 @@ def match_all(
     ``phrase`` names an array column whose words must follow each other;
     ``none_of`` one whose words must be absent. Both must be among the scanned terms.
     """
+    shrink = _shrink(parsed)
     per_query = (
-        _query_weights(parsed, hits, cfg)
+        _query_weights(parsed, hits, cfg, shrink)
         .withColumn("rarest", F.get("weights", F.lit(0))["term"])
         # a term found nowhere leaves nothing to match
         .filter(F.get("weights", F.lit(0))["df"] > 0)
@@ -109,7 +118,7 @@ def match_all(
     candidates = (
         hits.docs.withColumn("names", F.transform("hits", lambda h: h["term"]))
         .withColumn("rarest", F.explode("names"))
-        .join(broadcast_if_small(per_query), "rarest")
+        .join(shrink(per_query), "rarest")
         .filter(F.size(F.array_except(F.transform("weights", lambda w: w["term"]), "names")) == 0)
     )
     if phrase:
@@ -122,8 +131,9 @@ def match_all(
 
 def match_any(parsed: DataFrame, hits: Hits, cfg: Settings = DEFAULT) -> DataFrame:
     """(query_id, doc_id, n_matched, score): documents with at least one term."""
-    weights = _weighted(parsed, hits, cfg).filter("df > 0").select("query_id", "term", "idf")
-    return _score_all(hits, broadcast_if_small(weights), cfg)
+    shrink = _shrink(parsed)
+    weights = _weighted(parsed, hits, cfg, shrink).filter("df > 0").select("query_id", "term", "idf")
+    return _score_all(hits, shrink(weights), cfg)
 
 
 def _score_all(hits: Hits, weights: DataFrame, cfg: Settings) -> DataFrame:
@@ -165,7 +175,8 @@ def top_any(
     then tells which frequent terms cannot lift a document into the list any more.
     """
     group = ["query_id"] + (["shard"] if shard is not None else [])
-    weights = _query_weights(parsed, hits, cfg).withColumn("weights", F.filter("weights", lambda w: w["df"] > 0))
+    shrink = _shrink(parsed)
+    weights = _query_weights(parsed, hits, cfg, shrink).withColumn("weights", F.filter("weights", lambda w: w["df"] > 0))
     rows = weights.select("query_id", F.posexplode("weights").alias("i", "w"), "weights").select(
         "query_id",
         F.col("w.df").alias("df"),
@@ -180,8 +191,8 @@ def top_any(
         ).alias("bound"),
     )
     rows = materialise(rows, "bounds")
-    # one check covers the subsets joined below
-    shrink = F.broadcast if is_small(rows) else (lambda df: df)
+    # each row lists the other terms of its query, so this table is checked itself
+    shrink = _shrink(rows)
     of_query = shrink(rows.select("query_id", "term", "idf"))
     located = (lambda df: df) if shard is None else (lambda df: df.withColumn("shard", shard))
     if (rows.agg(F.sum("df")).first()[0] or 0) <= plain_rows:
