@@ -98,16 +98,23 @@ def scan_hits(
     occurrences = (
         docs.select(F.col(doc).alias("doc_id"), tokens.alias("_tokens"))
         # the mark precedes the tokens: position 0 is the document itself
-        .select("doc_id", F.size("_tokens").alias("_dl"), F.posexplode(F.concat(F.array(F.lit(MARK)), searchable)).alias("pos", "term"))
+        .select(
+            "doc_id",
+            F.size("_tokens").cast("long").alias("dl"),
+            F.posexplode(F.concat(F.array(F.lit(MARK)), searchable)).alias("pos", "term"),
+        )
         .join(wanted, "term")
-        .groupBy("doc_id", F.col("_dl").cast("long").alias("dl"))
-        .agg(F.collect_list(F.struct("term", "pos")).alias("found"))
     )
+    if positions:
+        found = occurrences.groupBy("doc_id", "dl").agg(F.collect_list(F.struct("term", "pos")).alias("found"))
+        runs = T.runs_of(F.col("found"))
+    else:
+        counted = occurrences.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+        found = counted.groupBy("doc_id", "dl").agg(F.collect_list(F.struct("term", "tf")).alias("found"))
+        runs = F.array_sort("found")
     # the mark sorts first and falls off
-    runs = F.slice(T.runs_of(F.col("found")), F.lit(2), F.greatest(F.size("found"), F.lit(1)))
-    if not positions:
-        runs = F.transform(runs, lambda r: F.struct(r["term"].alias("term"), r["tf"].alias("tf")))
-    per_doc = materialise(occurrences.select("doc_id", "dl", runs.alias("hits")), "hits")
+    hits = F.slice(runs, F.lit(2), F.greatest(F.size("found"), F.lit(1)))
+    per_doc = materialise(found.select("doc_id", "dl", hits.alias("hits")), "hits")
     stats = per_doc.agg(F.count("*").alias("n"), F.avg("dl").alias("a"))
     return Hits(per_doc, stats.select("n").scalar(), stats.select("a").scalar(), _document_frequency(per_doc))
 

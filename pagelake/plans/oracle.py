@@ -437,7 +437,7 @@ def _statements() -> dict[str, str]:
             CAST(list_reduce(list_prepend(0, [('0x' || c)::INT FOR c IN string_split(sha256(url), '')]), lambda acc, d: (acc * 16 + d) % 10) AS BIGINT) AS shard_of_10,
             CAST(('0x' || left(sha256(url), 8))::BIGINT % 16 AS BIGINT) AS head_shard FROM pages""",
         "fetched_pages": "SELECT page_id, url, CAST(200 AS BIGINT) AS status FROM pages WHERE NOT contains(url, '?')",
-        "sitemap_urls": with_(SITEMAPS) + f"""SELECT host, part, loc FROM (SELECT host, part, trim(unnest(regexp_extract_all(xml, {q(SRC_LOC)}, 1))) AS loc FROM sm) WHERE starts_with(loc, 'http')""",
+        "sitemap_urls": with_(SITEMAPS) + f"""SELECT host, part, loc FROM (SELECT host, part, {decode('trim(u)')} AS loc FROM (SELECT host, part, unnest(regexp_extract_all(xml, {q(SRC_LOC)}, 1)) AS u FROM sm)) WHERE starts_with(loc, 'http')""",
         "sitemap_candidates": f"""SELECT DISTINCT {scheme('url')} || '://' || {netloc('url')} AS site, {scheme('url')} || '://' || {netloc('url')} || '/sitemap.xml' AS first_url,
             {scheme('url')} || '://' || {netloc('url')} || '/sitemap_index.xml' AS fallback_url FROM pages""",
         "sitemap_choice": f"""WITH sm AS (SELECT {netloc('url')} AS host, '<urlset><url><loc>' || min(url) || '</loc></url></urlset>' AS xml FROM pages GROUP BY 1) SELECT 'http://' || host AS site, 'http://' || host || CASE WHEN length(host) % 2 = 0 THEN '/sitemap.xml' ELSE '/sitemap_index.xml' END AS sitemap_url,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagelake.functions import explode_rows, urls
+from pagelake.functions.html import decode_entities
 
 PAGE_SCHEMA = T.StructType(
     [
@@ -62,7 +63,7 @@ def sitemap_locations(xml: Column) -> Column:
     """Every trimmed <loc> text that starts with "http"."""
     found = F.transform(
         F.regexp_extract_all(xml, F.lit(LOC), F.lit(1)),
-        lambda u: F.regexp_replace(u, r"^[ \t\r\n\f]+|[ \t\r\n\f]+$", ""),
+        lambda u: decode_entities(F.regexp_replace(u, r"^[ \t\r\n\f]+|[ \t\r\n\f]+$", "")),
     )
     return F.filter(found, urls.starts_with_http)
 

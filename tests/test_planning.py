@@ -122,11 +122,11 @@ def test_store_round_trip_and_pruning(spark, sf, tmp_path):
 
 
 def test_sitemaps(spark, tmp_path):
-    xml = "<urlset><url><loc> http://a.test/1 </loc></url><url><loc>ftp://x/</loc></url><url><loc>https://a.test/2</loc></url></urlset>"
+    xml = "<urlset><url><loc> http://a.test/1 </loc></url><url><loc>ftp://x/</loc></url><url><loc>https://a.test/2?a=1&amp;b=2</loc></url></urlset>"
     df = spark.createDataFrame([("a.test", xml)], "host string, xml string")
-    assert rows(SRC.sitemap_urls(df), "loc") == [("http://a.test/1",), ("https://a.test/2",)]
+    assert rows(SRC.sitemap_urls(df), "loc") == [("http://a.test/1",), ("https://a.test/2?a=1&b=2",)]
     (tmp_path / "s.xml").write_text(xml)
-    assert rows(SRC.read_sitemap_xml(spark, str(tmp_path / "s.xml")), "loc") == [("http://a.test/1",), ("https://a.test/2",)]
+    assert rows(SRC.read_sitemap_xml(spark, str(tmp_path / "s.xml")), "loc") == [("http://a.test/1",), ("https://a.test/2?a=1&b=2",)]
 
 
 def test_shared_folder_comes_from_the_session(spark):
