@@ -7,6 +7,7 @@ is cut at the first close; an unclosed script counts as a bare start tag.
 from __future__ import annotations
 
 import html as _html
+from html.entities import name2codepoint
 
 import pandas as pd
 from pyspark.sql import Column
@@ -32,19 +33,39 @@ TAGS = ("script", "iframe", "a", "img", "video", "source", "link", "meta")
 CRAWL_DROP = ("script", "style", "nav", "footer")
 INDEX_DROP = ("script", "style")
 
-# The entities decoded natively, ampersand last.
-ENTITIES = (
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
-    ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"),
-)
+ENTITY = r"&(#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);"
+# name or number -> code point, from the tables of the standard library; the numbers
+# 128 to 159 mean the Windows characters
+_NAMED = {**name2codepoint, "apos": 39}
+_NUMBERED = {str(i): ord(bytes([i]).decode("cp1252", "replace")) for i in range(128, 160)}
+_CODES = ",".join(f"{k}:{v}" for k, v in {**_NAMED, **_NUMBERED}.items())
+
+
+def _entity_text(name: Column) -> Column:
+    """Text of one entity given without "&" and ";"; null when there is no such name."""
+    number = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 8), 16, 10)).when(
+        name.startswith("#"), F.regexp_replace(F.substring(name, 2, 32), "^0+(?=.)", "")
+    )
+    listed = F.try_element_at(F.str_to_map(F.lit(_CODES)), F.coalesce(number, name))
+    code = F.coalesce(listed, number).try_cast("int")
+    broken = code.isNull() | (code > 0x10FFFF) | (code < 1) | code.between(0xD800, 0xDFFF)
+    safe = F.when(broken, F.lit(0xFFFD)).otherwise(code)
+    char = F.decode(F.unhex(F.lpad(F.hex(safe), 8, "0")), "UTF-32")
+    return F.when(number.isNotNull() | listed.isNotNull(), char)
 
 
 def decode_entities(text: Column) -> Column:
-    """Decode the common entities inside the JVM."""
-    out = text
-    for name, char in ENTITIES:
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return F.when(text.contains("&"), out).otherwise(text)
+    """Decode numbered and named entities inside the JVM, in one pass over the text."""
+
+    def decoded(t: Column) -> Column:
+        chars = F.transform(
+            F.regexp_extract_all(t, F.lit(ENTITY), F.lit(1)),
+            lambda n: F.coalesce(_entity_text(n), F.concat(F.lit("&"), n, F.lit(";"))),
+        )
+        pieces = F.zip_with(F.split(t, ENTITY, -1), chars, lambda p, c: F.concat(p, F.coalesce(c, F.lit(""))))
+        return F.array_join(pieces, "")
+
+    return F.when(text.contains("&"), let(text, decoded)).otherwise(text)
 
 
 @F.pandas_udf(StringType())
@@ -53,7 +74,10 @@ def _unescape(text: pd.Series) -> pd.Series:
 
 
 def decode_all_entities(text: Column) -> Column:
-    """Decode the whole entity table. Only texts with an ampersand go to Python."""
+    """Decode as a browser does, names without semicolon included, through Python.
+
+    Only texts with an ampersand travel there.
+    """
     marked = F.when(text.contains("&"), text)
     return F.coalesce(_unescape(marked), text)
 

@@ -16,6 +16,8 @@ from pagelake.functions import let
 
 KEYWORD_TOKEN = r"[\p{L}\p{N}_]{%d,}"
 INDEX_TOKEN = r"[\p{L}\p{N}]+"
+# all white space of Unicode, hard spaces included
+GAP = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
 # Fixed values for optional accent folding (Latin letters of the supported languages).
 ACCENTED = "àâäáãåçéèêëíìîïñóòôöõúùûüýÿß"
@@ -23,7 +25,12 @@ UNACCENTED = "aaaaaaceeeeiiiinooooouuuuyys"
 
 
 def word_count(text: Column) -> Column:
-    return F.size(F.filter(F.split(text, r"\s+"), lambda w: w != "")).cast("long")
+    return F.size(words(text)).cast("long")
+
+
+def words(text: Column) -> Column:
+    """Words between white space."""
+    return F.filter(F.split(text, GAP, -1), lambda w: w != "")
 
 
 def keyword_tokens(text: Column, min_chars: int = 3) -> Column:

@@ -91,7 +91,7 @@ def tfidf_cosine(hits: DataFrame, queries: DataFrame, cfg: Settings = DEFAULT) -
 
 def word_overlap(query: Column, title: Column, content: Column) -> Column:
     """Share of the distinct query words that occur anywhere in title and content."""
-    words = F.array_distinct(F.filter(F.split(F.lower(query), r"\s+"), lambda w: w != ""))
+    words = F.array_distinct(T.words(F.lower(query)))
     text = F.lower(F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(content, F.lit(""))))
     found = F.size(F.filter(words, lambda w: F.contains(text, w)))
     return found / F.greatest(F.size(words), F.lit(1))

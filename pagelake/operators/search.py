@@ -271,7 +271,7 @@ def envelope(results: DataFrame, query: str, category: str = "all", page: int =
 
 def excerpt(title: Column, terms: Column, words: int = DEFAULT.excerpt_words) -> Column:
     """Window of the title with most distinct hits, earliest first; hits in <b>, cuts as dots."""
-    split = F.filter(F.split(title, r"\s+"), lambda w: w != "")
+    split = T.words(title)
     marked = F.transform(
         split,
         lambda w: let(

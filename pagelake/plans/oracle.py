@@ -49,8 +49,15 @@ CRAWL_LOG = C.CRAWL_LOG.format(pages="pages")
 
 
 # --- expressions --------------------------------------------------------------
+# the entities that occur in the tables, ampersand last
+ENTITIES = (
+    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
+    ("&nbsp;", "\u00a0"), ("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&amp;", "&"),
+)
+
+
 def decode(x: str) -> str:
-    for name, char in H.ENTITIES:
+    for name, char in ENTITIES:
         x = f"replace({x}, {q(name)}, {q(char)})"
     return x
 
@@ -362,7 +369,7 @@ SITEMAPS = f"""sm AS (SELECT {netloc('url')} AS host, CAST(page_id // 1000 AS BI
 
 def _excerpts() -> str:
     fields = [*page_fields(), QUERIES, *bm25("pf", "page_id", tokens("title"))]
-    words = "list_filter(regexp_split_to_array(title, '\\s+'), lambda w: w <> '')"
+    words = f"list_filter(regexp_split_to_array(title, {q(T.GAP)}), lambda w: w <> '')"
     hit = f"list_intersect(list_distinct({tokens('w')}), terms)"
     return with_(
         *fields,
@@ -426,7 +433,7 @@ def _statements() -> dict[str, str]:
     shard_any = f"""sa AS (SELECT query_id, doc_id, score, {shard("sha256(CAST(doc_id AS VARCHAR))")} AS shard FROM m)"""
     shard_top = top("sa", C.TOP_K, "query_id, doc_id, score, shard", "query_id, shard")
     stored_fields = [en, *safety("en"), *cleaned(), f"pf AS (SELECT *, {title('clean_html')} AS title, {page_text('clean_html', H.CRAWL_DROP)} AS content FROM clean)"]
-    word_count = "len(list_filter(regexp_split_to_array(content, '\\s+'), lambda w: w <> ''))"
+    word_count = f"len(list_filter(regexp_split_to_array(content, {q(T.GAP)}), lambda w: w <> ''))"
     fold = f"translate(lower(text), {q(T.ACCENTED)}, {q(T.UNACCENTED)})"
     folded_query = f"translate(lower(query), {q(T.ACCENTED)}, {q(T.UNACCENTED)})"
     vocabulary = f"voc AS (SELECT DISTINCT unnest({tokens('text')}) AS term FROM documents)"
@@ -532,7 +539,7 @@ def _statements() -> dict[str, str]:
         + top("m", K.DEFAULT.suggest_limit, "query_id, doc_id, score"),
         "tfidf_cosine": with_(*DOCS_TOP, "hx AS (SELECT query_id, doc_id, text AS corpus FROM tops JOIN documents USING (doc_id))", *tfidf("hx")) + f"SELECT query_id, doc_id, {half_up('similarity')} AS similarity FROM sim",
         "word_overlap": with_(*DOCS_TOP) + f"""SELECT query_id, doc_id, {half_up("CAST(count(*) FILTER (contains(t, w)) AS DOUBLE) / greatest(count(*), 1)")} AS overlap FROM (
-            SELECT query_id, doc_id, ' ' || lower(text) AS t, unnest(list_distinct(list_filter(regexp_split_to_array(lower(query), '\\s+'), lambda w: w <> ''))) AS w
+            SELECT query_id, doc_id, ' ' || lower(text) AS t, unnest(list_distinct(list_filter(regexp_split_to_array(lower(query), {q(T.GAP)}), lambda w: w <> ''))) AS w
             FROM tops JOIN (SELECT doc_id, text FROM documents) USING (doc_id) JOIN qs USING (query_id)) GROUP BY 1, 2""",
         "freshness": with_(cl) + f"""SELECT page_id, CAST(seq AS BIGINT) AS seq, {half_up("greatest(0.5e0, 1e0 - floor((epoch_us(TIMESTAMP '2025-01-01 00:00:00') - epoch_us(crawled_at)) / 86400000000e0) / 365e0)")} AS freshness FROM cl""",
         "rank_composite": _composite(),

@@ -42,9 +42,14 @@ def ingest(
     return _start(pages, write, checkpoint, interval)
 
 
-def current_pages(spark: SparkSession, store: str, order: list[str]) -> DataFrame:
-    """Newest version of each stored page; later batches win ties."""
+def current_pages(spark: SparkSession, store: str, order: list[str], shard: int | None = None) -> DataFrame:
+    """Newest version of each stored page; later batches win ties.
+
+    With a shard number only that shard's folders are read.
+    """
     rows = spark.read.parquet(store)
+    if shard is not None:
+        rows = rows.filter(F.col("shard") == shard)
     return replace_upsert(rows, "url", [*order, "epoch"]).drop("epoch")
 
 

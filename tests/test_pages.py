@@ -106,7 +106,19 @@ def test_text_title_and_entities(spark):
     assert got[0].title == "A & B" and got[1].title == "http://h.test/t"
     assert got[0].text == "A & B x y z 1 < 2"
     assert got[0].index_text == "A & B n x y z © f 1 < 2"
-    assert got[1].full == pyhtml.unescape("&eacute;&#8364;")
+    assert got[1].full == got[1].text == pyhtml.unescape("&eacute;&#8364;")
+
+
+def test_entities_like_standard_library(spark):
+    texts = [
+        "a &amp;lt; b &lt;i&gt; &eacute;&Eacute; &#8217;&#x20AC;&#X1F600; &#39;&apos; &#150;&#0039;", "&bogus; & &; &#; &#x; x&", "&#xD800; &#0; &#1114112; &#99999999999;",
+        "&rarr;&hellip;&mdash;", "plain", "",
+    ]
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string")
+    got = [r.d for r in df.select(H.decode_entities(F.col("t")).alias("d")).collect()]
+    assert got == [pyhtml.unescape(t) for t in texts] + [None]
+    space = spark.createDataFrame([("a&nbsp;b&#160;c",)], "t string").select(H.decode_entities(F.col("t")).alias("d"))
+    assert space.first().d == "a\u00a0b\u00a0c"
 
 
 def test_attributes(spark):

@@ -14,6 +14,7 @@ def test_link_share(spark):
     edges = spark.createDataFrame([("a", "x"), ("b", "x"), ("a", "y")], "from_url string, to_url string")
     shares = L.link_share(edges)
     assert {r.to_url: r.share for r in shares.collect()} == {"x": pytest.approx(2 / 3), "y": pytest.approx(1 / 3)}
+    assert shares.agg(F.sum("share")).first()[0] == pytest.approx(1.0)
     assert L.link_share(edges.limit(0)).count() == 0
 
 

@@ -26,6 +26,8 @@ def test_ingest_equals_batch(spark, folder, tmp_path):
     batch = C.stored_pages(C.analysed_pages(spark.read.parquet(folder)))
     columns = ("url", "title", "content", "security_score", "is_dangerous", "keywords")
     assert rows(STR.current_pages(spark, store, ["seq"]), *columns) == rows(batch, *columns)
+    one = STR.current_pages(spark, store, ["seq"], shard=5)
+    assert rows(one, "url") == rows(STR.current_pages(spark, store, ["seq"]).filter("shard = 5"), "url")
     # a second run finds nothing new; a newer version of a page wins
     STR.ingest(stream, store, state).awaitTermination()
     newer = spark.read.parquet(folder).filter("page_id = 0").withColumn("html", F.lit("<title>new</title>"))

@@ -29,7 +29,8 @@ def test_runs_equal_a_counter(spark, sf):
 
 
 def test_word_count_and_folding(spark):
-    assert one(spark, "  a b\n c ", T.word_count(F.col("t"))) == 3
+    text = "  a b\n c\u00a0d\u2003e\x1cf "
+    assert one(spark, text, T.word_count(F.col("t"))) == len(text.split()) == 6
     assert one(spark, "Été naïf", T.index_tokens(F.col("t"), True)) == ["ete", "naif"]
     assert one(spark, "", T.term_runs(T.index_tokens(F.col("t")))) == []
 
