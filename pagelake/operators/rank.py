@@ -67,7 +67,6 @@ def tfidf_cosine(hits: DataFrame, queries: DataFrame, cfg: Settings = DEFAULT) -
         )
     idf = F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1
     weights = vocabulary.select("query_id", "term", idf.alias("idf"), (F.col("query_tf") * idf).alias("qw"))
-    weights = broadcast_if_small(weights)
     query_norm = weights.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
     w = F.col("tf") * F.col("idf")
     dots = (
