@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pagelake.llm import tokens
+from pyspark.sql import functions as F
+
+from pagelake.llm import budget, neardup, superkmer, templates, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -28,3 +30,57 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(
         table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
     )
+
+
+@query
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of three-word shingles are 85 % alike."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), neardup.Shape(shingle=3, percent=85))
+
+
+@query
+def op4_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage, as written or with other numbers, names and units."""
+    found = templates.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("key")
+
+
+#: Share of the corpus, passes and weights of the mixture; a source's domain is its number modulo 4.
+MIXTURE = budget.Plan(
+    percent=60,
+    epochs=2,
+    weights=(
+        ("domain", "d0", 4), ("domain", "d1", 3), ("domain", "d2", 2), ("domain", "d3", 1),
+        ("lang", "en", 4), ("lang", "de", 2), ("lang", "fr", 2), ("lang", "es", 2),
+    ),
+)
+
+
+def with_domain(docs: DataFrame) -> DataFrame:
+    number = F.regexp_extract(F.coalesce("source", F.lit("")), "([0-9]{1,9})$", 1)
+    return docs.withColumn("domain", F.when(number != "", F.concat(F.lit("d"), number.cast("int") % 4)).otherwise("other"))
+
+
+@query
+def op6_token_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents taken, and how often, to reach the mixture's weights."""
+    return budget.select_tokens(with_domain(table(spark, sf_dir, "documents")), MIXTURE).drop("key")
+
+
+ORACLE["op6_token_budgets"] = budget.oracle(
+    MIXTURE,
+    "SELECT *, CASE WHEN regexp_matches(coalesce(source, ''), '[0-9]{1,9}$') "
+    "THEN 'd' || (regexp_extract(source, '([0-9]{1,9})$', 1)::INT % 4) ELSE 'other' END AS domain FROM documents",
+)
+
+
+@query
+def op7_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words left in every document without the 50-word windows that an earlier document holds."""
+    return superkmer.repeated_words(table(spark, sf_dir, "documents")).drop("key")
+
+
+@query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from the labels outside the held-out fold."""
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
