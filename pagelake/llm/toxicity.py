@@ -2,7 +2,8 @@
 
 Features are the distinct byte n-grams of a text (A-Z lower-cased, runs of white space as one blank),
 hashed into ``2^bits`` buckets. The log-count ratio of a bucket compares how many toxic and clean
-labelled texts hold it, counted over every labelled training row by one aggregation. A logistic
+labelled texts hold it, counted over every labelled training row by one aggregation; it is drawn towards 0 by
+``doubt`` standard errors, so that buckets seen a few times do not count. A logistic
 regression learns weights for the features scaled by these ratios on a bounded sample: per label the
 ``sample`` training rows of smallest hash (a documented bound; weighted back to the true share of
 each label). The model is ``2^bits`` numbers, whatever the corpus. Scoring is one narrow pass over
@@ -28,12 +29,13 @@ from pagelake.sources.store import materialise
 
 
 class Shape(NamedTuple):
-    """n-gram lengths, hash bits, most training rows per label, smoothing, penalty, threshold."""
+    """n-gram lengths, hash bits, most training rows per label, smoothing, doubt, penalty, threshold."""
 
-    lengths: tuple[int, ...] = (4, 5, 6)
-    bits: int = 17
-    sample: int = 4000
+    lengths: tuple[int, ...] = (4, 6, 8)
+    bits: int = 18
+    sample: int = 3000
     smoothing: float = 1.0
+    doubt: float = 1.0
     penalty: float = 1.0
     threshold: float = 0.3
 
@@ -86,8 +88,8 @@ def _counts(rows: DataFrame, shape: Shape) -> DataFrame:
     return partial.groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def _sample(rows: DataFrame, shape: Shape) -> DataFrame:
-    """Features of the ``sample`` rows of each label with the smallest hash (a fixed, documented bound)."""
+def _sample(rows: DataFrame, useful: np.ndarray, shape: Shape) -> DataFrame:
+    """Useful features of the ``sample`` rows of each label with the smallest hash (a fixed, documented bound)."""
     order = [F.xxhash64("doc_id", F.lit(17)), F.col("doc_id"), F.col("key")]
     keyed = rows.select("doc_id", F.xxhash64("text").alias("key"), "toxic")
     chosen = keyed.filter("toxic").orderBy(*order).limit(shape.sample).unionByName(keyed.filter("NOT toxic").orderBy(*order).limit(shape.sample))
@@ -95,7 +97,7 @@ def _sample(rows: DataFrame, shape: Shape) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [features(t.as_py(), shape) for t in batch.column("text")]
+            found = [np.intersect1d(features(t.as_py(), shape), useful, assume_unique=True) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "toxic", "buckets"])
 
     return picked.select("doc_id", "text", "toxic").mapInArrow(run, "doc_id long, toxic boolean, buckets array<int>")
@@ -139,7 +141,9 @@ def train(docs: DataFrame, labels: DataFrame, shape: Shape = Shape()) -> Model:
         return Model(np.zeros(1 << shape.bits, np.float32), 30.0 if texts[0] else -30.0)
     share = (grid[:, 1:] + shape.smoothing) / (texts[:, None] + 2 * shape.smoothing)
     ratio = np.log(share[0] / share[1])
-    sample = _sample(rows, shape).toPandas().sort_values("doc_id", kind="stable")  # at most 2 * sample rows
+    error = np.sqrt((1 / (grid[:, 1:] + shape.smoothing)).sum(0))
+    ratio = np.sign(ratio) * np.maximum(np.abs(ratio) - shape.doubt * error, 0)
+    sample = _sample(rows, np.flatnonzero(ratio).astype(np.int32), shape).toPandas().sort_values("doc_id", kind="stable")  # at most 2 * sample rows
     starts = np.concatenate(([0], np.cumsum(sample["buckets"].map(len))))
     indices = np.concatenate(sample["buckets"].to_list()).astype(np.int32)
     y = sample["toxic"].to_numpy().astype(float)
