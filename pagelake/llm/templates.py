@@ -11,7 +11,9 @@ A hit fixes an alignment of document and item. The item is then laid over the wh
 words must be equal and placeholders of one type, and the longest run of agreeing words counts. Over
 this run the slots must be filled consistently: one filling for each original filling and back, as
 in a question whose numbers and names were replaced throughout. The pair is reported if the run has
-at least ``run`` words (the whole item if that is shorter), half of them literal.
+at least ``run`` words (the whole item if that is shorter), half of them literal. Where the slots are
+filled otherwise, as many words in a row that are equal but for case are a copy all the same, and are
+reported with no slots.
 
 Null and empty texts and rows without an id match nothing; items of fewer words than a window match
 nothing. Rows that repeat an id and a text count once; repeated items are separate items. Of equal
@@ -102,13 +104,17 @@ def _agreement(shape: Shape) -> dict[str, Column]:
     """Columns over the doc words under the item (w), item words (words) and the shift between them."""
     pairs = F.transform("words", lambda x, k: F.struct(x.alias("i"), F.when(k + F.least("shift", F.lit(0)) >= 0, F.get("w", F.greatest(k + F.least("shift", F.lit(0)), F.lit(0)))).alias("d")))
     agree = F.transform("pairs", lambda p: F.when(template(p["i"]) == template(p["d"]), "1").otherwise("0"))
+    equal = F.transform("pairs", lambda p: F.when(F.lower(p["i"]) == F.lower(p["d"]), "1").otherwise("0"))
     longest = F.array_max(F.transform(F.split("agree", "0"), lambda s: F.length(s)))
+    verbatim = F.array_max(F.transform(F.split("equal", "0"), lambda s: F.length(s)))
     part = F.slice("pairs", F.expr("instr(agree, repeat('1', run))"), F.col("run"))
     slots = F.array_distinct(F.filter(part, lambda p: is_slot(template(p["i"]))))
     return {
         "pairs": pairs,
         "agree": F.array_join(agree, ""),
+        "equal": F.array_join(equal, ""),
         "run": longest,
+        "verbatim": verbatim,
         "part": F.when(F.col("run") > 0, part).otherwise(F.slice("pairs", 1, 0)),
         "literal": F.size(F.filter("part", lambda p: ~is_slot(template(p["i"])))),
         "slots": slots,
@@ -144,6 +150,13 @@ def contaminated(docs: DataFrame, items: DataFrame, shape: Shape = Shape(), key:
         F.size(F.array_distinct(F.transform("slots", lambda p: p["d"]))) == one_way
     )
     changed = F.size(F.filter("slots", lambda p: p["i"] != p["d"]))
-    kept = laid.filter((F.col("run") >= F.least(F.lit(shape.run), "n_item_words")) & (F.col("literal") * 2 >= F.col("run")) & consistent)
-    best = F.max_by(F.struct("run", "n_item_words", one_way.alias("n_slots"), changed.alias("n_changed")), F.struct("run", -F.col("variant"), -F.col("shift")))
+    least = F.least(F.lit(shape.run), "n_item_words")
+    fits = (F.col("run") >= least) & (F.col("literal") * 2 >= F.col("run")) & consistent
+    kept = laid.withColumn("fits", fits).filter(F.col("fits") | (F.col("verbatim") >= least)).select(
+        "doc_id", "key", "item", "variant", "shift", "n_item_words",
+        F.when(F.col("fits"), F.col("run")).otherwise(F.col("verbatim")).alias("run"),
+        F.when(F.col("fits"), one_way).otherwise(0).alias("n_slots"),
+        F.when(F.col("fits"), changed).otherwise(0).alias("n_changed"),
+    )
+    best = F.max_by(F.struct("run", "n_item_words", "n_slots", "n_changed"), F.struct("run", -F.col("variant"), -F.col("shift")))
     return kept.groupBy("doc_id", "key", "item").agg(best.alias("b")).select("doc_id", "key", F.col("item").alias("item_id"), "b.*")

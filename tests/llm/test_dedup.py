@@ -54,9 +54,9 @@ def test_near_duplicates_of_the_corpus(spark, sf):
     assert sorted(map(tuple, got)) == brute.near_duplicates(texts, 3, 85)
 
 
-def test_chains_reach_the_smallest_id_and_large_buckets_are_whole(spark, monkeypatch):
-    """A chain of texts, each like the next only, and a bucket rule that forces hub rounds."""
-    monkeypatch.setattr(neardup, "PAIRS_PER_MEMBER", 0.6)
+def test_chains_reach_the_smallest_id_and_blocks_are_whole(spark, monkeypatch):
+    """A chain of texts, each like the next only, in many small blocks."""
+    monkeypatch.setattr(neardup, "BLOCK", 2)
     w = [f"w{i}" for i in range(400)]
     texts = [(100 - i, " ".join(w[i * 5 : i * 5 + 120])) for i in range(30)]
     texts += [(200 + i, texts[0][1]) for i in range(20)]
