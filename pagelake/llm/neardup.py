@@ -9,11 +9,14 @@ texts. The permutation here is slot = start + rank * odd stride modulo a power o
 are tried for all shingles of a text together, which numpy does in whole arrays.
 
 Results: documents with the same shingle set form one class (128-bit fingerprints). Classes that
-share a band are candidates. In each band bucket all members are compared with the bucket's
-smallest, on full sets of 64-bit shingle hashes; linked ones merge. Members of different components
-are then compared further: with the next smallest while that saves work, at last pair by pair, and
-buckets of one component are finished. So a large group of copies costs one comparison per member,
-no pair of a bucket that could still change the components is left out, and nothing is capped.
+share a band are candidates. The classes of a band bucket are first compared with its smallest, on
+full sets of 64-bit shingle hashes, and linked ones merge: a large group of copies costs one
+comparison per member. Where classes that met the same smallest one are still in different
+components, they are compared among themselves in blocks of ``BLOCK`` sets, one task per pair of
+blocks and no row per pair; blocks of the smallest one's own component need not meet each other.
+Within a block pair, pairs of one component and pairs whose signatures agree in far fewer slots than
+a link would (6.5 standard deviations) are passed over; all others are compared on full sets.
+Nothing is capped.
 """
 
 from __future__ import annotations
@@ -26,13 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelake.llm.components import components
+from pagelake.llm.components import UnionFind, components
 from pagelake.llm.text import gram_hashes, mix, slices, split_words, word_hashes
 from pagelake.sources.store import materialise
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-#: Pair by pair once that makes at most so many pairs per waiting member.
-PAIRS_PER_MEMBER = 8
+#: Sets that a block holds on average.
+BLOCK = 64
 
 
 class Shape(NamedTuple):
@@ -105,74 +108,98 @@ def _sketches(docs: DataFrame, shape: Shape) -> DataFrame:
 
 
 def _sets(docs: DataFrame, shape: Shape) -> DataFrame:
+    """Full sets, their fingerprint, and the lowest byte of each slot of the signature."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            sets = [s.view(np.int64) for s in shingle_sets(batch.column("text"), shape.shingle)]
-            one = [int(mix(s.view(np.uint64)).sum().view(np.int64)) for s in sets]
-            two = [int(mix(s.view(np.uint64) ^ _STEP).sum().view(np.int64)) for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sets, pa.list_(pa.int64()))],
-                ["id", "fp1", "fp2", "shingles"],
-            )
+            sets = [s for s in shingle_sets(batch.column("text"), shape.shingle)]
+            one = [int(mix(s).sum().view(np.int64)) for s in sets]
+            two = [int(mix(s ^ _STEP).sum().view(np.int64)) for s in sets]
+            slots = [signature(s, shape.slots).astype(np.uint8).tobytes() if len(s) else None for s in sets]
+            made = [pa.array(x, pa.int64()) for x in (one, two)]
+            made += [pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array(slots, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *made], ["id", "fp1", "fp2", "shingles", "slots"])
 
-    return docs.mapInArrow(run, "id long, fp1 long, fp2 long, shingles array<long>")
+    return docs.mapInArrow(run, "id long, fp1 long, fp2 long, shingles array<long>, slots binary")
 
 
-def _linked(pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs of full sets whose intersection is at least ``percent`` of their union."""
+def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether the intersection of two sorted sets is at least ``percent`` of their union."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
+
+def _linked(pairs: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = batch.column("left"), batch.column("right")
-            keep = []
-            for i in range(batch.num_rows):
-                x, y = (np.asarray(c[i].values).view(np.uint64) for c in (left, right))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            keep = [alike(np.asarray(left[i].values), np.asarray(right[i].values), percent) for i in range(batch.num_rows)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, shape: Shape) -> DataFrame:
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    # the class's own fingerprint: an id that occurs twice may hold another text as well
-    wanted = classes.join(ids.withColumnRenamed("doc_id", "rep"), "rep", "left_semi").select(F.col("rep").alias("id"), "fp1", "fp2")
-    texts = docs.join(ids, "doc_id", "left_semi")
-    sets = materialise(_sets(texts, shape).join(wanted, ["id", "fp1", "fp2"], "left_semi").dropDuplicates(["id"]).select("id", "shingles"), "sets")
+def _class_sets(ids: DataFrame, docs: DataFrame, classes: DataFrame, shape: Shape) -> DataFrame:
+    """Stored sets of the given classes (column rep)."""
+    # with the class's own fingerprint: an id that occurs twice may hold another text as well
+    wanted = classes.join(ids, "rep", "left_semi").select(F.col("rep").alias("id"), "fp1", "fp2")
+    texts = docs.join(ids.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
+    return materialise(_sets(texts, shape).join(wanted, ["id", "fp1", "fp2"], "left_semi").dropDuplicates(["id"]).drop("fp1", "fp2"), "sets")
+
+
+def _star_links(stars: DataFrame, sets: DataFrame, shape: Shape) -> DataFrame:
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("left"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("right"))
+    possible = stars.filter(F.least("n", "m") * 100 >= F.greatest("n", "m") * shape.percent)
+    pairs = possible.select(F.col("hub").alias("a"), F.col("rep").alias("b"))
     return _linked(pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right"), shape.percent)
 
 
-def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
-    """Members of the buckets that still hold more than one component, with their component."""
-    roots = components(links)
-    now = members.drop("root").join(roots.withColumnRenamed("id", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    mixed = now.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("band")
-    return now.join(mixed, "band").select("band", "rep", "n", "root")
-
+def _in_blocks(mixed: DataFrame) -> DataFrame:
+    """hub, x, y (the pair of blocks), rep and root: each class once per pair of blocks it belongs to.
 
-def _could_link(percent: int):
-    return F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
+    Blocks 0, 1, ... hold classes outside the component of the hub, -1, -2, ... those of it.
+    """
+    size = mixed.groupBy("hub").agg(
+        F.ceil(F.sum((~F.col("home")).cast("int")) / BLOCK).cast("int").alias("others"), F.ceil(F.sum(F.col("home").cast("int")) / BLOCK).cast("int").alias("homes")
+    )
+    dealt = mixed.join(size, "hub").withColumn("own", F.pmod(F.xxhash64("rep"), F.when(F.col("home"), F.col("homes")).otherwise(F.col("others"))).cast("int"))
+    other = F.sequence(F.lit(0), F.col("others") - 1)
+    met = F.when(F.col("home"), F.transform(other, lambda o: F.struct(o.alias("x"), (-1 - F.col("own")).alias("y")))).otherwise(
+        F.concat(
+            F.transform(other, lambda o: F.struct(F.least(o, "own").alias("x"), F.greatest(o, "own").alias("y"))),
+            F.transform(F.sequence(F.lit(0), F.col("homes") - 1), lambda h: F.struct(F.col("own").alias("x"), (-1 - h).alias("y"))),
+        )
+    )
+    return dealt.select("hub", "rep", "root", F.inline(met))
 
 
-def _hub_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Each member with the smallest of its bucket, where sizes allow a link."""
-    hubs = members.groupBy("band").agg(F.min(F.struct("rep", "n", "root")).alias("h"), F.count("*").alias("k")).filter("k > 1")
-    with_hub = members.join(hubs.select("band", "h.rep", "h.n", "h.root").toDF("band", "hub", "m", "home"), "band")
-    apart = with_hub.filter((F.col("rep") > F.col("hub")) & (F.col("root") != F.col("home")) & _could_link(percent))
-    return apart.select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+def _block_links(mixed: DataFrame, sets: DataFrame, shape: Shape) -> DataFrame:
+    share = shape.percent / 100
+    least = shape.slots * share - 6.5 * (shape.slots * share * (1 - share)) ** 0.5
 
+    def run(block: pa.Table) -> pa.Table:
+        ids, roots = block["rep"].to_pylist(), block["root"].to_pylist()
+        slots = np.frombuffer(b"".join(block["slots"].to_pylist()), np.uint8).reshape(len(ids), -1)
+        full = [np.asarray(s.values) for s in block["shingles"]]
+        joined, found = UnionFind(), []
+        for i, r in enumerate(roots):
+            near = np.flatnonzero((slots[i + 1 :] == slots[i]).sum(1) >= least) + i + 1
+            for j in near.tolist():
+                if joined.root(r) != joined.root(roots[j]) and alike(full[i], full[j], shape.percent):
+                    joined.join(r, roots[j])
+                    found.append((ids[i], ids[j]))
+        a, b = zip(*found) if found else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-def _all_pairs(members: DataFrame, percent: int) -> DataFrame:
-    other = members.toDF("band", "other", "m", "home")
-    apart = members.join(other, "band").filter((F.col("other") < F.col("rep")) & (F.col("root") != F.col("home")) & _could_link(percent))
-    return apart.select(F.col("other").alias("a"), F.col("rep").alias("b")).distinct()
+    rows = _in_blocks(mixed).join(sets.withColumnRenamed("id", "rep"), "rep")
+    return rows.groupBy("hub", "x", "y").applyInArrow(run, "a long, b long")
 
 
 def class_links(docs: DataFrame, sketches: DataFrame, shape: Shape) -> tuple[DataFrame, DataFrame]:
-    """Classes of equal shingle sets (fp1, fp2, rep) and the links found between their smallest ids."""
+    """Classes of equal shingle sets (fp1, fp2, rep) and links (a, b) that join them as all links would."""
     classes = materialise(
         sketches.filter("n_shingles > 0 AND doc_id IS NOT NULL")
         .groupBy("fp1", "fp2", "n_shingles")
@@ -180,25 +207,19 @@ def class_links(docs: DataFrame, sketches: DataFrame, shape: Shape) -> tuple[Dat
         "classes",
     )
     spread = classes.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
-    shared = spread.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high").select("band")
-    members = materialise(spread.join(shared, "band").select("band", "rep", "n", F.col("rep").alias("root")), "members")
-    links = None
-    while True:
-        k = members.groupBy("band").agg(F.count("*").cast("double").alias("k"))
-        waiting = k.agg(F.sum("k").alias("n"), F.sum(F.expr("k * (k - 1) / 2")).alias("pairs")).first()
-        if not waiting["n"]:
-            break
-        last = waiting["pairs"] <= PAIRS_PER_MEMBER * waiting["n"]
-        pairs = materialise(_all_pairs(members, shape.percent) if last else _hub_pairs(members, shape.percent), "pairs")
-        found = materialise(_verified(pairs, docs, classes, shape), "found")
-        links = found if links is None else links.unionByName(found)
-        if last:
-            break
-        # everyone has been compared with the smallest of each bucket, which can leave
-        hubs = members.groupBy("band").agg(F.min("rep").alias("rep"))
-        members = materialise(_labelled(members.join(hubs, ["band", "rep"], "left_anti"), links), "members")
-    none = docs.sparkSession.createDataFrame([], "a long, b long")
-    return classes.select("fp1", "fp2", "rep"), none if links is None else links
+    hubs = spread.groupBy("band").agg(F.min(F.struct("rep", "n")).alias("h"), F.max("rep").alias("high")).filter("h.rep < high")
+    met = spread.join(hubs.select("band", F.col("h.rep").alias("hub"), F.col("h.n").alias("m")), "band")
+    stars = materialise(met.filter("rep <> hub").select("hub", "m", "rep", "n").distinct(), "stars")
+    sets = _class_sets(stars.select(F.explode(F.array("hub", "rep")).alias("rep")).distinct(), docs, classes, shape)
+    links = materialise(_star_links(stars, sets, shape), "starlinks")
+    roots = materialise(components(links), "roots")
+    named = stars.select("hub", "rep").unionByName(stars.select("hub", F.col("hub").alias("rep")).distinct())
+    named = named.join(roots.withColumnRenamed("id", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    apart = named.groupBy("hub").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max(F.when(F.col("rep") == F.col("hub"), F.col("root"))).alias("home"), F.count("*").alias("k"))
+    # two classes have been compared with each other already
+    mixed = named.join(apart.filter("low < high AND k > 2").select("hub", F.col("home").alias("at")), "hub").select("hub", "rep", "root", (F.col("root") == F.col("at")).alias("home"))
+    more = materialise(_block_links(mixed, sets, shape), "blocklinks")
+    return classes.select("fp1", "fp2", "rep"), links.unionByName(more)
 
 
 def near_duplicates(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
