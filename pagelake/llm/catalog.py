@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from pagelake.llm import budget, neardup, superkmer, templates, tokens, toxicity
+from pagelake.llm import arc, bestbin, budget, consensus, maxent, neardup, superkmer, templates, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -38,6 +38,12 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), neardup.Shape(shingle=3, percent=85))
 
 
+@query
+def op3_maxent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document under the model of the documents outside the held-out fold."""
+    return maxent.scores(table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage, as written or with other numbers, names and units."""
@@ -45,6 +51,13 @@ def op4_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("key")
 
 
+@query
+def op5_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages, taken from ARC files, converted to WARC files and read back."""
+    read = arc.convert(arc.as_arc(table(spark, sf_dir, "pages")))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 #: Share of the corpus, passes and weights of the mixture; a source's domain is its number modulo 4.
 MIXTURE = budget.Plan(
     percent=60,
@@ -80,7 +93,19 @@ def op7_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superkmer.repeated_words(table(spark, sf_dir, "documents")).drop("key")
 
 
+@query
+def op8_best_bin_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty nearest vectors of every twentieth vector by inner product."""
+    return bestbin.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 @query
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learnt from the labels outside the held-out fold."""
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page, by the paths that its host's pages agree on."""
+    return consensus.main_text(table(spark, sf_dir, "pages"))
