@@ -1,8 +1,8 @@
 """Removal of repeated word windows by super-k-mer partitioning.
 
 A window is ``length`` consecutive words. The hashes of its ``gram``-word grams have a smallest one,
-its minimiser; equal windows have equal minimisers. Consecutive windows that share a minimiser
-occurrence form a super-k-mer, a run of words that travels as one packed string to the bucket of its
+its minimiser; equal windows have equal minimisers. Consecutive windows that share a
+minimiser form a super-k-mer, a run of words that travels as one packed string to the bucket of its
 minimiser, where its windows are sorted and counted exactly, as text.
 
 1. One narrow pass finds each document's runs (minimiser, start, count), its word count and the
@@ -13,7 +13,7 @@ minimiser, where its windows are sorted and counted exactly, as text.
 3. Buckets are sorted by (minimiser, text) and read as a stream, one minimiser at a time.
 4. A minimiser with more than ``crowd`` runs would make a large bucket. Its windows go, by 128-bit
    digest, through an aggregation that combines in the map tasks and a join that adaptive execution
-   can split: the same answer for groups of any size.
+   can split, after equal runs have met in the same way: the same answer for groups of any size.
 
 Windows are judged on the input. Null texts have no words; rows without an id neither remove nor
 lose anything; rows that repeat an id are not earlier than each other. Other columns are not read.
@@ -46,21 +46,25 @@ class Shape(NamedTuple):
 
 
 def runs_of(hashes: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Minimiser, first window and number of windows of each run of a text's windows."""
+    """Minimiser, first window and number of windows of each run of a text's windows.
+
+    Windows are told apart by the minimiser's value, so a text that repeats itself makes one long run.
+    """
     grams = gram_hashes(hashes, shape.gram)
-    at = leftmost_smallest(grams, shape.length - shape.gram + 1)
-    start = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    return grams[at[start]].view(np.int64), start, np.diff(np.concatenate((start, [len(at)])))
+    small = smallest(grams, shape.length - shape.gram + 1)
+    start = np.flatnonzero(np.concatenate(([True], small[1:] != small[:-1])))
+    return small[start].view(np.int64), start, np.diff(np.concatenate((start, [len(small)])))
 
 
-def leftmost_smallest(values: np.ndarray, width: int) -> np.ndarray:
-    """Position of the smallest value, the leftmost of equals, in each window of ``width`` values."""
+def smallest(values: np.ndarray, width: int) -> np.ndarray:
+    """Smallest value in each window of ``width`` values."""
     n = len(values) - width + 1
-    out = np.empty(n, np.intp)
-    for a in range(0, n, 1 << 14):  # in pieces, so that a very long text needs little memory
-        view = np.lib.stride_tricks.sliding_window_view(values[a : a + (1 << 14) + width - 1], width)
-        out[a : a + len(view)] = view.argmin(1) + np.arange(a, a + len(view))
-    return out
+    out, reach = values, 1
+    while reach < width:  # windows of 2, 4, ... values, the last step overlapping
+        step = min(reach, width - reach)
+        out = np.minimum(out[: len(out) - step], out[step:])
+        reach += step
+    return out[:n]
 
 
 def word_list(text: str | None) -> list[bytes]:
@@ -106,7 +110,7 @@ def _pack(texts: DataFrame, shape: Shape) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            doc, key, mini, start, packed, crowd = [], [], [], [], [], []
+            doc, key, mini, start, n, packed, crowd = [], [], [], [], [], [], []
             rows = zip(batch.column("doc_id").to_pylist(), batch.column("key").to_pylist(), batch.column("text").to_pylist(), batch.column("runs").to_pylist())
             for d, k, text, runs in rows:
                 words = word_list(text)
@@ -115,13 +119,14 @@ def _pack(texts: DataFrame, shape: Shape) -> DataFrame:
                     key.append(k)
                     mini.append(r["mini"])
                     start.append(r["start"])
+                    n.append(r["n"])
                     packed.append(b" ".join(words[r["start"] : r["start"] + r["n"] + shape.length - 1]))
                     crowd.append(r["crowd"])
             made = [pa.array(x, pa.int64()) for x in (doc, key, mini)]
-            made += [pa.array(start, pa.int32()), pa.array(packed, pa.binary()), pa.array(crowd, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(made, ["doc_id", "key", "mini", "start", "packed", "crowd"])
+            made += [pa.array(start, pa.int32()), pa.array(n, pa.int32()), pa.array(packed, pa.binary()), pa.array(crowd, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(made, ["doc_id", "key", "mini", "start", "n", "packed", "crowd"])
 
-    return texts.mapInArrow(run, "doc_id long, key long, mini long, start int, packed binary, crowd boolean")
+    return texts.mapInArrow(run, "doc_id long, key long, mini long, start int, n int, packed binary, crowd boolean")
 
 
 def windows(packed: bytes, length: int) -> list[bytes]:
@@ -186,39 +191,55 @@ def _ranges(rows: Iterable[tuple], length: int, size: int = 50_000) -> Iterator[
     yield cut()
 
 
+def _halves(digests: bytearray) -> list[pa.Array]:
+    grid = np.frombuffer(bytes(digests), np.int64).reshape(-1, 2)
+    return [pa.array(np.ascontiguousarray(grid[:, i])) for i in (0, 1)]
+
+
 def _digests(runs: DataFrame, shape: Shape) -> DataFrame:
-    """Every window of the crowds as a row of its 128-bit digest."""
+    """A row per distinct window of each run: its 128-bit digest and its places."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "packed", 1 << 17):
             doc, key, at, both = [], [], [], bytearray()
             for d, k, start, packed in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "key", "start", "packed"))):
+                places: dict[bytes, list[int]] = {}
                 for i, w in enumerate(windows(packed, shape.length)):
+                    places.setdefault(w, []).append(start + i)
+                for w, p in places.items():
                     doc.append(d)
                     key.append(k)
-                    at.append(start + i)
+                    at.append(p)
                     both += hashlib.blake2b(w, digest_size=16).digest()
-            halves = np.frombuffer(bytes(both), np.int64).reshape(-1, 2)
-            made = [pa.array(doc, pa.int64()), pa.array(key, pa.int64()), pa.array(at, pa.int32())]
-            made += [pa.array(np.ascontiguousarray(halves[:, i])) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays(made, ["doc_id", "key", "at", "w1", "w2"])
+            made = [pa.array(doc, pa.int64()), pa.array(key, pa.int64()), pa.array(at, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*made, *_halves(both)], ["doc_id", "key", "at", "w1", "w2"])
 
-    return runs.mapInArrow(run, "doc_id long, key long, at int, w1 long, w2 long")
+    return runs.mapInArrow(run, "doc_id long, key long, at array<int>, w1 long, w2 long")
 
 
 def _count_crowds(runs: DataFrame, shape: Shape) -> DataFrame:
-    found = _digests(runs, shape)
+    """Word ranges of the crowds' repeated windows.
+
+    Equal runs meet first: all but those of the smallest id are repeated whole, and only these one
+    or few are taken apart into windows.
+    """
+    marked = runs.withColumn("r1", F.xxhash64("packed")).withColumn("r2", F.md5("packed"))
+    firsts = marked.groupBy("r1", "r2").agg(F.min("doc_id").alias("low"))
+    ranked = marked.join(firsts, ["r1", "r2"])
+    hi = F.col("start") + F.col("n") + F.lit(shape.length - 1)
+    whole = ranked.filter("doc_id > low").select("doc_id", "key", F.col("start").alias("lo"), hi.cast("int").alias("hi"))
+    found = _digests(ranked.filter("doc_id = low"), shape)
     shared = found.groupBy("w1", "w2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high")
     later = found.join(shared.select("w1", "w2", "low"), ["w1", "w2"]).filter("doc_id > low").select("doc_id", "key", "at")
-    # windows of a document come together only after this exchange; a list of positions per document
-    per_doc = later.groupBy("doc_id", "key").agg(F.sort_array(F.collect_set("at")).alias("at"))
+    # windows of a document come together only after this exchange; a list of places per document
+    per_doc = later.groupBy("doc_id", "key").agg(F.flatten(F.collect_list("at")).alias("at"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = ((d, k, p) for d, k, at in zip(*(batch.column(c).to_pylist() for c in range(3))) for p in at)
             yield from _ranges(rows, shape.length)
 
-    return per_doc.mapInArrow(run, "doc_id long, key long, lo int, hi int")
+    return whole.unionByName(per_doc.mapInArrow(run, "doc_id long, key long, lo int, hi int"))
 
 
 def _cut(texts: DataFrame, with_text: bool) -> DataFrame:
