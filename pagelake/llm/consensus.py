@@ -31,6 +31,8 @@ from pagelake.sources.store import broadcast_if_small, materialise
 
 #: Paths kept per host, best first. A page that has none of them takes its own best path.
 PATHS = 16
+#: Lowest elements of a path that tell it from others.
+DEPTH = 24
 
 _ATTRIBUTES = r"""(?:[^>"']|"[^"]*"|'[^']*')*"""
 _TAG = re.compile(
@@ -129,7 +131,10 @@ class Page:
             self.parent.append(stack[-1])
             self.tag.append(name)
             classes = sorted({re.sub(r"\d+", "", c) for c in named.get("class", "").lower().split()} - {""})
-            self.path.append(f"{self.path[stack[-1]]}/{'.'.join([name, *classes])}")
+            above = self.path[stack[-1]]
+            if above.count("/") >= DEPTH:
+                above = above[above.index("/", 1) :]
+            self.path.append(f"{above}/{'.'.join([name, *classes])}")
             stack.append(len(self.tag) - 1)
             left_out.append(out or left_out[-1])
         if not left_out[-1]:
@@ -158,27 +163,28 @@ class Page:
                     share = 1.0 if nearest or self.tag[e] in _WHOLE else share / 2
                     found[self.path[e]] = found.get(self.path[e], 0.0) + gain * share
                     nearest = False
-                if e == 0:
+                if e == 0 or share < 0.001:
                     break
                 e = self.parent[e]
         return {p: s for p, s in found.items() if s > 0}
 
     def text(self, paths: Iterable[str]) -> str:
         """Blocks below the first of the paths that holds any, else below the page's own best path."""
+        known = self._known()
         for path in paths:
-            if path in self._known():
+            if path in known:
                 return self._below(path)
         own = self.scores()
         return self._below(max(own, key=lambda p: (own[p], p))) if own else "\n".join(b[1] for b in self.blocks)
 
     def _known(self) -> set[str]:
-        return {p for e in {b[0] for b in self.blocks} for p in self._above(e)}
-
-    def _above(self, e: int) -> Iterator[str]:
-        yield self.path[e]
-        while e:
-            e = self.parent[e]
-            yield self.path[e]
+        """Paths of the elements that have a block on or below them."""
+        full = [False] * len(self.path)
+        for e, _, _ in self.blocks:
+            full[e] = True
+        for e in range(len(full) - 1, 0, -1):  # parents come before their children
+            full[self.parent[e]] = full[self.parent[e]] or full[e]
+        return {p for p, f in zip(self.path, full) if f}
 
     def _below(self, path: str) -> str:
         inside = [p == path for p in self.path]
