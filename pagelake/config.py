@@ -35,14 +35,20 @@ SIGN_IN_ADDRESSES = (
 VIDEO_HOSTS = ("youtube", "vimeo", "dailymotion")
 # --- end of fixed values ----------------------------------------------------
 
-# Placed in the head of a page judged unsafe. Any HTML text may be given.
-PROTECTION_SNIPPET = (
-    "<script>(function(){"
-    "['localStorage','sessionStorage'].forEach(function(n){"
-    "Object.defineProperty(window,n,{get:function(){throw new Error('storage blocked');}});});"
-    "Object.defineProperty(document,'cookie',{get:function(){return '';},set:function(){}});"
-    "})();</script>"
-)
+# Placed in the head of a page judged unsafe. Any HTML text may be given. It refuses storage,
+# cookies, listeners that follow the pointer or the keyboard, the place, the clipboard and direct
+# connections between browsers.
+PROTECTION_SNIPPET = """<script>(function(){
+var no=function(){throw new Error('blocked');},gone=function(){return Promise.reject(new Error('blocked'));};
+var put=function(o,n,v){try{Object.defineProperty(o,n,{value:v,writable:false,configurable:false});}catch(e){}};
+['localStorage','sessionStorage','indexedDB'].forEach(function(n){try{Object.defineProperty(window,n,{get:no});}catch(e){}});
+Object.defineProperty(document,'cookie',{get:function(){return '';},set:function(){}});
+var listen=EventTarget.prototype.addEventListener,followed=/^(mouse(move|over|out|enter|leave)|pointer|touchmove|device|key)/;
+EventTarget.prototype.addEventListener=function(t){if(!followed.test(t))return listen.apply(this,arguments);};
+if(navigator.geolocation)['getCurrentPosition','watchPosition'].forEach(function(n){put(navigator.geolocation,n,no);});
+if(navigator.clipboard)['read','readText'].forEach(function(n){put(navigator.clipboard,n,gone);});
+['RTCPeerConnection','webkitRTCPeerConnection','RTCDataChannel'].forEach(function(n){put(window,n,undefined);});
+})();</script>"""
 
 
 @dataclass(frozen=True)
@@ -89,7 +95,8 @@ class Settings:
     weight_safety: float = 0.1
     min_freshness: float = 0.5
     freshness_days: float = 365.0
-    max_vocabulary: int = 10_000
+    # most frequent terms that a cosine compares; None: all
+    max_vocabulary: int | None = None
     forest_trees: int = 100
     forest_seed: int = 42
 

@@ -1,31 +1,27 @@
 """HTML to columns without a DOM: one regular scan per page, no shuffle.
 
-Dialect limits: a ">" inside a quoted attribute ends the tag; a nav inside a nav
-is cut at the first close; an unclosed script counts as a bare start tag.
+Dialect limits: a nav inside a nav is cut at the first close; an unclosed script counts
+as a bare start tag.
 """
 
 from __future__ import annotations
 
-import html as _html
-from html.entities import name2codepoint
+from html.entities import html5, name2codepoint
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from pagelake.functions import let
 
+# What stands between a tag's name and its ">": a quote after "=" hides a ">". The
+# possessive loops need no stack and give up at once on a tag that the page's end cuts off.
+INSIDE = r"""[^>=]*+(?:=(?:\s*+(?:"[^"]*+"|'[^']*+'))?+[^>=]*+)*+"""
+
 # Comments and raw-text blocks are consumed whole, so markup inside them is not seen.
-TOKEN = (
-    r"(?is)<!--.*?-->"
-    r"|<script\b[^>]*>.*?</script\s*>"
-    r"|<style\b[^>]*>.*?</style\s*>"
-    r"|<iframe\b[^>]*>.*?</iframe\s*>"
-    r"|<[A-Za-z][^>]*>"
-)
+HIDDEN = "<!--.*?-->|" + "|".join(rf"<{t}\b{INSIDE}>.*?</{t}\s*>" for t in ("script", "style", "iframe"))
+TOKEN = rf"(?is){HIDDEN}|<[A-Za-z]{INSIDE}>"
 TAG_NAME = r"^<([A-Za-z][A-Za-z0-9:-]*)"
-OPEN_TAG = r"^<[^>]*>"
+OPEN_TAG = rf"^<[A-Za-z]{INSIDE}>"
 ATTRIBUTE = r"([A-Za-z_:][A-Za-z0-9_:.-]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?"
 ATTRIBUTES = ("src", "href", "class", "alt", "width", "height", "poster", "http-equiv")
 TAGS = ("script", "iframe", "a", "img", "video", "source", "link", "meta")
@@ -33,7 +29,10 @@ TAGS = ("script", "iframe", "a", "img", "video", "source", "link", "meta")
 CRAWL_DROP = ("script", "style", "nav", "footer")
 INDEX_DROP = ("script", "style")
 
-ENTITY = r"&(#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);"
+ENTITY = r"&(#[0-9]+;|#[xX][0-9A-Fa-f]+;|[A-Za-z][A-Za-z0-9]*;)"
+# numbers and the old names also count without a semicolon, except in attributes
+_OLD_NAMES = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
+LOOSE_ENTITY = rf"&(#[0-9]+;?|#[xX][0-9A-Fa-f]+;?|[A-Za-z][A-Za-z0-9]*;|{'|'.join(_OLD_NAMES)})"
 # name or number -> code point, from the tables of the standard library; the numbers
 # 128 to 159 mean the Windows characters
 _NAMED = {**name2codepoint, "apos": 39}
@@ -43,8 +42,9 @@ _CODES = ",".join(f"{k}:{v}" for k, v in {**_NAMED, **_NUMBERED}.items())
 
 def _entity_text(name: Column) -> Column:
     """Text of one entity given without "&" and ";"; null when there is no such name."""
-    number = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 8), 16, 10)).when(
-        name.startswith("#"), F.regexp_replace(F.substring(name, 2, 32), "^0+(?=.)", "")
+    hexed = F.regexp_replace(F.substring(name, F.lit(3), F.length(name)), "^0+(?=.)", "")
+    number = F.when(name.rlike("^#[xX]"), F.when(F.length(hexed) > 8, "0").otherwise(F.conv(hexed, 16, 10))).when(
+        name.startswith("#"), F.regexp_replace(F.substring(name, F.lit(2), F.length(name)), "^0+(?=.)", "")
     )
     listed = F.try_element_at(F.str_to_map(F.lit(_CODES)), F.coalesce(number, name))
     code = F.coalesce(listed, number).try_cast("int")
@@ -54,59 +54,53 @@ def _entity_text(name: Column) -> Column:
     return F.when(number.isNotNull() | listed.isNotNull(), char)
 
 
-def decode_entities(text: Column) -> Column:
+def decode_entities(text: Column, pattern: str = LOOSE_ENTITY) -> Column:
     """Decode numbered and named entities inside the JVM, in one pass over the text."""
 
     def decoded(t: Column) -> Column:
         chars = F.transform(
-            F.regexp_extract_all(t, F.lit(ENTITY), F.lit(1)),
-            lambda n: F.coalesce(_entity_text(n), F.concat(F.lit("&"), n, F.lit(";"))),
+            F.regexp_extract_all(t, F.lit(pattern), F.lit(1)),
+            lambda n: F.coalesce(_entity_text(F.rtrim(n, F.lit(";"))), F.concat(F.lit("&"), n)),
         )
-        pieces = F.zip_with(F.split(t, ENTITY, -1), chars, lambda p, c: F.concat(p, F.coalesce(c, F.lit(""))))
+        pieces = F.zip_with(F.split(t, pattern, -1), chars, lambda p, c: F.concat(p, F.coalesce(c, F.lit(""))))
         return F.array_join(pieces, "")
 
     return F.when(text.contains("&"), let(text, decoded)).otherwise(text)
 
 
-@F.pandas_udf(StringType())
-def _unescape(text: pd.Series) -> pd.Series:
-    return text.map(_html.unescape, na_action="ignore")
-
-
-def decode_all_entities(text: Column) -> Column:
-    """Decode as a browser does, names without semicolon included, through Python.
-
-    Only texts with an ampersand travel there.
-    """
-    marked = F.when(text.contains("&"), text)
-    return F.coalesce(_unescape(marked), text)
-
-
 def block_pattern(tags: tuple[str, ...]) -> str:
-    return "|".join(rf"<{t}\b[^>]*>.*?</{t}\s*>" for t in tags)
+    return "|".join(rf"<{t}\b{INSIDE}>.*?</{t}\s*>" for t in tags)
 
 
 def text_pattern(drop: tuple[str, ...]) -> str:
-    return rf"(?is)<!--.*?-->|{block_pattern(drop)}|</?[A-Za-z][^>]*>|<![A-Za-z][^>]*>"
+    return rf"(?is)<!--.*?-->|{block_pattern(drop)}|</?[A-Za-z]{INSIDE}>|<![A-Za-z][^>]*>"
 
 
-def page_text(html: Column, drop: tuple[str, ...] = CRAWL_DROP, all_entities: bool = False) -> Column:
+def page_text(html: Column, drop: tuple[str, ...] = CRAWL_DROP) -> Column:
     """Text nodes joined by one space, without comments and the dropped blocks."""
     bare = F.regexp_replace(html, text_pattern(drop), " ")
     flat = F.trim(F.regexp_replace(bare, r"[ \t\r\n\f]+", " "))
-    return decode_all_entities(flat) if all_entities else decode_entities(flat)
+    return decode_entities(flat)
 
 
 def cut_blocks(html: Column, tags: tuple[str, ...]) -> Column:
-    return F.regexp_replace(html, "(?is)" + block_pattern(tags), " ")
+    """Without the given blocks; a comment goes too, so that no block starts inside one."""
+    return F.regexp_replace(html, "(?is)<!--.*?-->|" + block_pattern(tags), " ")
+
+
+TITLE = rf"(?is)^<title\b{INSIDE}>(.*)</title\s*>$"
 
 
-TITLE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
+def visible(html: Column, pattern: str) -> Column:
+    """Matches of a pattern outside comments and raw-text blocks, in order."""
+    found = F.regexp_extract_all(html, F.lit(f"(?is){HIDDEN}|{pattern}"), F.lit(0))
+    return F.filter(found, lambda t: ~t.rlike(r"(?is)^<(?:!--|(?:script|style|iframe)\b)"))
 
 
 def title(html: Column, url: Column) -> Column:
-    """Title text, else the address."""
-    found = decode_entities(F.regexp_extract(html, TITLE, 1))
+    """Text of the first title element, else the address."""
+    first = F.get(visible(html, rf"<title\b{INSIDE}>.*?</title\s*>"), F.lit(0))
+    found = let(F.regexp_extract(first, TITLE, 1), lambda t: decode_entities(t))
     return F.coalesce(F.nullif(found, F.lit("")), url)
 
 
@@ -135,7 +129,7 @@ def element(token: Column, pos: Column) -> Column:
     def build(open_tag: Column) -> Column:
         names = F.regexp_extract_all(F.lower(open_tag), F.lit(ATTRIBUTE), F.lit(1))
         quoted = F.regexp_extract_all(open_tag, F.lit(ATTRIBUTE), F.lit(2))
-        values = F.transform(quoted, lambda v: let(_unquote(v), decode_entities))
+        values = F.transform(quoted, lambda v: let(_unquote(v), lambda u: decode_entities(u, ENTITY)))
         pair = F.struct(names.alias("names"), values.alias("values"))
         return let(
             pair,
@@ -147,7 +141,7 @@ def element(token: Column, pos: Column) -> Column:
                     for a in ATTRIBUTES
                 ],
                 F.nullif(
-                    F.regexp_extract(token, r"(?is)^<script\b[^>]*>(.*)</script\s*>$", 1), F.lit("")
+                    F.regexp_extract(token, rf"(?is)^<script\b{INSIDE}>(.*)</script\s*>$", 1), F.lit("")
                 ).alias("text"),
                 token.alias("raw"),
             ),

@@ -13,10 +13,11 @@ from pagelake.functions import let
 
 _C, _V = "[^aeiou]", "[aeiouy]"
 _CC, _VV = f"{_C}[^aeiouy]*", f"{_V}[aeiou]*"
-MEASURE_1 = f"^(?:{_CC})?{_VV}{_CC}"  # m > 0
-MEASURE_2 = f"^(?:{_CC})?(?:{_VV}{_CC}){{2}}"  # m > 1
-MEASURE_IS_1 = f"^(?:{_CC})?{_VV}{_CC}(?:{_VV})?$"  # m = 1
-HAS_VOWEL = f"^(?:{_CC})?{_V}"
+_HEAD = f"^(?:{_CC}{_VV}|[aeiou]+)"  # through the first vowels; a first y is a consonant
+MEASURE_1 = f"{_HEAD}{_CC}"  # m > 0
+MEASURE_2 = f"{_HEAD}{_CC}{_VV}{_CC}"  # m > 1
+MEASURE_IS_1 = f"{_HEAD}{_CC}(?:{_VV})?$"  # m = 1
+HAS_VOWEL = f"^(?:{_CC}{_V}|[aeiou])"
 SHORT_END = f"^{_CC}{_V}[^aeiouwxy]$"  # consonant, vowel, consonant but w, x, y
 
 # The suffix tables of steps 2, 3 and 4, longest match first.

@@ -33,7 +33,8 @@ def tfidf_cosine(hits: DataFrame, queries: DataFrame, cfg: Settings = DEFAULT) -
 
     ``hits``: (query_id, doc_id, title, content); ``queries``: (query_id, query). The
     query is one more document of its own corpus. Contents are compared, or titles
-    where a query's hits have no content at all. Vectors stay as (query, document,
+    where a query's hits have no content at all. All terms count unless ``max_vocabulary``
+    keeps the most frequent ones of each query. Vectors stay as (query, document,
     term, tf) rows: texts are read once, and each document counts its terms in place.
     """
     filled = F.coalesce(F.col("content"), F.lit("")) != ""
@@ -60,8 +61,7 @@ def tfidf_cosine(hits: DataFrame, queries: DataFrame, cfg: Settings = DEFAULT) -
         ),
         "vocabulary",
     )
-    largest = vocabulary.groupBy("query_id").count().agg(F.max("count")).first()[0] or 0
-    if largest > cfg.max_vocabulary:
+    if cfg.max_vocabulary is not None:
         vocabulary = top_per_group(
             vocabulary, ["query_id"], [F.desc("total"), F.asc("term")], cfg.max_vocabulary, "term"
         )

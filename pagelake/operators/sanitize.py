@@ -30,20 +30,32 @@ def remove_unwanted(html: Column, cfg: Settings = DEFAULT) -> Column:
     return F.array_join(pieces, "")
 
 
-HEAD_CLOSE = r"(?i)</head\s*>"
-HTML_OPEN = r"(?is)^.*?<html\b[^>]*>"
+def _head_tags(html: Column, wanted: Column) -> Column:
+    """Characters before and through the first tag like ``wanted`` that is no part of a comment,
+    script, style or frame; null if there is none."""
+    pattern = rf"(?is){H.HIDDEN}|<title\b{H.INSIDE}>.*?</title\s*>|</head\s*>|<html\b{H.INSIDE}>"
+    found = F.regexp_extract_all(html, F.lit(pattern), F.lit(0))
+    between = F.split(html, pattern, -1)
+
+    def place(tags: Column) -> Column:
+        nth = F.array_position(F.transform(tags, lambda t: F.startswith(F.lower(t), wanted)), F.lit(True)).cast("int")
+        size = lambda texts: F.aggregate(texts, F.lit(0), lambda n, t: n + F.length(t))
+        before = size(F.slice(between, F.lit(1), nth)) + size(F.slice(tags, F.lit(1), nth - 1))
+        return F.when(nth > 0, F.struct(before.alias("before"), (before + F.length(F.get(tags, nth - 1))).alias("through")))
+
+    return let(found, place)
 
 
 def add_snippet(html: Column, snippet: Column) -> Column:
-    """Snippet at the end of the head; a page without a head gets one."""
-    at = F.regexp_instr(html, F.lit(HEAD_CLOSE))
-    opened = F.length(F.regexp_extract(html, HTML_OPEN, 0))
+    """Snippet at the end of the head; a page without a head gets one after its html tag."""
 
     def cut(n: Column, *middle: Column) -> Column:
         return F.concat(F.substring(html, F.lit(1), n), *middle, F.substring(html, n + 1, F.length(html)))
 
-    return F.when(at > 0, cut(at - 1, snippet)).otherwise(
-        cut(opened, F.lit("<head>"), snippet, F.lit("</head>"))
+    opened = F.coalesce(_head_tags(html, F.lit("<html"))["through"], F.lit(0))
+    return F.coalesce(
+        let(_head_tags(html, F.lit("</head"))["before"], lambda at: F.when(at.isNotNull(), cut(at, snippet))),
+        let(opened, lambda at: cut(at, F.lit("<head>"), snippet, F.lit("</head>"))),
     )
 
 

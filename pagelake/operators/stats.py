@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,8 +12,6 @@ from pagelake.config import DEFAULT, Settings
 from pagelake.functions import keys, urls
 from pagelake.operators.ranked import number_rows
 
-_HALO = 19  # 0.1 ** 20 is below the precision of a double
-
 
 def shard_stats(pages: DataFrame, links: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     """Pages, links and text size per shard; empty shards show zeros.
@@ -68,23 +68,33 @@ def imbalance(stats: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
 def smoothed_latency(
     log: DataFrame, group: str, order: list[str], value: str, cfg: Settings = DEFAULT, chunk: int = 100_000
 ) -> DataFrame:
-    """Running y = w * x + (1 - w) * y_before per group, starting from 0.
+    """Running y = w * x + (1 - w) * y_before per group, starting from 0, for any weight in (0, 1].
 
-    Rows are numbered across the cluster and cut into chunks; each chunk also
-    receives the few rows before it that still count, so a group that holds most of
-    the log is smoothed by many tasks with the same result.
+    Rows are numbered across the cluster and cut into chunks, so a group that holds most
+    of the log is smoothed by many tasks. In a chunk y is a running sum of values scaled by
+    powers of 1 - w (a chunk ends before these leave the range of a double); what came
+    before enters as one number per chunk, composed from the ends of the chunks before it
+    as far back as a double can tell.
     """
     w = cfg.latency_weight
+    decay = 1.0 - w
+    if decay <= 0.0:
+        return log.withColumn("smoothed", F.col(value).cast("double"))
+    digits = -math.log10(decay)
+    size = max(1, min(chunk, int(250 / digits)))
+    reach = math.ceil(40 / (digits * size))
     numbered = number_rows(log, [group], order, "_rn")
     at = F.col("_rn") - 1
-    own = F.floor(at / chunk)
-    # the last rows of a chunk are repeated as lead-in of the next one
-    homes = F.when(at % chunk >= chunk - _HALO, F.array(own, own + 1)).otherwise(F.array(own))
-    placed = numbered.withColumn("_own", own).withColumn("_chunk", F.explode(homes))
-    recent = W.partitionBy(group, "_chunk").orderBy("_rn").rowsBetween(-_HALO, 0)
-    y = F.aggregate(F.collect_list(F.col(value).cast("double")).over(recent), F.lit(0.0), lambda acc, x: x * w + acc * (1 - w))
-    smoothed = placed.withColumn("smoothed", y)
-    return smoothed.filter(F.col("_chunk") == F.col("_own")).select(*log.columns, "smoothed")
+    placed = numbered.withColumn("_chunk", F.floor(at / size)).withColumn("_k", at % size + 1)
+    sums = W.partitionBy(group, "_chunk").orderBy("_k").rowsBetween(W.unboundedPreceding, 0)
+    scaled = F.sum(F.col(value).cast("double") * w * F.pow(F.lit(decay), -F.col("_k"))).over(sums)
+    own = placed.withColumn("_own", scaled * F.pow(F.lit(decay), "_k"))
+    ends = own.groupBy(group, "_chunk").agg(F.max_by("_own", "_k").alias("_end"))
+    before = W.partitionBy(group).orderBy("_chunk").rowsBetween(-reach, -1)
+    carry = F.aggregate(F.collect_list("_end").over(before), F.lit(0.0), lambda acc, y: acc * decay**size + y)
+    carried = ends.select(F.col(group).alias("_g"), F.col("_chunk").alias("_c"), carry.alias("_carry"))
+    joined = own.join(carried, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_chunk") == F.col("_c")))
+    return joined.withColumn("smoothed", F.col("_own") + F.col("_carry") * F.pow(F.lit(decay), "_k")).select(*log.columns, "smoothed")
 
 
 def slow(smoothed: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:

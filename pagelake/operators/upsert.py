@@ -57,6 +57,23 @@ def insert_or_ignore(incoming: DataFrame, keys: list[str], stored: DataFrame | N
     return fresh if stored is None else fresh.join(stored.select(*keys), keys, "left_anti")
 
 
-def once_per_key(df: DataFrame, key: str) -> DataFrame:
-    """One row per analysis key (batch form of the time-limited cache)."""
-    return df.dropDuplicates([key])
+def once_per_key(df: DataFrame, key: str, time: str, ttl_s: int) -> DataFrame:
+    """Analyses that are made: a row is left out if its key was analysed at most ``ttl_s`` seconds before.
+
+    Only rows that are made count as analysed, so a chain of close rows is cut at the limit. The rows
+    of one key and one ``ttl_s`` span of time meet first (partial step); what is left per key is one
+    time per span, folded in order.
+    """
+    micros, limit = F.unix_micros(time), ttl_s * 1_000_000
+    spans = df.groupBy(key, F.floor(micros / limit).alias("_span")).agg(F.sort_array(F.collect_set(micros)).alias("_times"))
+    # a span is as long as the limit, so it gives one analysis, or two a limit apart at its ends
+    per_key = spans.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_span", "_times"))).alias("_spans"))
+    every = F.flatten(F.transform("_spans", lambda s: s["_times"]))
+    made = F.aggregate(
+        every,
+        F.array().cast("array<bigint>"),
+        lambda kept, t: F.when((F.size(kept) == 0) | (t - F.try_element_at(kept, F.lit(-1)) > limit), F.concat(kept, F.array(t))).otherwise(kept),
+    )
+    times = per_key.select(key, F.explode(made).alias("_at"))
+    first = df.withColumn("_at", micros).dropDuplicates([key, "_at"])
+    return first.join(times, [key, "_at"]).drop("_at")

@@ -47,6 +47,15 @@ SELECT page_id, url, replace(html, '</article>', concat('</article>',
     ELSE '' END)) AS html
 FROM {pages}
 """
+# Constructs that a plain scan gets wrong: quoted ">", comments and scripts that hold markup, long numbers.
+HARD = """
+SELECT page_id, url, concat('<!doctype html><!-- <title>old</title><html></head> --><html lang="a>b"><head>',
+  '<script>var t="</head><title>js</title>";</script><title data-x=">">T', CAST(page_id AS string), ' &copy 1 &#x000000041;&#0000000000000000000000000000000000065;</title></head><body>',
+  '<!-- <nav> --><a title="a>b" href="/real', CAST(page_id AS string), '">r</a><nav><a href="/nav">n</a></nav><p title="x>y">k', CAST(page_id AS string), ' &copyright</p>',
+  CASE page_id % 3 WHEN 0 THEN '<script data-a=">" src="http://cdn.doubleclick.net/t.js"></script>' WHEN 1 THEN '<script>atob("x")</script>' ELSE '' END,
+  '</body></html>') AS html
+FROM {pages}
+"""
 CRAWL_LOG = """
 SELECT p.page_id, p.url, p.html, v.v AS seq,
        TIMESTAMP '2024-01-01 00:00:00' + (p.page_id * 37 + v.v * 1000) * INTERVAL '1' HOUR AS crawled_at
@@ -259,6 +268,34 @@ def sanitize_pages(spark, sf):
     return clean.select("page_id", keys.html_hash(F.col("clean_html")).alias("clean_hash"), F.length("clean_html").cast("long").alias("n_chars"))
 
 
+# --- pages with hard constructs -------------------------------------------------
+def _hard(spark, sf):
+    return spark.sql(HARD, pages=_pages(spark, sf))
+
+
+def elements_hard(spark, sf):
+    found = F.transform(H.elements(F.col("html")), lambda e, i: F.struct(i.cast("bigint").alias("place"), e["tag"].alias("tag"), e["src"].alias("src"), e["href"].alias("href")))
+    return inline_rows(_hard(spark, sf), ["page_id"], found, "tag")
+
+
+def title_hard(spark, sf):
+    html = F.col("html")
+    return _hard(spark, sf).select("page_id", H.title(html, F.col("url")).alias("title"), H.page_text(html).alias("content"))
+
+
+def links_hard(spark, sf):
+    return L.edges(_hard(spark, sf))
+
+
+def safety_hard(spark, sf):
+    done = analyze(_hard(spark, sf))
+    return done.select("page_id", half_up(F.col("score")).alias("score"), F.array_join("threats", ",").alias("threats"))
+
+
+def sanitize_hard(spark, sf):
+    return sanitize(analyze(_hard(spark, sf))).select("page_id", F.md5("clean_html").alias("clean_md5"))
+
+
 # --- text ---------------------------------------------------------------------
 def keywords_top(spark, sf):
     rows = inline_rows(_documents(spark, sf), ["doc_id"], T.keywords(F.col("text")), "rank")
@@ -383,8 +420,11 @@ def insert_valid(spark, sf):
 
 
 def analysis_once(spark, sf):
+    """Every fetch is seen again half an hour later, which needs no analysis; versions 1000 hours on do."""
     log = _crawl_log(spark, sf).withColumn("analysis_key", keys.analysis_key(F.col("url"), F.col("html")))
-    return U.once_per_key(log, "analysis_key").select("analysis_key", "url")
+    again = log.withColumn("crawled_at", F.col("crawled_at") + F.expr("INTERVAL 30 MINUTES"))
+    once = U.once_per_key(log.unionByName(again), "analysis_key", "crawled_at", DEFAULT.analysis_ttl_s)
+    return once.select("analysis_key", "url", F.unix_micros("crawled_at").alias("crawled_us"))
 
 
 # --- index and search ---------------------------------------------------------
@@ -592,7 +632,14 @@ def _latencies(spark, sf):
 
 
 def latency_smoothed(spark, sf):
-    return _latencies(spark, sf).select("event_id", "user_id", half_up(F.col("smoothed")).alias("smoothed"))
+    return _latencies(spark, sf).select("event_id", "user_id", half_up(F.col("smoothed") + F.lit(1e-9)).alias("smoothed"))
+
+
+def latency_slow_weight(spark, sf):
+    """A weight at which old rows count for long."""
+    log = _events(spark, sf).select("event_id", "ts", "user_id", "value")
+    done = A.smoothed_latency(log, "user_id", ["ts", "event_id"], "value", replace(DEFAULT, latency_weight=0.3))
+    return done.select("event_id", "user_id", half_up(F.col("smoothed") + F.lit(1e-9)).alias("smoothed"))
 
 
 def slow_shards(spark, sf):
@@ -673,7 +720,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         page_keys, fetched_pages, sitemap_urls, sitemap_candidates, sitemap_choice, store_round_trip,
         store_shard_read, netloc, url_flags, blocked_urls, resolve_links, elements, page_text, page_media,
-        page_media_json, safety_score, safety_trusted, safety_findings, sanitize_pages, keywords_top,
+        page_media_json, safety_score, safety_trusted, safety_findings, sanitize_pages, elements_hard, title_hard,
+        links_hard, safety_hard, sanitize_hard, keywords_top,
         page_keywords, stored_pages, direct_index, stem_vocabulary, link_edges, link_edges_all, link_share,
         edges_ignore, frontier, frontier_next, fetch_timetable, discovery_sites, upsert_replace, upsert_reset,
         upsert_merge, insert_valid, analysis_once, postings, postings_stemmed, term_statistics,
@@ -681,7 +729,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         search_shard_topk, search_merged, search_page, search_envelope, search_stored_index, search_folded,
         snippets, suggest_prefix, tfidf_cosine, word_overlap, freshness, rank_composite, neutral_score,
         learned_ranker, shard_stats, store_totals, shard_report, shard_imbalance, latency_smoothed,
-        slow_shards, crawl_summary, stats_report, cache_retention, operation_counts, pages_by_domain,
+        slow_shards, crawl_summary, latency_slow_weight, stats_report, cache_retention, operation_counts, pages_by_domain,
         popular_pages, stream_ingest, stream_summary, stream_dedup, stream_frontier,
     )
 }

@@ -27,7 +27,7 @@ def plain(v):
 
 
 ORACLE = entry.oracle_sql()
-TYPES = {"bigint": "BIGINT", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
 
 
 @pytest.mark.parametrize("name", list(entry.queries()))
