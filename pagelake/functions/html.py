@@ -35,7 +35,7 @@ _OLD_NAMES = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-l
 LOOSE_ENTITY = rf"&(#[0-9]+;?|#[xX][0-9A-Fa-f]+;?|[A-Za-z][A-Za-z0-9]*;|{'|'.join(_OLD_NAMES)})"
 # name or number -> code point, from the tables of the standard library; the numbers
 # 128 to 159 mean the Windows characters
-_NAMED = {**name2codepoint, "apos": 39}
+_NAMED = {**name2codepoint, "apos": 39, **{n: ord(html5[n]) for n in _OLD_NAMES}}
 _NUMBERED = {str(i): ord(bytes([i]).decode("cp1252", "replace")) for i in range(128, 160)}
 _CODES = ",".join(f"{k}:{v}" for k, v in {**_NAMED, **_NUMBERED}.items())
 

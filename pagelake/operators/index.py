@@ -12,7 +12,6 @@ from pagelake.functions import stem as S
 from pagelake.functions import text as T
 from pagelake.sources.store import broadcast_if_small, materialise
 
-MARK = ""  # no token is empty, so this term marks "the document itself"
 
 
 def postings(docs: DataFrame, doc: str, fields: list[str], fold_accents: bool = False) -> DataFrame:
@@ -87,36 +86,27 @@ def scan_hits(
 ) -> Hits:
     """Find a batch of terms in raw documents, in one pass over the text.
 
-    Tokens are exploded and joined with the broadcast terms inside one stage, so
-    only occurrences of searched terms are shuffled, by document. ``extra_terms``
-    are searchable but do not count in the document length (prefix terms).
+    Tokens are exploded and joined with the broadcast terms inside one stage. The only
+    exchange is by document, and a document arrives there as one row with the occurrences
+    of searched terms; documents without any are not sent. Their number and average length
+    come from an aggregation of their own, so a repeated task cannot count twice.
+    ``extra_terms`` are searchable but do not count in the document length (prefix terms).
     ``positions`` keeps where each term stands, for phrases.
     """
-    wanted = terms.select("term").distinct()
-    wanted = broadcast_if_small(wanted.unionByName(wanted.sparkSession.range(1).select(F.lit(MARK).alias("term"))))
+    wanted = broadcast_if_small(terms.select("term").distinct())
     searchable = F.col("_tokens") if extra_terms is None else F.concat("_tokens", extra_terms)
-    occurrences = (
-        docs.select(F.col(doc).alias("doc_id"), tokens.alias("_tokens"))
-        # the mark precedes the tokens: position 0 is the document itself
-        .select(
-            "doc_id",
-            F.size("_tokens").cast("long").alias("dl"),
-            F.posexplode(F.concat(F.array(F.lit(MARK)), searchable)).alias("pos", "term"),
-        )
-        .join(wanted, "term")
-    )
-    if positions:
-        found = occurrences.groupBy("doc_id", "dl").agg(F.collect_list(F.struct("term", "pos")).alias("found"))
-        runs = T.runs_of(F.col("found"))
-    else:
-        counted = occurrences.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
-        found = counted.groupBy("doc_id", "dl").agg(F.collect_list(F.struct("term", "tf")).alias("found"))
-        runs = F.array_sort("found")
-    # the mark sorts first and falls off
-    hits = F.slice(runs, F.lit(2), F.greatest(F.size("found"), F.lit(1)))
+    read = docs.select(F.col(doc).alias("doc_id"), tokens.alias("_tokens"))
+    occurrences = read.select(
+        "doc_id", F.size("_tokens").cast("long").alias("dl"), F.posexplode(searchable).alias("pos", "term")
+    ).join(wanted, "term")
+    found = occurrences.groupBy("doc_id", "dl").agg(F.collect_list(F.struct("term", "pos")).alias("found"))
+    hits = T.runs_of(F.col("found"))
+    if not positions:
+        hits = F.transform(hits, lambda h: F.struct(h["term"].alias("term"), h["tf"].alias("tf")))
     per_doc = materialise(found.select("doc_id", "dl", hits.alias("hits")), "hits")
-    stats = per_doc.agg(F.count("*").alias("n"), F.avg("dl").alias("a"))
-    return Hits(per_doc, stats.select("n").scalar(), stats.select("a").scalar(), _document_frequency(per_doc))
+    stats = read.agg(F.count("*").alias("n"), F.avg(F.size("_tokens")).alias("a"))
+    row = materialise(stats, "statistics")
+    return Hits(per_doc, row.select("n").scalar(), row.select("a").scalar(), _document_frequency(per_doc))
 
 
 def write_index(docs: DataFrame, doc: str, fields: list[str], path: str) -> None:

@@ -89,6 +89,19 @@ def _queries(spark: SparkSession, sf: str) -> DataFrame:
     return items.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
+def _frequent_queries(spark: SparkSession, sf: str) -> DataFrame:
+    """The three shortest words of each text, which many documents hold together."""
+    parsed = S.parse(_queries(spark, sf))
+    ordered = F.array_sort(F.transform("terms", lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))
+    return parsed.select("query_id", F.array_join(F.transform(F.slice(ordered, 1, 3), lambda x: x["t"]), " ").alias("query"))
+
+
+def _short_phrases(spark: SparkSession, sf: str) -> DataFrame:
+    """The first two words of each text."""
+    words = F.slice(T.index_tokens(F.col("query")), 1, 2)
+    return _queries(spark, sf).select("query_id", F.array_join(words, " ").alias("query"))
+
+
 def _as_of() -> Column:
     return F.to_timestamp(F.lit(AS_OF))
 
@@ -452,7 +465,7 @@ def document_lengths(spark, sf):
 
 
 def _matches(spark, sf):
-    return P.search(_queries(spark, sf), _documents(spark, sf), "doc_id", ["text"])
+    return P.search(_frequent_queries(spark, sf), _documents(spark, sf), "doc_id", ["text"])
 
 
 def _any_hits(spark, sf):
@@ -473,7 +486,7 @@ def search_all_matches(spark, sf):
 
 
 def search_phrase(spark, sf):
-    parsed = S.parse(_queries(spark, sf))
+    parsed = S.parse(_short_phrases(spark, sf))
     hits = I.scan_hits(_documents(spark, sf), "doc_id", I.tokens_of(["text"]), S.terms_of(parsed), positions=True)
     return S.match_all(parsed, hits, phrase="phrase")
 
@@ -521,7 +534,7 @@ def search_envelope(spark, sf):
 def search_stored_index(spark, sf):
     path = ST.new_path(spark, "index")
     I.write_index(_documents(spark, sf), "doc_id", ["text"], path)
-    parsed = S.parse(_queries(spark, sf))
+    parsed = S.parse(_frequent_queries(spark, sf))
     return S.top(S.match_all(parsed, I.read_hits(spark, path, S.terms_of(parsed))), TOP_K)
 
 

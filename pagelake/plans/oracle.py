@@ -264,6 +264,10 @@ def top(src: str, k: int, columns: str, part: str = "query_id", low: int = 0) ->
   FROM {src}) WHERE rank <= {k} AND rank > {low}"""
 
 
+FREQUENT = f"""qs AS (SELECT item_id AS query_id, array_to_string(list_transform(list_sort(list_transform(list_distinct({tokens('text')}),
+  lambda t: {{'n': length(t), 't': t}}))[1:3], lambda x: x.t), ' ') AS query FROM benchmark)"""
+PHRASES = f"qs AS (SELECT item_id AS query_id, array_to_string({tokens('text')}[1:2], ' ') AS query FROM benchmark)"
+DOCS_ALL = [FREQUENT, *bm25("documents", "doc_id", tokens("text"))]
 DOCS_ANY = [QUERIES, *bm25("documents", "doc_id", tokens("text"))]
 DOCS_TOP = [*DOCS_ANY, f"tops AS ({top('m', C.TOP_K, 'query_id, doc_id, score')})"]
 
@@ -571,10 +575,10 @@ def _statements() -> dict[str, str]:
         + f"SELECT page_id, field, stem AS term, count(*) AS tf, {POSITIONS} FROM occ JOIN sv USING (term) GROUP BY ALL",
         "term_statistics": f"SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (SELECT doc_id, unnest({tokens('text')}) AS term FROM documents) GROUP BY 1",
         "document_lengths": f"SELECT doc_id, len({tokens('text')}) AS dl FROM documents",
-        "search_bm25": with_(*DOCS_ANY, MATCH_ALL) + top("m2", C.TOP_K, "query_id, doc_id, score"),
+        "search_bm25": with_(*DOCS_ALL, MATCH_ALL) + top("m2", C.TOP_K, "query_id, doc_id, score"),
         "search_any": with_(*DOCS_ANY) + top("m", C.TOP_K, "query_id, doc_id, n_matched, score"),
-        "search_all_matches": with_(*DOCS_ANY, MATCH_ALL) + "SELECT query_id, doc_id, score FROM m2",
-        "search_phrase": with_(*DOCS_ANY, MATCH_ALL,
+        "search_all_matches": with_(*DOCS_ALL, MATCH_ALL) + "SELECT query_id, doc_id, score FROM m2",
+        "search_phrase": with_(PHRASES, *DOCS_ANY[1:], MATCH_ALL,
             "ph AS (SELECT query_id, ' ' || array_to_string(" + tokens("query") + ", ' ') || ' ' AS p FROM qs)",
             "dx AS (SELECT doc_id, ' ' || array_to_string(toks, ' ') || ' ' AS d FROM dt)")
         + "SELECT query_id, doc_id, score FROM m2 JOIN ph USING (query_id) JOIN dx USING (doc_id) WHERE contains(d, p)",
@@ -589,7 +593,7 @@ def _statements() -> dict[str, str]:
         "search_page": with_(*DOCS_ANY) + top("m", 2 * C.TOP_K, "query_id, doc_id, score", low=C.TOP_K),
         "search_envelope": with_("qs AS (SELECT 0 AS query_id, 'the that' AS query)", *bm25("documents", "doc_id", tokens("text")), MATCH_ALL)
         + f"SELECT 'the that' AS query, 'all' AS category, CAST(1 AS BIGINT) AS page, doc_id, score, rank FROM ({top('m2', C.TOP_K, 'query_id, doc_id, score')})",
-        "search_stored_index": with_(*DOCS_ANY, MATCH_ALL) + top("m2", C.TOP_K, "query_id, doc_id, score"),
+        "search_stored_index": with_(*DOCS_ALL, MATCH_ALL) + top("m2", C.TOP_K, "query_id, doc_id, score"),
         "search_folded": with_(f"qs AS (SELECT item_id AS query_id, {folded_query.replace('query', 'text')} AS query FROM benchmark)",
             *bm25("documents", "doc_id", f"regexp_extract_all({fold}, {q(T.INDEX_TOKEN)})"), MATCH_ALL) + "SELECT query_id, doc_id, score FROM m2",
         "snippets": _excerpts(),

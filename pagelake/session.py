@@ -8,8 +8,8 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
-def local_session(cores: str = "8", partitions: int = 8, memory: str = "8g") -> SparkSession:
-    """Session for tests and the benchmark; a cluster brings its own."""
+def local_session(cores: str = "8", partitions: int = 8, memory: str = "8g", shared: str | None = None) -> SparkSession:
+    """Session for tests and the benchmark; a cluster brings its own. ``shared`` holds intermediate tables."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("pagelake")
@@ -24,6 +24,8 @@ def local_session(cores: str = "8", partitions: int = 8, memory: str = "8g") ->
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.warehouse.dir", os.path.join(tempfile.gettempdir(), "pagelake-warehouse"))
     )
+    if shared:
+        builder = builder.config("spark.checkpoint.dir", shared)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark

@@ -9,8 +9,8 @@ from pagelake.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session(cores="4", partitions=4, memory="4g")
+def spark(tmp_path_factory):
+    session = local_session(cores="4", partitions=4, memory="4g", shared=str(tmp_path_factory.mktemp("shared")))
     yield session
     session.stop()
 

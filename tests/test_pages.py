@@ -84,10 +84,24 @@ def test_snippet_placement(spark):
     assert got == ["<html><head><t>$1\\S</head><b>", "<html lang='x'><head>$1\\S</head><body>", "<head>$1\\S</head>bare"]
 
 
+def test_snippet_is_not_put_into_scripts_or_comments(spark):
+    page = "<!-- <html></head> --><html><head><script>var t='</head>';</script><title></head></title></head><b>"
+    got = spark.createDataFrame([(page,)], "html string").select(add_snippet(F.col("html"), F.lit("S")).alias("s")).first().s
+    assert got == page.replace("</title></head>", "</title>S</head>")
+
+
+def test_cut_off_and_very_long_tags(spark):
+    texts = ['<a href="/x">y</a><a title="' + "b" * 300_000, "<a " + "c " * 200_000, "<a " + 'x="1" ' * 50_000 + 'href="/l">z', "<p it's>k</p>"]
+    df = spark.createDataFrame([(t,) for t in texts], "html string")
+    rows = df.select(H.elements(F.col("html")).alias("e"), H.page_text(F.col("html")).alias("t")).collect()
+    assert [[e.href for e in r.e] for r in rows] == [["/x"], [], ["/l"], []]
+    assert rows[2].t == "z" and rows[3].t == "k" and rows[0].t.startswith("y <a")
+
+
 def test_unsafe_page_gets_the_snippet(spark):
     df = analyze(frame(spark, [("http://a.test/", "<html><head></head>" + BAD_SCRIPT, None), ("http://a.test/", "<html><head></head>", None)]))
     got = [r.clean_html for r in sanitize(df).orderBy("page_id").collect()]
-    assert "storage blocked</head>" not in got[0] and got[0].index("storage") < got[0].index("</head>")
+    assert got[0].index("localStorage") < got[0].index("</script></head>")
     assert got[1] == "<html><head></head>"
 
 
@@ -101,18 +115,17 @@ def test_text_title_and_entities(spark):
         H.title(F.col("html"), F.col("url")).alias("title"),
         H.page_text(F.col("html")).alias("text"),
         H.page_text(F.col("html"), H.INDEX_DROP).alias("index_text"),
-        H.page_text(F.col("html"), H.CRAWL_DROP, True).alias("full"),
     ).collect()
     assert got[0].title == "A & B" and got[1].title == "http://h.test/t"
     assert got[0].text == "A & B x y z 1 < 2"
     assert got[0].index_text == "A & B n x y z © f 1 < 2"
-    assert got[1].full == got[1].text == pyhtml.unescape("&eacute;&#8364;")
+    assert got[1].text == pyhtml.unescape("&eacute;&#8364;")
 
 
 def test_entities_like_standard_library(spark):
     texts = [
         "a &amp;lt; b &lt;i&gt; &eacute;&Eacute; &#8217;&#x20AC;&#X1F600; &#39;&apos; &#150;&#0039;", "&bogus; & &; &#; &#x; x&", "&#xD800; &#0; &#1114112; &#99999999999;",
-        "&rarr;&hellip;&mdash;", "plain", "",
+        "&rarr;&hellip;&mdash;", "plain", "", "&#x000000041;&#" + "0" * 60 + "65; &#x110000000041;", "&copy 2024 &ampx &notin &eacutes &#65 &#x42g &AMP",
     ]
     df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string")
     got = [r.d for r in df.select(H.decode_entities(F.col("t")).alias("d")).collect()]

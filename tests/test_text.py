@@ -66,3 +66,12 @@ def test_stemmed_postings_merge_positions(spark):
     docs = spark.createDataFrame([(1, "hopping hop cats hops")], "d long, t string")
     got = I.stem_postings(I.postings(docs, "d", ["t"]), "d").collect()
     assert {(r.term, r.tf, tuple(r.positions)) for r in got} == {("hop", 3, (0, 1, 3)), ("cat", 1, (2,))}
+
+
+def test_a_first_y_is_a_consonant(spark):
+    """Stems worked out by hand from the paper's rules."""
+
+
+    want = {"ying": "ying", "yed": "yed", "yly": "yly", "ypres": "ypre", "yes": "ye", "yelling": "yell", "syzygy": "syzygi", "happy": "happi", "sky": "sky", "toyed": "toi"}
+    df = spark.createDataFrame([(w,) for w in want], "w string")
+    assert {r.w: r.s for r in df.select("w", porter_stem(F.col("w")).alias("s")).collect()} == want
