@@ -109,20 +109,29 @@ def scan_hits(
     return Hits(per_doc, row.select("n").scalar(), row.select("a").scalar(), _document_frequency(per_doc))
 
 
+# Folders of a stored index, and the batch size up to which the terms themselves are pushed to the scan.
+BUCKETS, PUSHED_TERMS = 64, 2000
+
+
+def bucket_of(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
 def write_index(docs: DataFrame, doc: str, fields: list[str], path: str) -> None:
     """Store postings and corpus statistics.
 
-    Each file is sorted by (term, document), so a search reads the row groups of its
-    terms only. The rebalance hint cuts the postings of a term found everywhere into
-    many tasks by size, without a sampling pass over the texts.
+    Postings lie in one folder per term bucket, each file sorted by (term, document). The
+    rebalance hint cuts a large bucket into many tasks by size, without a sampling pass over
+    the texts.
     """
     combined = docs.select(F.col(doc).alias("doc_id"), tokens_of(fields).alias("_tokens"))
     length = F.size("_tokens").cast("long").alias("dl")
-    rows = inline_rows(combined, ["doc_id", length], T.term_runs(F.col("_tokens")), "term")
+    rows = inline_rows(combined, ["doc_id", length], T.term_runs(F.col("_tokens")), "term").withColumn("bucket", bucket_of(F.col("term")))
     (
-        rows.hint("rebalance", F.col("term"))
-        .sortWithinPartitions("term", "doc_id")
+        rows.hint("rebalance", F.col("bucket"))
+        .sortWithinPartitions("bucket", "term", "doc_id")
         .write.option("compression", "zstd")
+        .partitionBy("bucket")
         .parquet(f"{path}/postings")
     )
     combined.agg(
@@ -130,12 +139,22 @@ def write_index(docs: DataFrame, doc: str, fields: list[str], path: str) -> None
     ).write.parquet(f"{path}/statistics")
 
 
+def read_postings(spark: SparkSession, path: str, terms: DataFrame) -> DataFrame:
+    """Stored postings of the given terms: folders of other buckets are not listed, and of a
+    small batch the terms reach the scan, which skips row groups by their term range."""
+    wanted = terms.select("term").distinct()
+    post = spark.read.parquet(f"{path}/postings")
+    few = [r["term"] for r in wanted.limit(PUSHED_TERMS + 1).collect()]
+    if len(few) <= PUSHED_TERMS:
+        buckets = [r[0] for r in wanted.select(bucket_of(F.col("term"))).distinct().collect()]
+        return post.filter(F.col("bucket").isin(buckets) & F.col("term").isin(few)).drop("bucket")
+    return post.drop("bucket").join(broadcast_if_small(wanted), "term")
+
+
 def read_hits(spark: SparkSession, path: str, terms: DataFrame) -> Hits:
     """Hits of a batch of terms from a stored index."""
-    post = spark.read.parquet(f"{path}/postings")
-    wanted = broadcast_if_small(terms.select("term").distinct())
     per_doc = (
-        post.join(wanted, "term")
+        read_postings(spark, path, terms)
         .groupBy("doc_id", "dl")
         .agg(F.array_sort(F.collect_list(F.struct("term", "tf", "positions"))).alias("hits"))
     )

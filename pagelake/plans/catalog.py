@@ -577,6 +577,13 @@ def tfidf_cosine(spark, sf):
     return out.select("query_id", "doc_id", half_up(F.col("similarity")).alias("similarity"))
 
 
+def tfidf_titles(spark, sf):
+    """Hits without any content are compared by their titles."""
+    hits = _document_hits(spark, sf).withColumnRenamed("content", "title").withColumn("content", F.lit(""))
+    out = R.tfidf_cosine(hits, _queries(spark, sf))
+    return out.select("query_id", "doc_id", half_up(F.col("similarity")).alias("similarity"))
+
+
 def word_overlap(spark, sf):
     hits = _document_hits(spark, sf).join(_queries(spark, sf), "query_id")
     overlap = R.word_overlap(F.col("query"), F.lit(""), F.col("content"))
@@ -740,7 +747,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         upsert_merge, insert_valid, analysis_once, postings, postings_stemmed, term_statistics,
         document_lengths, search_bm25, search_any, search_all_matches, search_phrase, search_boolean,
         search_shard_topk, search_merged, search_page, search_envelope, search_stored_index, search_folded,
-        snippets, suggest_prefix, tfidf_cosine, word_overlap, freshness, rank_composite, neutral_score,
+        snippets, suggest_prefix, tfidf_cosine, tfidf_titles, word_overlap, freshness, rank_composite, neutral_score,
         learned_ranker, shard_stats, store_totals, shard_report, shard_imbalance, latency_smoothed,
         slow_shards, crawl_summary, latency_slow_weight, stats_report, cache_retention, operation_counts, pages_by_domain,
         popular_pages, stream_ingest, stream_summary, stream_dedup, stream_frontier,

@@ -603,6 +603,7 @@ def _statements() -> dict[str, str]:
             "df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1)", "qt AS (SELECT query_id, query_id AS term FROM qs WHERE length(query_id) >= 2)", *weights("qt", "m"))
         + top("m", K.DEFAULT.suggest_limit, "query_id, doc_id, score"),
         "tfidf_cosine": with_(*DOCS_TOP, "hx AS (SELECT query_id, doc_id, text AS corpus FROM tops JOIN documents USING (doc_id))", *tfidf("hx")) + f"SELECT query_id, doc_id, {half_up('similarity')} AS similarity FROM sim",
+        "tfidf_titles": with_(*DOCS_TOP, "hx AS (SELECT query_id, doc_id, text AS corpus FROM tops JOIN documents USING (doc_id))", *tfidf("hx")) + f"SELECT query_id, doc_id, {half_up('similarity')} AS similarity FROM sim",
         "word_overlap": with_(*DOCS_TOP) + f"""SELECT query_id, doc_id, {half_up("CAST(count(*) FILTER (contains(t, w)) AS DOUBLE) / greatest(count(*), 1)")} AS overlap FROM (
             SELECT query_id, doc_id, ' ' || lower(text) AS t, unnest(list_distinct(list_filter(regexp_split_to_array(lower(query), {q(T.GAP)}), lambda w: w <> ''))) AS w
             FROM tops JOIN (SELECT doc_id, text FROM documents) USING (doc_id) JOIN qs USING (query_id)) GROUP BY 1, 2""",

@@ -88,11 +88,15 @@ def write_pages(pages: DataFrame, path: str, cfg: Settings = DEFAULT, mode: str
     """Write pages as one folder per shard, column chunks compressed with zstd.
 
     The rebalance hint lets the adaptive planner cut a large shard into many
-    tasks and pack small ones, so files have an even size whatever the skew.
+    tasks and pack small ones, so files have an even size whatever the skew. Rows lie by
+    host and time (where there are such columns), so a search for one host, or for its
+    newest pages, skips the other row groups.
     """
     keyed = with_keys(pages, cfg)
+    clustered = [c for c in ("domain", "crawled_at", "url") if c in keyed.columns]
     (
         keyed.hint("rebalance", F.col("shard"))
+        .sortWithinPartitions("shard", *clustered)
         .write.mode(mode)
         .option("compression", "zstd")
         .partitionBy("shard")

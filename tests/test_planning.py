@@ -2,6 +2,7 @@ import pytest
 from helpers import plan, rows
 from pyspark.sql import functions as F
 
+from pagelake.operators import index as I
 from pagelake.operators import links as L
 from pagelake.operators import ranked as K
 from pagelake.operators import stats as A
@@ -146,3 +147,22 @@ def test_size_check(spark):
     assert ST.is_small(spark.range(10))
     assert not ST.is_small(spark.range(10), max_rows=9)
     assert not ST.is_small(spark.range(10).select(F.repeat(F.lit("x"), 1000).alias("t")), max_bytes=5000)
+
+
+def test_stored_index_reads_its_terms_only(spark, tmp_path):
+    """Buckets of other terms are pruned as folders and the terms reach the scan."""
+    docs = spark.createDataFrame([(i, f"w{i} w{i + 1} common") for i in range(300)], "doc_id long, text string")
+    I.write_index(docs, "doc_id", ["text"], str(tmp_path / "i"))
+    terms = spark.createDataFrame([("w7",), ("w8",)], "term string")
+    found = I.read_postings(spark, str(tmp_path / "i"), terms)
+    text = plan(found)
+    assert "PartitionFilters: [" in text and "bucket" in text.split("PartitionFilters: [")[1].split("]")[0]
+    assert "In(term, [" in text
+    assert sorted((r.term, r.doc_id) for r in found.collect()) == [("w7", 6), ("w7", 7), ("w8", 7), ("w8", 8)]
+
+
+def test_scanned_hits_cross_one_exchange(spark):
+    docs = spark.createDataFrame([(1, "a b a"), (2, "c")], "doc_id long, text string")
+    hits = I.scan_hits(docs, "doc_id", I.tokens_of(["text"]), spark.createDataFrame([("a",)], "term string"))
+    assert [(r.doc_id, r.dl, [tuple(h) for h in r.hits]) for r in hits.docs.collect()] == [(1, 3, [("a", 2)])]
+    assert docs.select(hits.n_docs.alias("n"), hits.avg_dl.alias("a")).first() == (2, 2.0)
