@@ -38,6 +38,22 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), neardup.Shape(shingle=3, percent=85))
 
 
+WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+# every pair that shares a shingle, and components by following links until nothing is new
+ORACLE["op2_near_duplicates"] = f"""WITH RECURSIVE d AS (SELECT doc_id, {WORDS.format(_LOWER)} AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ') ELSE array_to_string(w[p:p + 2], ' ') END AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS p FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+both_ AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b USING (s) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM both_ JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT doc_id AS id, doc_id AS root FROM d UNION SELECT edge.b, reach.root FROM reach JOIN edge ON edge.a = reach.id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, root AS component_id, root = doc_id AS kept
+FROM (SELECT id AS doc_id, min(root) AS root FROM reach GROUP BY 1) LEFT JOIN n USING (doc_id)"""
+
+
 @query
 def op3_maxent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probability of every document under the model of the documents outside the held-out fold."""
@@ -93,6 +109,16 @@ def op7_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superkmer.repeated_words(table(spark, sf_dir, "documents")).drop("key")
 
 
+ORACLE["op7_repeated_windows"] = f"""WITH d AS (SELECT doc_id, {WORDS.format('text')} AS w FROM documents),
+win AS (SELECT doc_id, p, array_to_string(w[p:p + 49], ' ') AS t FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM d WHERE len(w) >= 50)),
+low AS (SELECT t, min(doc_id) AS m FROM win GROUP BY 1 HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS pos FROM win JOIN low USING (t) WHERE m < doc_id),
+word AS (SELECT doc_id, unnest(w) AS x, CAST(generate_subscripts(w, 1) AS BIGINT) AS pos FROM d),
+kept AS (SELECT doc_id, count(*) AS k, string_agg(x, ' ' ORDER BY word.pos) AS t FROM word LEFT JOIN gone USING (doc_id, pos) WHERE gone.pos IS NULL GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(k, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)"""
+
+
 @query
 def op8_best_bin_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twenty nearest vectors of every twentieth vector by inner product."""
