@@ -28,12 +28,15 @@ def outgoing(url: Column, html: Column, include_boilerplate: bool = False) -> Co
     return F.array_distinct(F.filter(absolute, urls.is_web))
 
 
+def targets(pages: DataFrame, html: str = "html", include_boilerplate: bool = False) -> Column:
+    """Link targets of a page; null if the page is sandboxed."""
+    found = outgoing(F.col("url"), F.col(html), include_boilerplate)
+    return F.when(~F.col("sandbox_required"), found) if "sandbox_required" in pages.columns else found
+
+
 def edges(pages: DataFrame, html: str = "html", include_boilerplate: bool = False) -> DataFrame:
     """Edges (from_url, to_url) of pages that are not sandboxed; distinct within a page."""
-    targets = outgoing(F.col("url"), F.col(html), include_boilerplate)
-    if "sandbox_required" in pages.columns:
-        targets = F.when(~F.col("sandbox_required"), targets)
-    return explode_rows(pages, [F.col("url").alias("from_url")], targets, "to_url")
+    return explode_rows(pages, [F.col("url").alias("from_url")], targets(pages, html, include_boilerplate), "to_url")
 
 
 def stored_edges(rows: DataFrame) -> DataFrame:

@@ -98,24 +98,18 @@ def grow_frontier(
 ) -> StreamingQuery:
     """Queue the links of arriving pages, once per address over all batches.
 
-    A batch is anti-joined with the folders of earlier batches only, so a replayed batch
-    writes the same rows again.
+    Which addresses were seen is keyed state of the stream, spread over the cluster, so a
+    batch costs as much as its own pages however long the stream has run. For many
+    addresses set the RocksDB state store.
     """
-
-    def write(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        links = L.edges(analysed_pages(spread(batch, "url"), cfg), "clean_html")
-        found = links.select(F.col("to_url").alias("url")).distinct()
-        seen = batch.select("url")
-        if epoch > 0:
-            earlier = spark.read.schema("url string, priority int, crawled boolean, epoch int").parquet(target)
-            seen = seen.unionByName(earlier.filter(F.col("epoch") < epoch).select("url"))
-        fresh = L.frontier(found.withColumn("priority", F.lit(L.PRIORITY_LINK)), seen)
-        crawled = batch.select("url", F.lit(L.PRIORITY_DEFAULT).alias("priority")).distinct()
-        rows = fresh.withColumn("crawled", F.lit(False)).unionByName(crawled.withColumn("crawled", F.lit(True)))
-        rows.write.mode("overwrite").parquet(f"{target}/epoch={epoch}")
-
-    return _start(pages, write, checkpoint, interval)
+    done = analysed_pages(pages, cfg)
+    own = F.struct("url", F.lit(L.PRIORITY_DEFAULT).alias("priority"), F.lit(True).alias("crawled"))
+    found = F.transform(
+        F.coalesce(L.targets(done, "clean_html"), F.array().cast("array<string>")),
+        lambda u: F.struct(u.alias("url"), F.lit(L.PRIORITY_LINK).alias("priority"), F.lit(False).alias("crawled")),
+    )
+    rows = done.select(F.inline(F.concat(F.array(own), found)))
+    return store_stream(rows.dropDuplicates(["url", "crawled"]), target, checkpoint, interval)
 
 
 def waiting_urls(spark: SparkSession, target: str) -> DataFrame:
