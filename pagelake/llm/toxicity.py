@@ -21,6 +21,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,9 +34,9 @@ class Shape(NamedTuple):
 
     lengths: tuple[int, ...] = (4, 6, 8)
     bits: int = 18
-    sample: int = 3000
+    sample: int = 2000
     smoothing: float = 1.0
-    doubt: float = 1.0
+    doubt: float = 1.5
     penalty: float = 1.0
     threshold: float = 0.3
 
@@ -132,10 +133,10 @@ def logistic(indices: np.ndarray, starts: np.ndarray, scale: np.ndarray, y: np.n
 def train(docs: DataFrame, labels: DataFrame, shape: Shape = Shape()) -> Model:
     """The model from the labelled rows of ``docs``, which the caller restricts to training rows."""
     rows = _labelled(docs, labels)
-    counts = _counts(rows, shape).toPandas()  # one row per bucket at most: 2^bits + 1
+    counts = _counts(rows, shape).toArrow()  # one row per bucket at most: 2^bits + 1
     grid = np.zeros((2, (1 << shape.bits) + 1))
-    if len(counts):
-        grid[:, counts["bucket"].to_numpy() + 1] = counts[["toxic", "clean"]].to_numpy().T
+    for row, name in enumerate(("toxic", "clean")):
+        grid[row, counts["bucket"].to_numpy() + 1] = counts[name].to_numpy()
     texts = grid[:, 0]
     if not texts.all():
         return Model(np.zeros(1 << shape.bits, np.float32), 30.0 if texts[0] else -30.0)
@@ -143,9 +144,9 @@ def train(docs: DataFrame, labels: DataFrame, shape: Shape = Shape()) -> Model:
     ratio = np.log(share[0] / share[1])
     error = np.sqrt((1 / (grid[:, 1:] + shape.smoothing)).sum(0))
     ratio = np.sign(ratio) * np.maximum(np.abs(ratio) - shape.doubt * error, 0)
-    sample = _sample(rows, np.flatnonzero(ratio).astype(np.int32), shape).toPandas().sort_values("doc_id", kind="stable")  # at most 2 * sample rows
-    starts = np.concatenate(([0], np.cumsum(sample["buckets"].map(len))))
-    indices = np.concatenate(sample["buckets"].to_list()).astype(np.int32)
+    sample = _sample(rows, np.flatnonzero(ratio).astype(np.int32), shape).toArrow().sort_by("doc_id")  # at most 2 * sample rows
+    starts = np.concatenate(([0], np.cumsum(pc.list_value_length(sample["buckets"]).to_numpy())))
+    indices = sample["buckets"].combine_chunks().flatten().to_numpy()
     y = sample["toxic"].to_numpy().astype(float)
     importance = np.where(y > 0, texts[0] / max(y.sum(), 1), texts[1] / max((1 - y).sum(), 1))
     importance *= len(y) / importance.sum()
