@@ -41,7 +41,7 @@ class Shape(NamedTuple):
     branch: int = 8
     leaf: int = 64
     probes: int = 200
-    recall: float = 0.97
+    recall: float = 0.95
     reach: float = 0.5
     block: int = 4096
     seed: int = 11
