@@ -13,8 +13,8 @@ one round), all tasks sum the gradient and the curvature of their tokens for eve
 the sums chunk by chunk, and the weights move by the damped quotient. Counts cover all training
 texts. Scoring is one narrow pass in sparse numpy batches: only rows of present histories are read.
 
-Bounded by the shape, not by the corpus: the weight table, the paths and the ``head`` most frequent
-words, whose counts go to all tasks. Counts of all other words stay distributed; tokens outside the
+Bounded by the shape, not by the corpus: the weight table, the paths and at most ``head`` of the
+most frequent words, whose counts go to all tasks. Counts of all other words stay distributed; tokens outside the
 head meet them by a join on the word, after adding up within each text. Words are known by 64-bit hashes.
 
 A null text is an empty one: its only token is the end. A null id is in no held-out fold. Rows that
@@ -48,7 +48,7 @@ class Shape(NamedTuple):
     """log2 of weight rows, words in the head, rounds, damping, prior curvature."""
 
     bits: int = 15
-    head: int = 1 << 20
+    head: int = 1 << 19
     rounds: int = 3
     damping: float = 0.3
     prior: float = 50.0
@@ -122,8 +122,18 @@ def count_words(docs: DataFrame, held: int = 1 << 20) -> DataFrame:
 def vocabulary(counts: DataFrame, shape: Shape) -> Vocabulary:
     """The head (at most ``shape.head`` words), the paths of its most frequent words and the biases."""
     totals = counts.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(shape.head).toPandas()
-    hashes, n = top["word"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
+    # the head ends at a step of the counts, so that it needs no sorting across tasks
+    step = F.floor(F.log2("n") * 64).cast("long")
+    steps = counts.groupBy(step.alias("step")).agg(F.count("*").alias("words")).collect()  # at most 64 * 63 rows
+    kept, least = 0, 1 << 30
+    for r in sorted(steps, reverse=True):
+        if kept + r["words"] > shape.head:
+            break
+        kept, least = kept + r["words"], r["step"]
+    top = counts.filter(step >= least).select("word", "n").toArrow()
+    hashes, n = top["word"].to_numpy().view(np.uint64), top["n"].to_numpy().astype(np.int64)
+    order = np.lexsort((hashes, -n))
+    hashes, n = hashes[order], n[order]
     own = min(len(n), (BRANCH - 1) * BRANCH * BRANCH)
     paths = np.full(len(n), -1, np.int32)
     paths[:own] = BRANCH * BRANCH + np.arange(own)  # branch 0 of the first choice is the shared class
