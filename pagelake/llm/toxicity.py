@@ -36,7 +36,7 @@ class Shape(NamedTuple):
     bits: int = 18
     sample: int = 2000
     smoothing: float = 1.0
-    doubt: float = 1.5
+    doubt: float = 2.0
     penalty: float = 1.0
     threshold: float = 0.3
 
@@ -70,7 +70,8 @@ def features(text: str | None, shape: Shape, piece: int = 1 << 20) -> np.ndarray
 def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Training texts with their label, stored once."""
     marks = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    return materialise(docs.select("doc_id", "text").join(marks, "doc_id").select("doc_id", "text", (F.col("toxic") > 0).alias("toxic")), "labelled")
+    # labels grow with the corpus: always by shuffle, so that small and large runs take the same way
+    return materialise(docs.select("doc_id", "text").join(marks.hint("shuffle_merge"), "doc_id").select("doc_id", "text", (F.col("toxic") > 0).alias("toxic")), "labelled")
 
 
 def _counts(rows: DataFrame, shape: Shape) -> DataFrame:
