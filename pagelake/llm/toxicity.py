@@ -34,7 +34,7 @@ class Shape(NamedTuple):
 
     lengths: tuple[int, ...] = (4, 6, 8)
     bits: int = 18
-    sample: int = 2000
+    sample: int = 1000
     smoothing: float = 1.0
     doubt: float = 2.0
     penalty: float = 1.0
@@ -105,11 +105,11 @@ def _sample(rows: DataFrame, useful: np.ndarray, shape: Shape) -> DataFrame:
     return picked.select("doc_id", "text", "toxic").mapInArrow(run, "doc_id long, toxic boolean, buckets array<int>")
 
 
-def logistic(indices: np.ndarray, starts: np.ndarray, scale: np.ndarray, y: np.ndarray, importance: np.ndarray, penalty: float, rounds: int = 150) -> tuple[np.ndarray, float]:
+def logistic(indices: np.ndarray, starts: np.ndarray, scale: np.ndarray, y: np.ndarray, importance: np.ndarray, penalty: float, rounds: int = 100) -> tuple[np.ndarray, float]:
     """Weighted L2 logistic regression on rows of scaled binary features, by accelerated gradient descent."""
     n, d = len(y), len(scale)
     row = np.repeat(np.arange(n), np.diff(starts)).astype(np.int32)
-    size = np.maximum(np.bincount(row, scale[indices] ** 2, n), 1e-9)
+    size = np.maximum(np.bincount(row, (scale * scale).astype(np.float32)[indices], n), 1e-9)
     step = 1.0 / (0.25 * float((importance * (size + 1)).sum()) / 8 + penalty)  # the bound is loose; halved on ascent below
     w, b = np.zeros(d), float(np.log((importance * y).sum() / (importance * (1 - y)).sum()))
     look_w, look_b, t, last = w, b, 1.0, np.inf
