@@ -8,7 +8,9 @@ is read again and the text of the best path that the page has is taken. A page w
 host's paths takes its own best. So a page whose own layout misleads the score follows its host.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are
-left out by tag, role and class words wherever they stand. Block elements end a block, inline ones
+left out by tag, role and class words wherever they stand. A class or id counts by its whole name, and
+never for html, body, main, article or an element that holds more than half of the page's text (what tags
+and roles leave out not counted), but for one beside the page's article or main. Block elements end a block, inline ones
 and line breaks do not (a line break is white space). White space is any Unicode white space.
 
 Two narrow scans of the pages, one small aggregation by (host, path) with a partial step, and a join
@@ -56,7 +58,11 @@ _WORDS = frozenset(
     "cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe signup login share sharing social "
     "related recommended recommendations pagination pager toolbar copyright disclaimer".split()
 )
-_HEADERS = re.compile(r"\b(?:site|page|top|main|global)[-_]?header\b", re.I)
+_HEADERS = re.compile(r"(?:site|page|top|main|global)[-_]?header")
+#: What a class name of several words may say beside those words: place, order and kind of box.
+_BESIDE = frozenset("area bar block bottom box button container global inner item left links list main outer page panel post primary right secondary section site slot top unit wrap wrapper".split())
+#: Elements that no class or id leaves out.
+_KEPT = frozenset(("html", "body", "main", "article"))
 #: An open element that a new one of the same group ends, and where the search for it stops.
 _ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 
@@ -67,29 +73,59 @@ class Page:
     def __init__(self, source: str | None):
         self.parent, self.tag, self.path = [0], [""], [""]
         self.blocks: list[tuple[int, str, int]] = []
-        self._read(source or "")
-
-    def _read(self, source: str) -> None:
+        #: Elements whose class or id names them as unwanted, in order.
+        self.named: list[int] = []
+        self._fill(self._read(source or ""))
+
+    def _fill(self, read: list[tuple[int, list[tuple[int, str, bool]]]]) -> None:
+        """Blocks from (element, pieces of text) without what lies below unwanted elements."""
+        gone = self._gone(read) if self.named else ()
+        for element, pieces in read:
+            kept = [x for x in pieces if not gone or not gone[x[0]]]
+            text = " ".join(entities.unescape("".join([x[1] for x in kept])).split())
+            if text:
+                self.blocks.append((element, text, sum(len(x[1]) for x in kept if x[2])))
+
+    def _gone(self, read: list[tuple[int, list[tuple[int, str, bool]]]]) -> list[bool]:
+        """Elements that are unwanted by name and not the bulk of the page, and all below them.
+
+        The bulk is more than half of the text, where no article or main with text stands beside it.
+        """
+        held = [0] * len(self.tag)
+        for _, pieces in read:
+            for e, piece, _ in pieces:
+                held[e] += len("".join(piece.split()))
+        whole = [t in _WHOLE for t in self.tag]
+        above, below = whole.copy(), [False] * len(held)
+        for e in range(1, len(held)):  # parents come before their children
+            above[e] = above[e] or above[self.parent[e]]
+        for e in range(len(held) - 1, 0, -1):
+            held[self.parent[e]] += held[e]
+            below[self.parent[e]] = below[self.parent[e]] or below[e] or (whole[e] and held[e] > 0)
+        gone = [False] * len(held)
+        for e in self.named:
+            gone[e] = 2 * held[e] <= held[0] or (below[0] and not above[e] and not below[e])
+        for e in range(1, len(gone)):
+            gone[e] = gone[e] or gone[self.parent[e]]
+        return gone
+
+    def _read(self, source: str) -> list[tuple[int, list[tuple[int, str, bool]]]]:
         stack, left_out = [0], [False]
-        words: list[str] = []
-        linked = links = at = 0
+        words: list[tuple[int, str, bool]] = []
+        read: list[tuple[int, list[tuple[int, str, bool]]]] = []
+        links = at = 0
 
         def end_block() -> None:
-            nonlocal linked
             if words:
-                text = " ".join(entities.unescape("".join(words)).split())
-                if text:
-                    self.blocks.append((stack[-1], text, linked))
+                read.append((stack[-1], words.copy()))
                 words.clear()
-            linked = 0
 
         def pop_to(depth: int) -> None:
             del stack[depth:], left_out[depth:]
 
         for m in _TAG.finditer(source):
             if m.start() > at and not left_out[-1]:
-                words.append(source[at : m.start()])
-                linked += (m.start() - at) * (links > 0)
+                words.append((stack[-1], source[at : m.start()], links > 0))
             at = m.end()
             if not m[3]:
                 continue
@@ -110,13 +146,14 @@ class Page:
                 if name == "hr":
                     end_block()
                 elif name == "br" and not left_out[-1]:
-                    words.append(" ")
+                    words.append((stack[-1], " ", False))
                 continue
             if name == "a":
                 links = 1
             named = {k.lower(): a or b or c for k, a, b, c in _NAMED.findall(m[4])} if "=" in m[4] else {}
-            out = left_out[-1] or name in _LEFT_OUT or self._unwanted(named)
-            if not block and not (out and not left_out[-1]):
+            out = left_out[-1] or name in _LEFT_OUT or named.get("role", "").lower() in _ROLES
+            marked = not out and name not in _KEPT and self._unwanted(named)
+            if not block and not marked and not (out and not left_out[-1]):
                 continue
             if block:
                 if len(stack) > 1 and self.tag[stack[-1]] == "p":
@@ -130,6 +167,8 @@ class Page:
                         break
             self.parent.append(stack[-1])
             self.tag.append(name)
+            if marked:
+                self.named.append(len(self.tag) - 1)
             classes = sorted({re.sub(r"\d+", "", c) for c in named.get("class", "").lower().split()} - {""})
             above = self.path[stack[-1]]
             if above.count("/") >= DEPTH:
@@ -139,16 +178,18 @@ class Page:
             left_out.append(out or left_out[-1])
         if not left_out[-1]:
             cut = re.search(r"<[a-zA-Z/!?]", source[at:])  # a tag that the page's end cuts off
-            words.append(source[at : at + cut.start()] if cut else source[at:])
+            words.append((stack[-1], source[at : at + cut.start()] if cut else source[at:], False))
         end_block()
+        return read
 
     @staticmethod
     def _unwanted(named: dict[str, str]) -> bool:
-        if named.get("role", "").lower() in _ROLES:
-            return True
-        for key in ("class", "id"):
-            value = named.get(key)
-            if value and (not _WORDS.isdisjoint(re.split(r"[^a-z]+", value.lower())) or _HEADERS.search(value)):
+        """Whether a whole class or id is an unwanted word, or several with words of place only."""
+        for token in f"{named.get('class') or ''} {named.get('id') or ''}".lower().split():
+            if _HEADERS.fullmatch(token):
+                return True
+            parts = set(re.split(r"[^a-z]+", token)) - {""}
+            if not _WORDS.isdisjoint(parts) and parts <= _WORDS | _BESIDE:
                 return True
         return False
 

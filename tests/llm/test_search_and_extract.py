@@ -81,6 +81,22 @@ def test_article_text(spark):
     assert extract(spark, [(1, "http://a.test/x", ARTICLE)])[1] == want
 
 
+def test_class_words_of_themes_keep_the_article():
+    """Class words of body, article or of what holds most of the text leave nothing out; boxes of whole names go."""
+    inner = "<h1>Head</h1><p>Some text of the article</p><p>and more of it</p>"
+    ads = '<div class="ad-slot">no</div><div class="widget_area left">no</div><p>in <span class="share">no</span>line</p><div id="comment-list-2">no</div>'
+    want = "Head\nSome text of the article\nand more of it\nin line"
+    for page in (
+        f"<body class='single has-sidebar sidebar'><div>{inner}{ads}</div></body>",
+        f"<body><article class='post comments-open comments'>{inner}{ads}</article></body>",
+        f"<body><div id='content' class='social-science'>{inner}{ads}</div></body>",
+        f"<body><div class='widget'>{inner}{ads}</div><div class='social-science'></div></body>",
+    ):
+        assert consensus.Page(page).text(()) == want and consensus.Page(page).scores()
+    small = f"<body><div>{inner}<div class='social-science'>kept</div><div class='social'>no</div></div></body>"
+    assert consensus.Page(small).text(()) == want.replace("in line", "kept")
+
+
 def test_pages_follow_their_host(spark):
     """A page whose largest block is elsewhere still gives the container that its host agrees on."""
     plain = '<body><div class="story"><p>{}</p></div><div class="box"><p>x</p></div>'
