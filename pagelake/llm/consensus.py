@@ -3,9 +3,13 @@
 Every page is read by one scan of its tags. Its containers are scored by the text outside links of
 the blocks below them (whole for the nearest container, half for each one above, whole again for
 article and main), and each generalised path (tags with their classes, digits left out) gives its
-host a vote, the score as a share of the page's best. Spark adds the votes of a host; then every page
-is read again and the text of the best path that the page has is taken. A page without any of the
-host's paths takes its own best. So a page whose own layout misleads the score follows its host.
+host a vote, the score as a share of the page's best. Spark adds the votes of a host and counts the
+pages that hold the path; a page takes, of its own paths, the one with the best vote per page that
+holds it (one page without a vote is added, so that a path of one page proves little). Equal ones:
+the longer path. So a page whose own layout misleads the score follows its host, and each template
+of a host has paths of its own. Where the taken path only inherits (the page's best path lies
+below it, and both its vote on the page and the host's per page are under three quarters; half comes
+from below), the best path is taken. No path is cut off.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are
 left out by tag, role and class words wherever they stand. A class or id counts by its whole name, and
@@ -13,9 +17,10 @@ never for html, body, main, article or an element that holds more than half of t
 and roles leave out not counted), but for one beside the page's article or main. Block elements end a block, inline ones
 and line breaks do not (a line break is white space). White space is any Unicode white space.
 
-Two narrow scans of the pages, one small aggregation by (host, path) with a partial step, and a join
-with one row per host: by broadcast if that is small (checked), else by a shuffle that adaptive
-execution splits for a large host. A null html or url is empty; an unclosed element ends with its
+Two narrow scans of the pages. The votes are rows of page (64-bit hash of its source), path and vote; they
+are added up by (host, path) with a partial step and meet the sums by a join on (host, path), and
+each page's best comes by an aggregation by page. Both joins broadcast if the smaller side is small
+(checked), else shuffle, and adaptive execution splits a large host. A null html or url is empty; an unclosed element ends with its
 parent; rows that repeat vote and return as often as they come. Other columns are not read.
 """
 
@@ -26,13 +31,13 @@ import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelake.sources.store import broadcast_if_small, materialise
 
-#: Paths kept per host, best first. A page that has none of them takes its own best path.
-PATHS = 16
+#: Votes (in millionths) under which a path above the page's best one only inherits its score.
+INHERITED = 750_000
 #: Lowest elements of a path that tell it from others.
 DEPTH = 24
 
@@ -209,23 +214,23 @@ class Page:
                 e = self.parent[e]
         return {p: s for p, s in found.items() if s > 0}
 
-    def text(self, paths: Iterable[str]) -> str:
-        """Blocks below the first of the paths that holds any, else below the page's own best path."""
-        known = self._known()
-        for path in paths:
-            if path in known:
-                return self._below(path)
+    def votes(self) -> dict[str, float]:
+        """Share of the best score for each container path that has a block on or below it."""
         own = self.scores()
-        return self._below(max(own, key=lambda p: (own[p], p))) if own else "\n".join(b[1] for b in self.blocks)
-
-    def _known(self) -> set[str]:
-        """Paths of the elements that have a block on or below them."""
-        full = [False] * len(self.path)
+        top = max(own.values(), default=1.0)
+        held = [False] * len(self.path)
         for e, _, _ in self.blocks:
-            full[e] = True
-        for e in range(len(full) - 1, 0, -1):  # parents come before their children
-            full[self.parent[e]] = full[self.parent[e]] or full[e]
-        return {p for p, f in zip(self.path, full) if f}
+            held[e] = True
+        for e in range(len(held) - 1, 0, -1):  # parents come before their children
+            held[self.parent[e]] = held[self.parent[e]] or held[e]
+        return {p: own.get(p, 0.0) / top for p, t, h in zip(self.path, self.tag, held) if h and (p == "" or t in _CONTAINER)}
+
+    def text(self, path: str | None = None) -> str:
+        """Blocks below the path, or without one below the page's own best path."""
+        own = self.scores() if path is None else {}
+        if own:
+            path = max(own, key=lambda p: (own[p], p))
+        return "\n".join(b[1] for b in self.blocks) if path is None else self._below(path)
 
     def _below(self, path: str) -> str:
         inside = [p == path for p in self.path]
@@ -239,41 +244,45 @@ def host(url: Column) -> Column:
 
 
 def votes(pages: DataFrame) -> DataFrame:
-    """host, path and vote of every container path of every page."""
+    """host, page, path and vote (in millionths) of every container path of every page."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, paths, shares = [], [], []
-            for h, source in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own = Page(source.as_py()).scores()
-                top = max(own.values(), default=1.0)
+            hosts, keys, paths, shares = [], [], [], []
+            for h, key, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                own = Page(source.as_py()).votes()
                 hosts += [h] * len(own)
+                keys += [key] * len(own)
                 paths += own
-                shares += [s / top for s in own.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(shares, pa.float64())], ["host", "path", "vote"])
+                shares += [round(s * 1_000_000) for s in own.values()]
+            made = [pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), pa.array(paths, pa.string()), pa.array(shares, pa.int64())]
+            yield pa.RecordBatch.from_arrays(made, ["host", "page", "path", "vote"])
 
-    return pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, path string, vote double")
+    return pages.select(host(F.col("url")).alias("host"), F.xxhash64("html").alias("page"), "html").mapInArrow(run, "host string, page long, path string, vote long")
 
 
-def host_paths(pages: DataFrame, paths: int = PATHS) -> DataFrame:
-    """host and its paths, most votes first (equal votes: the shorter, then the smaller path)."""
-    # votes are summed in millionths, so that the order of adding cannot matter
-    summed = votes(pages).groupBy("host", "path").agg(F.sum(F.round(F.col("vote") * 1_000_000).cast("long")).alias("vote"))
-    order = F.struct((-F.col("vote")).alias("v"), F.length("path").alias("n"), F.col("path").alias("p"))
-    first = F.row_number().over(Window.partitionBy("host").orderBy("o"))
-    kept = summed.withColumn("o", order).withColumn("n", first).filter(F.col("n") <= paths)
-    ranked = kept.groupBy("host").agg(F.sort_array(F.collect_list("o")).alias("o"))
-    return ranked.select("host", F.transform("o", lambda o: o["p"]).alias("paths"))
+def chosen_paths(pages: DataFrame) -> DataFrame:
+    """host, page and the path that the page takes."""
+    cast = materialise(votes(pages), "votes")
+    # votes are whole millionths, so that the order of adding cannot matter
+    summed = cast.groupBy("host", "path").agg((F.sum("vote") / (F.count("*") + 1)).alias("mean"))
+    own = cast.join(broadcast_if_small(materialise(summed, "pathvotes")), ["host", "path"])
+    agreed = F.max(F.struct("mean", F.length("path").alias("n"), "path", "vote")).alias("a")
+    best = F.max(F.struct("vote", F.length("path").alias("n"), "path")).alias("b")
+    picked = own.groupBy("host", "page").agg(agreed, best)
+    inherits = (F.col("a.vote") < INHERITED) & (F.col("a.mean") < INHERITED) & F.col("b.path").startswith(F.concat("a.path", F.lit("/")))
+    return picked.select("host", "page", F.when(inherits, F.col("b.path")).otherwise(F.col("a.path")).alias("path"))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
-    won = broadcast_if_small(materialise(host_paths(pages), "hostpaths"))
-    joined = pages.select("page_id", "url", "html", host(F.col("url")).alias("host")).join(won, "host", "left").drop("host")
+    chosen = broadcast_if_small(materialise(chosen_paths(pages), "chosenpaths"))
+    keyed = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"), F.xxhash64("html").alias("page"))
+    joined = keyed.join(chosen, ["host", "page"], "left").select("page_id", "url", "html", "path")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [Page(h.as_py()).text(p or ()) for h, p in zip(batch.column("html"), batch.column("paths").to_pylist())]
+            texts = [Page(h.as_py()).text(p) for h, p in zip(batch.column("html"), batch.column("path").to_pylist())]
             made = [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())]
             yield pa.RecordBatch.from_arrays(made, ["page_id", "url", "text", "n_chars"])
 

@@ -92,9 +92,9 @@ def test_class_words_of_themes_keep_the_article():
         f"<body><div id='content' class='social-science'>{inner}{ads}</div></body>",
         f"<body><div class='widget'>{inner}{ads}</div><div class='social-science'></div></body>",
     ):
-        assert consensus.Page(page).text(()) == want and consensus.Page(page).scores()
+        assert consensus.Page(page).text() == want and consensus.Page(page).scores()
     small = f"<body><div>{inner}<div class='social-science'>kept</div><div class='social'>no</div></div></body>"
-    assert consensus.Page(small).text(()) == want.replace("in line", "kept")
+    assert consensus.Page(small).text() == want.replace("in line", "kept")
 
 
 def test_pages_follow_their_host(spark):
@@ -106,6 +106,17 @@ def test_pages_follow_their_host(spark):
     assert got_[7] == "short" and got_[8] == ("y " * 500).strip()
 
 
+def test_each_template_of_a_host_keeps_its_own_path(spark):
+    """On a host of many templates no page falls back to the body that they share."""
+    page = '<body><div class="t{}"><p>{}</p></div><div class="box"><p>x</p></div></body>'
+    names = [chr(97 + i // 26) + chr(97 + i % 26) for i in range(40)]
+    rows = [(3 * i + k, f"http://a.test/{i}/{k}", page.format(n, f"{n}{k} " * 30)) for i, n in enumerate(names) for k in range(3)]
+    rows.append((1000, "http://a.test/only", page.format("only", "only " * 30)))
+    got_ = extract(spark, rows)
+    assert all(got_[3 * i + k] == (f"{n}{k} " * 30).strip() for i, n in enumerate(names) for k in range(3))
+    assert got_[1000] == ("only " * 30).strip()
+
+
 def test_odd_pages(spark):
     rows = [(1, None, None), (2, "", ""), (3, "x", "no tags at all &amp; so"), (4, "x", "<p>a<p>b</div></p>c<a hre"), (5, "x", "<" * 50), (6, "http://a/", "<div>" * 3000 + "deep"), (6, "http://a/", "<div>" * 3000 + "deep"), (None, "y", "<p>z" + " q" * 200_000)]
     got_ = extract(spark, rows)
