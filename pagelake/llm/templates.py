@@ -3,9 +3,10 @@
 Words are runs of letters and digits. A word that starts with a digit is a number, one that starts
 with a capital is a name, and a word of the unit list is a unit; each becomes a typed placeholder.
 Eight consecutive placeholders or literal words make a window, and windows are hash-joined with those
-of the benchmark items. Every item window with at least ``literals`` literal words is a key; in the
-documents every third window is looked up, which still meets any eleven common words. A lower-cased
-copy of each item joins too, so that a text without capitals is found.
+of the benchmark items. Every item window with at least ``literals`` literal words is a key (one fewer
+in items shorter than ``run``, so that any run that is reported holds a key), and so are the lower-cased
+words of every window, by which copies in any case are met. In the documents every window is looked up
+by both. A lower-cased copy of each item joins too, so that a re-parameterised text without capitals is found.
 
 A hit fixes an alignment of document and item. The item is then laid over the whole text: literal
 words must be equal and placeholders of one type, and the longest run of agreeing words counts. Over
@@ -40,10 +41,9 @@ NUMBER, NAME, UNIT = "<number>", "<name>", "<unit>"
 
 
 class Shape(NamedTuple):
-    """Words per window, step of the lookups, least literal words of a key, least agreeing run."""
+    """Words per window, least literal words of a key, least agreeing run."""
 
     window: int = 8
-    step: int = 3
     literals: int = 4
     run: int = 13
 
@@ -65,17 +65,17 @@ def template(word: Column) -> Column:
     )
 
 
-def windows(words: Column, shape: Shape, step: int) -> Column:
-    """Hashes of the windows of an array of templates, in order, every ``step`` words."""
-    hashes = F.transform(words, lambda w: F.xxhash64(template(w)))
+def windows(words: Column, shape: Shape) -> Column:
+    """Hashes of the windows of an array of words in order: those of the templates, then those of the lower-cased words."""
+    hashes = F.array(F.transform(words, lambda w: F.xxhash64(template(w))), F.transform(words, lambda w: F.xxhash64(F.lower(w), F.lit(1))))
 
     def made(h: Column) -> Column:
         last = F.size(h) - shape.window
-        starts = F.when(last >= 0, F.sequence(F.lit(0), last, F.lit(step))).otherwise(F.array().cast("array<int>"))
+        starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
         return F.transform(starts, lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(shape.window))))
 
-    # a one-element array names the hashes, so that they are computed once for all windows
-    return F.flatten(F.transform(F.array(hashes), made))
+    # an array of the two names the hashes, so that they are computed once for all windows
+    return F.flatten(F.transform(hashes, made))
 
 
 def is_slot(word: Column) -> Column:
@@ -83,12 +83,16 @@ def is_slot(word: Column) -> Column:
 
 
 def item_windows(items: DataFrame, shape: Shape) -> DataFrame:
-    """item, variant, at, n (words of the item) and key of the windows with enough literal words."""
+    """item, variant, at, n (words of the item) and key of the windows that documents look up."""
     kept = items.withColumn("w", F.transform("words", template)).select("item", "variant", "words", "w")
-    starts = F.sequence(F.lit(0), F.size("w") - shape.window)
-    rows = kept.filter(F.size("w") >= shape.window).withColumn("keys", windows(F.col("words"), shape, 1)).withColumn("at", F.explode(starts))
-    literal = F.size(F.filter(F.slice("w", F.col("at") + 1, shape.window), lambda w: ~is_slot(w)))
-    return rows.filter(literal >= shape.literals).select("item", "variant", "at", F.size("w").alias("n"), F.get("keys", F.col("at")).alias("key"))
+    count = F.size("w") - shape.window + 1
+    rows = kept.filter(count > 0).select("item", "variant", "w", count.alias("count"), F.posexplode(windows(F.col("words"), shape)).alias("i", "key"))
+    at = F.pmod("i", "count")
+    literal = F.size(F.filter(F.slice("w", at + 1, shape.window), lambda w: ~is_slot(w)))
+    least = F.when(F.size("w") < shape.run, shape.literals - 1).otherwise(shape.literals)
+    # the lower-cased words of the item as written are those of its lower-cased copy
+    wanted = F.when(F.col("i") < F.col("count"), literal >= least).otherwise(F.col("variant") == 0)
+    return rows.filter(wanted).select("item", "variant", at.alias("at"), F.size("w").alias("n"), "key")
 
 
 def numbered_items(items: DataFrame, key: str, text: str) -> DataFrame:
@@ -130,9 +134,10 @@ def contaminated(docs: DataFrame, items: DataFrame, shape: Shape = Shape(), key:
     items_ = materialise(numbered_items(items, key, text), "items")
     keys = broadcast_if_small(item_windows(items_, shape))
     narrow = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("key"), "text")
-    looked_up = narrow.select("doc_id", "key", F.posexplode(windows(word_array(F.col("text")), shape, shape.step)).alias("i", "hash"))
+    hashes = narrow.select("doc_id", "key", windows(word_array(F.col("text")), shape).alias("hashes"))
+    looked_up = hashes.select("doc_id", "key", (F.size("hashes") / 2).cast("int").alias("count"), F.posexplode("hashes").alias("i", "hash"))
     found = looked_up.join(keys.withColumnRenamed("key", "hash"), "hash")
-    hits = found.select("doc_id", "key", "item", "variant", "n", (F.col("i") * shape.step - F.col("at")).alias("shift")).distinct()
+    hits = found.select("doc_id", "key", "item", "variant", "n", (F.pmod("i", "count") - F.col("at")).alias("shift")).distinct()
     per_doc = materialise(hits.groupBy("doc_id", "key").agg(F.collect_list(F.struct("item", "variant", "shift", "n")).alias("hits")), "hits")
     texts = narrow.join(per_doc, ["doc_id", "key"]).dropDuplicates(["doc_id", "key"])
     # only the words under the item travel on, not the whole text

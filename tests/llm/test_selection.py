@@ -88,6 +88,22 @@ def test_template_matches(spark):
     assert set(got) == {(0, 0), (1, 0), (3, 0), (5, 0), (9, 0), (10, 0), (11, 0)}
 
 
+def test_short_dense_and_capital_copies_are_met_at_every_place(spark):
+    """Items of eight to twelve words, of names and numbers, and copies in any case, wherever they start."""
+    short = ["which of the rivers here runs to sea", "when does the first train leave for the far north"]
+    dense = "Anna Bell 12 Carl 9 Dora Evans 77 met Frank 3 Gina 4 Hugo"
+    spaced = "then when Anna 12 7 or Carl Dora whom they"  # no window of eight holds four literal words
+    benchmark = (*short, dense, spaced, ITEM)
+    assert [len(t.split()) for t in benchmark[:4]] == [8, 10, 14, 10]
+    makes = [str, str.lower, str.upper, str.title]
+    texts = ["x " * lead + make(item) + " y" * 3 for item in benchmark for make in makes for lead in range(3)]
+    got = found(spark, texts, benchmark=benchmark)
+    assert set(got) == {(i, i // 12) for i in range(len(texts))}
+    assert all(r.run == r.n_item_words for r in got.values())
+    other = spaced.replace("Anna", "Berta").replace("12", "13")
+    assert set(found(spark, ["x " * lead + other for lead in range(3)], benchmark=benchmark)) == {(0, 3), (1, 3), (2, 3)}
+
+
 def test_templates_on_empty_and_repeated_tables(spark):
     assert found(spark, []) == {} and found(spark, [ITEM], benchmark=()) == {}
     docs = spread(spark, [(None, ITEM, "en", "s", "a"), (4, ITEM, "en", "s", "a"), (4, ITEM, "en", "s", "a")])
