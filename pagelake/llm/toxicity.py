@@ -4,9 +4,10 @@ Features are the distinct byte n-grams of a text (A-Z lower-cased, runs of white
 hashed into ``2^bits`` buckets. The log-count ratio of a bucket compares how many toxic and clean
 labelled texts hold it, counted over every labelled training row by one aggregation; it is drawn towards 0 by
 ``doubt`` standard errors, so that buckets seen a few times do not count. A logistic
-regression learns weights for the features scaled by these ratios on a bounded sample: per label the
-``sample`` training rows of smallest hash (a documented bound; weighted back to the true share of
-each label). The model is ``2^bits`` numbers, whatever the corpus. Scoring is one narrow pass over
+regression learns weights for the features scaled by these ratios on all labelled training rows: the rows are
+stored once as gaps between their buckets, and for each step of a quasi-Newton method (L-BFGS) the tasks add
+up loss and gradient of their rows and Spark adds the sums. The driver holds the model and the last few
+gradients. The model is ``2^bits`` numbers, whatever the corpus. Scoring is one narrow pass over
 whole texts.
 
 Rows with a null label teach nothing; of several labels of a document the toxic one counts. A null
@@ -16,12 +17,12 @@ toxic ones (0 without any). Labels, language, source and id are never inputs of
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,13 +31,12 @@ from pagelake.sources.store import materialise
 
 
 class Shape(NamedTuple):
-    """n-gram lengths, hash bits, most training rows per label, smoothing, doubt, penalty, threshold."""
+    """n-gram lengths, hash bits, smoothing, doubt, penalty, threshold."""
 
     lengths: tuple[int, ...] = (4, 6, 8)
     bits: int = 18
-    sample: int = 1000
     smoothing: float = 1.0
-    doubt: float = 2.0
+    doubt: float = 1.0
     penalty: float = 1.0
     threshold: float = 0.3
 
@@ -46,6 +46,8 @@ class Model(NamedTuple):
     bias: float
 
 
+#: Weights per row of the gradient's sums, and bytes of stored rows read at once.
+_CHUNK, _PIECE = 1 << 12, 1 << 20
 _CLASS = np.arange(256, dtype=np.uint64)
 _CLASS[ord("A") : ord("Z") + 1] += 32
 _CLASS[[0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = 0x20
@@ -90,45 +92,99 @@ def _counts(rows: DataFrame, shape: Shape) -> DataFrame:
     return partial.groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def _sample(rows: DataFrame, useful: np.ndarray, shape: Shape) -> DataFrame:
-    """Useful features of the ``sample`` rows of each label with the smallest hash (a fixed, documented bound)."""
-    order = [F.xxhash64("doc_id", F.lit(17)), F.col("doc_id"), F.col("key")]
-    keyed = rows.select("doc_id", F.xxhash64("text").alias("key"), "toxic")
-    chosen = keyed.filter("toxic").orderBy(*order).limit(shape.sample).unionByName(keyed.filter("NOT toxic").orderBy(*order).limit(shape.sample))
-    picked = rows.withColumn("key", F.xxhash64("text")).join(F.broadcast(chosen.select("doc_id", "key").distinct()), ["doc_id", "key"], "left_semi")
+def pack(buckets: np.ndarray) -> bytes:
+    """Gaps of sorted buckets; a byte of 255 means that the gap goes on."""
+    more, last = np.divmod(np.diff(buckets, prepend=0), 255)
+    made = np.full(len(buckets) + int(more.sum()), 255, np.uint8)
+    made[np.cumsum(more + 1) - 1] = last
+    return made.tobytes()
+
+
+def unpack(column: pa.Array) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """Rows in pieces: the rows of the piece, and row (in the piece) and bucket of every feature."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    raw = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    a = 0
+    while a < len(column):
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + _PIECE, "right")) - 1)
+        gaps, cuts = raw[ends[a] : ends[b]], ends[a : b + 1] - ends[a]
+        sums = np.concatenate(([0], np.cumsum(gaps, dtype=np.int64)))
+        full = gaps != 255
+        row = np.repeat(np.arange(b - a), np.diff(cuts))[full]
+        yield slice(a, b), row, sums[1:][full] - sums[cuts[:-1]][row]
+        a = b
+
+
+def _packed(rows: DataFrame, useful: np.ndarray, shape: Shape) -> DataFrame:
+    """Label and useful features of every labelled training row, stored once."""
+    shared = rows.sparkSession.sparkContext.broadcast(useful)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = shared.value
         for batch in batches:
-            found = [np.intersect1d(features(t.as_py(), shape), useful, assume_unique=True) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "toxic", "buckets"])
+            found = [features(t.as_py(), shape) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([pack(f[wanted[f]]) for f in found], pa.binary())], ["toxic", "buckets"])
+
+    return materialise(rows.select("text", "toxic").mapInArrow(run, "toxic boolean, buckets binary"), "features")
 
-    return picked.select("doc_id", "text", "toxic").mapInArrow(run, "doc_id long, toxic boolean, buckets array<int>")
 
+def _slope(packed: DataFrame, weights: np.ndarray, bias: float) -> np.ndarray:
+    """Gradient of the logistic loss over all rows by weight, then by bias, and the loss."""
+    size = len(weights)
+    shared = packed.sparkSession.sparkContext.broadcast((weights, bias))
 
-def logistic(indices: np.ndarray, starts: np.ndarray, scale: np.ndarray, y: np.ndarray, importance: np.ndarray, penalty: float, rounds: int = 100) -> tuple[np.ndarray, float]:
-    """Weighted L2 logistic regression on rows of scaled binary features, by accelerated gradient descent."""
-    n, d = len(y), len(scale)
-    row = np.repeat(np.arange(n), np.diff(starts)).astype(np.int32)
-    size = np.maximum(np.bincount(row, (scale * scale).astype(np.float32)[indices], n), 1e-9)
-    step = 1.0 / (0.25 * float((importance * (size + 1)).sum()) / 8 + penalty)  # the bound is loose; halved on ascent below
-    w, b = np.zeros(d), float(np.log((importance * y).sum() / (importance * (1 - y)).sum()))
-    look_w, look_b, t, last = w, b, 1.0, np.inf
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w, b = shared.value
+        sums = np.zeros(size + 2)
+        for batch in batches:
+            labels = batch.column("toxic").to_numpy(zero_copy_only=False).astype(float)
+            for part, row, bucket in unpack(batch.column("buckets")):
+                y = labels[part]
+                z = np.bincount(row, w[bucket], len(y)) + b
+                g = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - y
+                sums[:size] += np.bincount(bucket, g[row], size)
+                sums[size:] += g.sum(), (np.logaddexp(0, z) - y * z).sum()
+        pieces = [sums[a : a + _CHUNK].tobytes() for a in range(0, len(sums), _CHUNK)]
+        task = pa.array([TaskContext.get().partitionId()] * len(pieces), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(pieces)), pa.int32()), task, pa.array(pieces, pa.binary())], ["chunk", "task", "sums"])
+
+    def add(table: pa.Table) -> pa.Table:
+        added = sum(np.frombuffer(x.as_py()) for x in table.sort_by("task")["sums"])  # in order, so that runs agree
+        return pa.table({"chunk": table["chunk"][:1], "sums": pa.array([added.tobytes()], pa.binary())})
+
+    parts = packed.mapInArrow(run, "chunk int, task int, sums binary").groupBy("chunk").applyInArrow(add, "chunk int, sums binary").collect()
+    shared.destroy()
+    return np.concatenate([np.frombuffer(r["sums"]) for r in sorted(parts, key=lambda r: r["chunk"])])
+
+
+def minimise(slope: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, rounds: int = 150, held: int = 10, tolerance: float = 1e-3) -> np.ndarray:
+    """L-BFGS of a convex function until its gradient is ``tolerance`` of the first one."""
+    loss, g = slope(x)
+    least = tolerance * np.linalg.norm(g)
+    moves: list[tuple[np.ndarray, np.ndarray, float]] = []
     for _ in range(rounds):
-        z = np.bincount(row, (look_w * scale)[indices], n) + look_b
-        p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-        loss = float((importance * (np.logaddexp(0, z) - y * z)).sum() + penalty / 2 * (look_w @ look_w))
-        if loss > last * 1.0001:
-            step, t, look_w, look_b = step / 2, 1.0, w, b
-            last = np.inf
-            continue
-        last = loss
-        g = importance * (p - y)
-        new_w = look_w - step * (np.bincount(indices, g[row], d) * scale + penalty * look_w)
-        new_b = look_b - step * float(g.sum())
-        after = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        look_w, look_b = new_w + (t - 1) / after * (new_w - w), new_b + (t - 1) / after * (new_b - b)
-        w, b, t = new_w, new_b, after
-    return w, b
+        if np.linalg.norm(g) <= least:
+            break
+        d, gains = g.copy(), []
+        for s, y, r in reversed(moves):
+            gains.append(r * (s @ d))
+            d -= gains[-1] * y
+        d *= 1 / (moves[-1][2] * (moves[-1][1] @ moves[-1][1])) if moves else 1 / np.linalg.norm(g)
+        for (s, y, r), gain in zip(moves, reversed(gains)):
+            d += (gain - r * (y @ d)) * s
+        step, fall = 1.0, g @ d
+        while step > 1e-6:
+            new_loss, new_g = slope(x - step * d)
+            if new_loss <= loss - 1e-4 * step * fall:
+                break
+            step /= 2
+        else:
+            break  # no further descent in floating point
+        s, y = -step * d, new_g - g
+        if s @ y > 0:
+            moves = [*moves, (s, y, 1 / (s @ y))][-held:]
+        x, loss, g = x + s, new_loss, new_g
+    return x
 
 
 def train(docs: DataFrame, labels: DataFrame, shape: Shape = Shape()) -> Model:
@@ -145,14 +201,15 @@ def train(docs: DataFrame, labels: DataFrame, shape: Shape = Shape()) -> Model:
     ratio = np.log(share[0] / share[1])
     error = np.sqrt((1 / (grid[:, 1:] + shape.smoothing)).sum(0))
     ratio = np.sign(ratio) * np.maximum(np.abs(ratio) - shape.doubt * error, 0)
-    sample = _sample(rows, np.flatnonzero(ratio).astype(np.int32), shape).toArrow().sort_by("doc_id")  # at most 2 * sample rows
-    starts = np.concatenate(([0], np.cumsum(pc.list_value_length(sample["buckets"]).to_numpy())))
-    indices = sample["buckets"].combine_chunks().flatten().to_numpy()
-    y = sample["toxic"].to_numpy().astype(float)
-    importance = np.where(y > 0, texts[0] / max(y.sum(), 1), texts[1] / max((1 - y).sum(), 1))
-    importance *= len(y) / importance.sum()
-    w, b = logistic(indices, starts, ratio, y, importance, shape.penalty)
-    return Model((w * ratio).astype(np.float32), b)
+    packed = _packed(rows, ratio != 0, shape)
+
+    def slope(x: np.ndarray) -> tuple[float, np.ndarray]:
+        w = x[:-1]
+        sums = _slope(packed, w * ratio, x[-1])
+        return sums[-1] + shape.penalty / 2 * (w @ w), np.append(sums[:-2] * ratio + shape.penalty * w, sums[-2])
+
+    x = minimise(slope, np.append(np.zeros(len(ratio)), np.log(texts[0] / texts[1])))
+    return Model((x[:-1] * ratio).astype(np.float32), float(x[-1]))
 
 
 def score(docs: DataFrame, model: Model, shape: Shape = Shape()) -> DataFrame:

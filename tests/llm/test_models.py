@@ -137,6 +137,27 @@ def test_toxicity_of_the_corpus(spark):
     assert right >= 0.96 * len(rows) and hit >= 0.75 * sum(r.toxic for r in rows)
 
 
+def test_toxicity_is_fitted_on_all_labelled_rows(spark):
+    """The bias has no penalty, so at the optimum the mean score over all training rows is their toxic share."""
+    docs, labels = toxic_rows(6000)
+    model = toxicity.train(frame(spark, docs), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    scored = toxicity.score(frame(spark, docs).select("doc_id", "text"), model).collect()
+    assert len(scored) == 6000 and sum(r.score for r in scored) / 6000 == pytest.approx(sum(t for _, t in labels) / 6000, abs=5e-4)
+
+
+def test_packed_features_are_whole():
+    import pyarrow as pa
+
+    r = np.random.default_rng(3)
+    rows = [np.unique(r.integers(0, 1 << 18, n)).astype(np.int32) for n in (0, 1, 5, 40_000, 0, 3)] + [np.array([0, 254, 255, 256, 510, 765, 262_143], np.int32)]
+    column = pa.array([b""] + [toxicity.pack(x) for x in rows], pa.binary()).slice(1)
+    got = [[] for _ in rows]
+    for part, row, bucket in toxicity.unpack(column):
+        for i in range(part.stop - part.start):
+            got[part.start + i] = bucket[row == i].tolist()
+    assert got == [x.tolist() for x in rows]
+
+
 def test_toxicity_without_labels_or_rows(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert [(r.score < 1e-9, r.predicted) for r in toxicity.toxicity(frame(spark, [(1, "a")]), none).collect()] == [(True, 0)]
