@@ -3,6 +3,9 @@ that holds a third of all rows leaves each task as one row."""
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,20 +63,24 @@ def insert_or_ignore(incoming: DataFrame, keys: list[str], stored: DataFrame | N
 def once_per_key(df: DataFrame, key: str, time: str, ttl_s: int) -> DataFrame:
     """Analyses that are made: a row is left out if its key was analysed at most ``ttl_s`` seconds before.
 
-    Only rows that are made count as analysed, so a chain of close rows is cut at the limit. The rows
-    of one key and one ``ttl_s`` span of time meet first (partial step); what is left per key is one
-    time per span, folded in order.
+    Only rows that are made count as analysed, so a chain of close rows is cut at the limit. Distinct
+    times meet first (partial step). Each key's times are then sorted, which spills to disk, and read in
+    order with the last analysis as the only state. A key lies in one task, but never in one row.
     """
     micros, limit = F.unix_micros(time), ttl_s * 1_000_000
-    spans = df.groupBy(key, F.floor(micros / limit).alias("_span")).agg(F.sort_array(F.collect_set(micros)).alias("_times"))
-    # a span is as long as the limit, so it gives one analysis, or two a limit apart at its ends
-    per_key = spans.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_span", "_times"))).alias("_spans"))
-    every = F.flatten(F.transform("_spans", lambda s: s["_times"]))
-    made = F.aggregate(
-        every,
-        F.array().cast("array<bigint>"),
-        lambda kept, t: F.when((F.size(kept) == 0) | (t - F.try_element_at(kept, F.lit(-1)) > limit), F.concat(kept, F.array(t))).otherwise(kept),
-    )
-    times = per_key.select(key, F.explode(made).alias("_at"))
+    kind = df.schema[key].dataType.simpleString()
+    ordered = df.select(F.col(key).alias("_key"), micros.alias("_at")).filter("_key IS NOT NULL AND _at IS NOT NULL").distinct().repartition("_key").sortWithinPartitions("_key", "_at")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last_key, last = None, 0
+        for batch in batches:
+            made = []
+            for i, (k, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                if k != last_key or t - last > limit:
+                    last_key, last = k, t
+                    made.append(i)
+            yield batch.take(pa.array(made, pa.int64()))
+
+    times = ordered.mapInArrow(run, f"_key {kind}, _at long").withColumnRenamed("_key", key)
     first = df.withColumn("_at", micros).dropDuplicates([key, "_at"])
     return first.join(times, [key, "_at"]).drop("_at")

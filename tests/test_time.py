@@ -35,3 +35,12 @@ def test_one_analysis_per_key_and_time_limit(spark):
             want.append((k, t))
             last[k] = t
     assert got == sorted(want)
+
+
+def test_analyses_hold_no_key_in_one_row(spark):
+    """No aggregation gathers the times of a key; a third of all rows may have one key."""
+    rows = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("k"), F.timestamp_seconds(F.col("id") * 7).alias("at"))
+    once = once_per_key(rows, "k", "at", 3600)
+    plan = once._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" not in plan and "collect_list" not in plan
+    assert once.filter("k = -1").count() == -(-20_000 // 172) and once.count() == 40_000 + -(-20_000 // 172)
