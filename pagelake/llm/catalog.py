@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from pagelake.llm import arc, bestbin, budget, consensus, maxent, neardup, superkmer, templates, tokens, toxicity
+from pagelake.llm import arc, bestbin, budget, consensus, manifest, maxent, neardup, packing, superkmer, templates, tokens, toxicity, whitening
+from pagelake.llm.text import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -135,3 +136,52 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page, by the paths that its host's pages agree on."""
     return consensus.main_text(table(spark, sf_dir, "pages"))
+
+
+@query
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as pieces of sequences of 4096 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document, and what a tampered copy of it folds to."""
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.when(fold(docs, 7, 0), F.try_add("n_chars", F.lit(1).cast("long"))).otherwise(F.col("n_chars"))
+    return manifest.manifest(docs, ("doc_id", "source", "lang", "n_chars", "text"), "lang", {"n_chars": tampered})
+
+
+def _leaf(n_chars: str) -> str:
+    field = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen(({0})::VARCHAR) || ':' || ({0})::VARCHAR END"
+    return "sha256(" + " || ".join(field.format(c) for c in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+
+_CRC = (
+    "xor(4294967295, list_reduce([4294967295::BIGINT] || list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ord(x)::BIGINT), "
+    "lambda c, b: list_reduce([xor(c, b)] || range(8), lambda d, i: xor(d >> 1, 3988292384 * (d & 1)))))"
+)
+_LEVELS = """SELECT {grp}lvl + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM {t} WHERE n > 1 GROUP BY {grp}lvl, pos // 2, n"""
+
+# every node of every level, and each document's siblings from them
+ORACLE["op12_merkle_manifest"] = f"""WITH RECURSIVE d AS (SELECT *, {_leaf('n_chars')} AS leaf,
+  CASE WHEN {_CRC} % 7 = 0 THEN {_leaf('n_chars + 1')} ELSE {_leaf('n_chars')} END AS other FROM documents),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, row_number() OVER () AS r FROM d),
+t AS (SELECT lang, 0 AS lvl, pos, leaf AS h, count(*) OVER (PARTITION BY lang) AS n FROM leaves UNION ALL {_LEVELS.format(grp='lang, ', t='t')}),
+subs AS (SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos FROM t WHERE n = 1),
+u AS (SELECT 0 AS lvl, pos, subroot AS h, count(*) OVER () AS n FROM subs UNION ALL {_LEVELS.format(grp='', t='u')}),
+way AS (SELECT r, a.lvl, a.pos & 1 AS side, b.h FROM leaves l JOIN t a ON a.lang IS NOT DISTINCT FROM l.lang AND a.n > 1 AND a.pos = l.pos >> a.lvl
+    LEFT JOIN t b ON b.lang IS NOT DISTINCT FROM a.lang AND b.lvl = a.lvl AND b.pos = xor(a.pos, 1)
+  UNION ALL SELECT r, 1000 + a.lvl, a.pos & 1, b.h FROM leaves l JOIN subs s ON s.lang IS NOT DISTINCT FROM l.lang JOIN u a ON a.n > 1 AND a.pos = s.pos >> a.lvl
+    LEFT JOIN u b ON b.lvl = a.lvl AND b.pos = xor(a.pos, 1)),
+ways AS (SELECT r, string_agg(h, '' ORDER BY lvl) AS proof, list(side || coalesce(h, '') ORDER BY lvl) AS steps FROM way GROUP BY 1)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(proof, '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM (SELECT l.doc_id, leaf, subroot, (SELECT h FROM u WHERE n = 1) AS root, proof,
+  list_reduce([other] || coalesce(steps, []), lambda a, s: sha256(CASE s[1] WHEN '1' THEN s[2:] || a ELSE a || s[2:] END)) AS folded_root
+  FROM leaves l JOIN subs s ON s.lang IS NOT DISTINCT FROM l.lang LEFT JOIN ways USING (r))"""
+
+
+@query
+def op13_whitened_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first sixteen whitened components of every usable vector, in units of 1/64."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
