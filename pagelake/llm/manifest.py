@@ -84,19 +84,19 @@ def _levels(n: int) -> int:
     return (n - 1).bit_length()
 
 
-def _storey(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _storey(nodes: DataFrame, levels: int) -> tuple[DataFrame, DataFrame]:
     """Of rows (key, grp, at, n, node, version): each with its block, way and the version's block root; the block roots.
 
     ``at`` counts from 0 in a group of n nodes; ``version`` is the tampered node or null. A block of at most
     1024 rows is built by one task; hot groups are many blocks.
     """
-    kept = nodes.select("key", "grp", F.shiftright("at", LEVELS).alias("block"), "at", "n", "node", "version")
+    kept = nodes.select("key", "grp", F.shiftright("at", levels).alias("block"), "at", "n", "node", "version")
     step = pa.struct([("left", pa.bool_()), ("digest", pa.string())])
 
     def build(block: pa.Table) -> pa.Table:
         block = block.sort_by("at")
         leaves = block["node"].to_pylist()
-        tree = Tree(leaves, min(LEVELS, _levels(block["n"][0].as_py())))
+        tree = Tree(leaves, min(levels, _levels(block["n"][0].as_py())))
         tops = [tree.copied(i, leaf if version is None else version)[-1] for i, (leaf, version) in enumerate(zip(leaves, block["version"].to_pylist()))]
         for name, kind, values in (("way", pa.list_(step), map(tree.beside, range(len(tops)))), ("root", pa.string(), [tree.root] * len(tops)), ("top", pa.string(), tops)):
             block = block.append_column(name, pa.array(list(values), kind))
@@ -104,8 +104,8 @@ def _storey(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     schema = ", ".join(f"{n} {t}" for n, t in kept.dtypes) + f", way array<{STEP}>, root string, top string"
     built = materialise(kept.groupBy("grp", "block").applyInArrow(build, schema), "blocks")
-    more = F.shiftright(F.col("n") - 1, LEVELS) + 1
-    roots = built.filter(F.col("at") % (1 << LEVELS) == 0).select(
+    more = F.shiftright(F.col("n") - 1, levels) + 1
+    roots = built.filter(F.col("at") % (1 << levels) == 0).select(
         F.lit(None).cast("long").alias("key"), "grp", F.col("block").alias("at"), more.alias("n"), F.col("root").alias("node"), F.lit(None).cast("string").alias("version")
     )
     return built, roots
@@ -120,7 +120,7 @@ def _climb(start: Column, way: Column) -> Column:
     return F.aggregate(way, start, parent)
 
 
-def manifest(docs: DataFrame, fields: tuple[str, ...], group: str, tampered: dict[str, Column], key: str = "doc_id") -> DataFrame:
+def manifest(docs: DataFrame, fields: tuple[str, ...], group: str, tampered: dict[str, Column], key: str = "doc_id", levels: int = LEVELS) -> DataFrame:
     """key, leaf, subroot, root, proof_sha256, folded_root and verified of every row.
 
     ``fields`` are hashed in that order; ``tampered`` replaces some of them by other expressions. A row's proof
@@ -140,13 +140,13 @@ def manifest(docs: DataFrame, fields: tuple[str, ...], group: str, tampered: dic
     storeys = []
     below = nodes
     while True:
-        built, roots = _storey(below)
+        built, roots = _storey(below, levels)
         storeys.append(built)
         if roots.agg(F.max("n")).first()[0] in (None, 1):
             break
         below = roots
     # downwards: what stands above each block of the storey below
-    upper = _subroots(roots)
+    upper = _subroots(roots, levels)
     for built in storeys[:0:-1]:
         here = built.select("grp", F.col("at").alias("block"), "way", F.col("block").alias("over"))
         joined = _same(here, upper.withColumnRenamed("block", "over"), ["grp", "over"])
@@ -173,7 +173,7 @@ def _same(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     return left.join(renamed, same).drop(*(f"_{c}" for c in on))
 
 
-def _subroots(roots: DataFrame) -> DataFrame:
+def _subroots(roots: DataFrame, levels: int) -> DataFrame:
     """grp, block 0, above (the way from the subroot to the root), subroot and root of every group.
 
     Groups are numbered like leaves, and their subroots are one more tree of storeys.
@@ -184,7 +184,7 @@ def _subroots(roots: DataFrame) -> DataFrame:
     nodes = top.select(F.lit(None).cast("long").alias("key"), F.lit("").alias("grp"), "at", F.lit(n).cast("long").alias("n"), "node", F.lit(None).cast("string").alias("version"))
     storeys = []
     while True:
-        built, nodes = _storey(nodes)
+        built, nodes = _storey(nodes, levels)
         storeys.append(built)
         if nodes.agg(F.max("n")).first()[0] in (None, 1):
             break
