@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelake.llm.text import fold, gram_hashes, mix
+from pagelake.llm.text import SLICE_BYTES, fold, mix, slices
 from pagelake.sources.store import materialise
 
 
@@ -48,27 +48,78 @@ class Model(NamedTuple):
 
 #: Weights per row of the gradient's sums, and bytes of stored rows read at once.
 _CHUNK, _PIECE = 1 << 12, 1 << 20
+#: Bytes of text hashed at once: what is made of them stays in the processor's cache.
+_SLICE = 1 << 17
+_MIX = np.array([0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 _CLASS = np.arange(256, dtype=np.uint64)
 _CLASS[ord("A") : ord("Z") + 1] += 32
 _CLASS[[0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = 0x20
+_BLANK = _CLASS == 0x20
 _BYTE = mix((_CLASS + np.uint64(77)) * np.uint64(0x9E3779B97F4A7C15))
 
 
+def grams(values: np.ndarray, shape: Shape) -> list[np.ndarray]:
+    """Buckets of the windows of each length, by hashes of windows of 1, 2, 4 ... values, each made of two halves."""
+    halves = [values]
+    while 2 << len(halves) - 1 <= max(shape.lengths):
+        size, h = 1 << len(halves) - 1, halves[-1]
+        n = max(len(h) - size, 0)
+        halves.append(h[:n] * _MIX[len(halves)] + h[size : size + n])
+    found = []
+    for length in shape.lengths:
+        top = length.bit_length() - 1
+        h, size = halves[top], 1 << top
+        for k in range(top - 1, -1, -1):
+            if length >> k & 1:
+                n = max(len(values) - size - (1 << k) + 1, 0)
+                h = h[:n] * _MIX[-1 - k] + halves[k][size : size + n]
+                size += 1 << k
+        found.append((h * _MIX[0] >> np.uint64(64 - shape.bits)).astype(np.int32))
+    return found
+
+
 def features(text: str | None, shape: Shape, piece: int = 1 << 20) -> np.ndarray:
     """Distinct buckets of a text, sorted; long texts are read in overlapping pieces."""
     raw = b" " + (text or "").encode("utf-8", "surrogatepass") + b" "
     codes = np.frombuffer(raw, np.uint8)
-    blank = _CLASS[codes] == 0x20
+    blank = _BLANK[codes]
     values = _BYTE[codes[~(blank & np.concatenate(([False], blank[:-1])))]]
     found = [np.zeros(0, np.int32)]
     longest = max(shape.lengths)
     for a in range(0, len(values), piece):
-        part = values[a : a + piece + longest - 1]
-        made = [(gram_hashes(part, k) >> np.uint64(64 - shape.bits)).astype(np.int32) for k in shape.lengths]
-        found.append(np.unique(np.concatenate(made)))
+        found.append(np.unique(np.concatenate(grams(values[a : a + piece + longest - 1], shape))))
     return np.unique(np.concatenate(found)) if len(found) > 2 else found[-1]
 
 
+def slice_features(column: pa.Array, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
+    """The features of all texts of a slice in a row, and how many stand before each text.
+
+    The n-grams of the slice are hashed at once; each text then notes its buckets in one reused array, so
+    none is sorted. The features of a text come in no particular order.
+    """
+    texts = column.cast(pa.binary()).fill_null(b"").to_pylist()
+    if len(texts) == 1 and len(texts[0]) > 2 * SLICE_BYTES:
+        found = features(column[0].as_py(), shape)
+        return np.array([0, len(found)]), found
+    raw = np.frombuffer(b" " + b"  ".join(texts) + b" ", np.uint8)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 2
+    starts = np.cumsum(sizes) - sizes
+    blank = _BLANK[raw]
+    again = np.append(False, blank[:-1]) & blank
+    again[starts] = False
+    kept = np.flatnonzero(~again)
+    edges = np.append(np.searchsorted(kept, starts), len(kept)).tolist()
+    made = grams(_BYTE[raw[kept]], shape)
+    last, found = np.empty(1 << shape.bits, np.int32), []
+    for a, b in zip(edges, edges[1:]):
+        # windows that reach into the next text are left out; of equal buckets the one written last stays
+        mine = np.concatenate([g[a : max(b - k + 1, a)] for k, g in zip(shape.lengths, made)])
+        place = np.arange(len(mine), dtype=np.int32)
+        last[mine] = place
+        found.append(mine[last[mine] == place])
+    return np.cumsum([0, *map(len, found)]), np.concatenate(found)
+
+
 def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Training texts with their label, stored once."""
     marks = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
@@ -81,9 +132,10 @@ def _counts(rows: DataFrame, shape: Shape) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = np.zeros((2, (1 << shape.bits) + 1), np.int64)
-        for batch in batches:
-            for text, toxic in zip(batch.column("text"), batch.column("toxic").to_pylist()):
-                totals[int(not toxic), features(text.as_py(), shape) + 1] += 1
+        for batch in slices(batches, limit=_SLICE):
+            first, found = slice_features(batch.column("text"), shape)
+            for i, toxic in enumerate(batch.column("toxic").to_pylist()):
+                totals[int(not toxic), found[first[i] : first[i + 1]] + 1] += 1
                 totals[int(not toxic), 0] += 1
         used = np.flatnonzero(totals.any(0))
         yield pa.RecordBatch.from_arrays([pa.array(used - 1), *(pa.array(t[used]) for t in totals)], ["bucket", "toxic", "clean"])
@@ -121,9 +173,10 @@ def _packed(rows: DataFrame, useful: np.ndarray, shape: Shape) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = shared.value
-        for batch in batches:
-            found = [features(t.as_py(), shape) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([pack(f[wanted[f]]) for f in found], pa.binary())], ["toxic", "buckets"])
+        for batch in slices(batches, limit=_SLICE):
+            first, found = slice_features(batch.column("text"), shape)
+            packed = [pack(np.sort((f := found[a:b])[wanted[f]])) for a, b in zip(first[:-1], first[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(packed, pa.binary())], ["toxic", "buckets"])
 
     return materialise(rows.select("text", "toxic").mapInArrow(run, "toxic boolean, buckets binary"), "features")
 
@@ -219,8 +272,10 @@ def score(docs: DataFrame, model: Model, shape: Shape = Shape()) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = shared.value
-        for batch in batches:
-            z = np.array([float(weights[features(t.as_py(), shape)].sum(dtype=np.float64)) + bias for t in batch.column(1)])
+        for batch in slices(batches, limit=_SLICE):
+            first, found = slice_features(batch.column("text"), shape)
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(first))
+            z = np.bincount(owner, weights[found], batch.num_rows) + bias
             made = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:1], *batch.columns[2:], pa.array(made, pa.float64())], [*batch.schema.names[:1], *batch.schema.names[2:], "score"])
 
