@@ -17,8 +17,8 @@ PRIORITY_LINK, PRIORITY_DEFAULT, PRIORITY_INDEXED = 0, 1, 5
 
 def hrefs(html: Column, include_boilerplate: bool = False) -> Column:
     """Link targets as written. Those inside nav and footer are unseen by default."""
-    body = html if include_boilerplate else H.cut_blocks(html, H.CRAWL_DROP)
-    anchors = F.filter(H.elements(body), lambda e: (e["tag"] == "a") & e["href"].isNotNull())
+    found = H.tokens(html) if include_boilerplate else H.tokens_outside(html)
+    anchors = F.filter(H.elements_of(found), lambda e: (e["tag"] == "a") & e["href"].isNotNull())
     return F.transform(anchors, lambda e: e["href"])
 
 

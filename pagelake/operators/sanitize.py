@@ -20,30 +20,24 @@ def _unwanted(e: Column, cfg: Settings) -> Column:
 
 def remove_unwanted(html: Column, cfg: Settings = DEFAULT) -> Column:
     """The page without scripts, iframes, images and links that point at a tracker or
-    carry an advert class. Linear in the page: text between tokens is kept as it is."""
-    between = F.split(html, H.TOKEN, -1)
-    drop = lambda t: F.when(
-        H.tag_of(t).isin(*REMOVABLE), let(H.element(t, F.lit(0)), lambda e: _unwanted(e, cfg))
-    ).otherwise(F.lit(False))
-    kept = F.transform(H.tokens(html), lambda t: F.when(drop(t), F.lit("")).otherwise(t))
-    pieces = F.zip_with(between, kept, lambda text, t: F.concat(text, F.coalesce(t, F.lit(""))))
-    return F.array_join(pieces, "")
+    carry an advert class. All other pieces of the page are kept as they are."""
+    keep = lambda p: F.when(
+        H.is_token(p) & H.tag_of(p).isin(*REMOVABLE), let(H.element(p, F.lit(0)), lambda e: ~_unwanted(e, cfg))
+    ).otherwise(F.lit(True))
+    return F.array_join(F.filter(H.pieces(html), keep), "")
 
 
 def _head_tags(html: Column, wanted: Column) -> Column:
     """Characters before and through the first tag like ``wanted`` that is no part of a comment,
-    script, style or frame; null if there is none."""
-    pattern = rf"(?is){H.HIDDEN}|<title\b{H.INSIDE}>.*?</title\s*>|</head\s*>|<html\b{H.INSIDE}>"
-    found = F.regexp_extract_all(html, F.lit(pattern), F.lit(0))
-    between = F.split(html, pattern, -1)
-
-    def place(tags: Column) -> Column:
-        nth = F.array_position(F.transform(tags, lambda t: F.startswith(F.lower(t), wanted)), F.lit(True)).cast("int")
-        size = lambda texts: F.aggregate(texts, F.lit(0), lambda n, t: n + F.length(t))
-        before = size(F.slice(between, F.lit(1), nth)) + size(F.slice(tags, F.lit(1), nth - 1))
-        return F.when(nth > 0, F.struct(before.alias("before"), (before + F.length(F.get(tags, nth - 1))).alias("through")))
-
-    return let(found, place)
+    script, style, frame or title; null if there is none."""
+
+    def place(found: Column) -> Column:
+        is_tag = lambda p: p.startswith("<") & F.startswith(F.lower(p), wanted) & p.rlike(rf"(?i)^(?:</head\s*>|<html\b{H.INSIDE}>)$")
+        nth = F.array_position(F.transform(found, is_tag), F.lit(True)).cast("int")
+        before = F.aggregate(F.slice(found, F.lit(1), F.greatest(nth - 1, F.lit(0))), F.lit(0), lambda n, t: n + F.length(t))
+        return F.when(nth > 0, F.struct(before.alias("before"), (before + F.length(F.get(found, nth - 1))).alias("through")))
+
+    return let(H.pieces(html, (*H.RAW, "title")), place)
 
 
 def add_snippet(html: Column, snippet: Column) -> Column:

@@ -1,5 +1,9 @@
 import html as pyhtml
 
+import random
+import re
+import time
+
 import pytest
 from helpers import plan
 from pyspark.sql import functions as F
@@ -175,3 +179,66 @@ def test_only_needed_columns_are_read(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     text = plan(L.sites_to_discover(pages.filter("url like 'https:%'")))
     assert "struct<url:string>" in text and "StringStartsWith(url,https:)" in text
+
+
+NESTED = [
+    ("<nav>a<nav>b</nav>c</nav>d", "d", "a b c d"),
+    ("<nav>a<nav>b</nav>c", "a c", "a b c"),  # the outer one is never closed
+    ("</nav>a<NAV class='x'>b</Nav >c</nav>d<nav>e", "a c d e", "a b c d e"),
+    ("<footer>a<nav>b</footer>c</nav>d<navy>e</navy>", "c d e", "a b c d e"),
+    ("x<nav>a<script>'</nav>'</script>b<!-- </nav> -->c</nav>y<nav>z</nav>", "x y", "x a b c y z"),
+    ("<nav>" * 40 + "a" + "</nav>" * 40 + "b", "b", "a b"),
+    ("<script>a<b>c<style>d</style>e<!-- f<script>g</script>h", "h", "h"),
+    ("a<!-- b<style>c<p>d</style>e<script>f<i>g", "a<!-- b e f g", "a<!-- b e f g"),
+    ("a<b>c<", "a c<", "a c<"), ("a < b <", "a < b <", "a < b <"), ("<!-->a--><p>b", "b", "b"), ("", "", ""), (None, None, None),
+]
+
+
+def test_nested_and_unclosed_blocks(spark):
+    df = spark.createDataFrame([(i, h, *w) for i, (h, *w) in enumerate(NESTED)], "i int, html string, outside string, inside string")
+    got = df.select("i", "html", "outside", "inside", H.page_text(F.col("html")).alias("o"), H.page_text(F.col("html"), H.INDEX_DROP).alias("n"), F.array_join(H.pieces(F.col("html")), "").alias("again"))
+    for r in got.collect():
+        assert (r.o, r.n) == (r.outside, r.inside), r.html
+        assert r.again == r.html
+
+
+def plain_cut(text, tag):
+    """Outermost balanced blocks by a stack of openers."""
+    parts = re.split(rf"(</?{tag}>)", text)
+    stack, ranges = [], []
+    for i, p in enumerate(parts):
+        if p == f"<{tag}>":
+            stack.append(i)
+        elif p == f"</{tag}>" and stack:
+            ranges.append((stack.pop(), i))
+    gone = {k for a, b in ranges for k in range(a, b + 1)}
+    return "".join("" if i in gone or p.startswith("<") else p for i, p in enumerate(parts))
+
+
+def test_balanced_blocks_equal_a_stack(spark):
+    r = random.Random(2)
+    pages = ["".join(r.choice(["<nav>", "</nav>", "</nav>", "<nav>", "a", "b"]) for _ in range(r.randint(0, 30))) for _ in range(200)]
+    pages.append("".join(r.choice(["<nav>", "</nav>", "k"]) for _ in range(3000)))
+    df = spark.createDataFrame([(p,) for p in pages], "html string")
+    got = [r.t.replace(" ", "") for r in df.select(H.page_text(F.col("html")).alias("t")).collect()]
+    assert got == [plain_cut(p, "nav") for p in pages]
+
+
+def test_links_of_nested_menus(spark):
+    page = '<nav><a href="/1">1</a><nav><a href="/2">2</a></nav><a href="/3">3</a></nav><a href="/4">4</a>'
+    df = frame(spark, [("http://h.test/p", page, None)])
+    assert [r.to_url for r in L.edges(df).collect()] == ["http://h.test/4"]
+
+
+def test_the_scan_is_linear_in_the_page(spark):
+    """Megabytes of openers that nothing closes take seconds, not hours."""
+    size = 2_000_000
+    kinds = ("<script>", "<script ", "<!--", "<nav>", "<!-- <style><iframe>", "<nav></nav>x", "<a href='")
+    df = spark.createDataFrame([(k,) for k in kinds], "k string").repartition(4)
+    big = df.select("k", F.expr(f"repeat(k, int({size} / length(k)))").alias("html"))
+    took = {}
+    for kind in kinds:
+        start = time.perf_counter()
+        big.filter(F.col("k") == kind).select(F.sum(F.length(H.page_text(F.col("html")))), F.sum(F.size(H.tokens(F.col("html"))))).collect()
+        took[kind] = time.perf_counter() - start
+    assert max(took.values()) < 60, took
