@@ -3,6 +3,7 @@
 The store is append-only: each micro-batch writes its own folder and overwrites it when
 the batch is replayed, so a restart neither loses nor doubles rows. Readers resolve
 versions by key; ``compact`` folds them into a new snapshot. No batch rewrites old data.
+``ingest_merged`` keeps one snapshot per shard instead, for stores that are read more often than written.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pagelake.functions import keys, urls
 from pagelake.operators import links as L
 from pagelake.operators.upsert import replace_upsert
 from pagelake.plans.crawl import analysed_pages, stored_pages
+from pagelake.sources import snapshots
 from pagelake.sources.pages import spread
 from pagelake.sources.store import write_pages
 
@@ -42,6 +44,18 @@ def ingest(
     return _start(pages, write, checkpoint, interval)
 
 
+def ingest_merged(
+    pages: DataFrame, store: str, checkpoint: str, order: list[str], cfg: Settings = DEFAULT, interval: str | None = None
+) -> StreamingQuery:
+    """Analyse and sanitise pages as they arrive and merge them into the snapshots of their shards."""
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        rows = stored_pages(analysed_pages(spread(batch, "url"), cfg), cfg)
+        snapshots.merge_batch(rows.drop("out_links"), store, epoch, order, cfg)
+
+    return _start(pages, write, checkpoint, interval)
+
+
 def current_pages(spark: SparkSession, store: str, order: list[str], shard: int | None = None) -> DataFrame:
     """Newest version of each stored page; later batches win ties.
 
@@ -59,24 +73,52 @@ def compact(spark: SparkSession, store: str, target: str, order: list[str], cfg:
     write_pages(current, f"{target}/epoch=-1", cfg)
 
 
+#: Registers of the sketch of hosts: 2 ** 14, a standard error below one per cent.
+SKETCH_BITS = 14
+
+
+def _epochs(spark: SparkSession, target: str) -> list[int]:
+    """Batches that have written their folder, by name."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(target)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [str(s.getPath().getName()) for s in fs.listStatus(folder)] if fs.exists(folder) else []
+    return sorted(int(n.removeprefix("epoch=")) for n in names if n.startswith("epoch="))
+
+
 def host_counts(pages: DataFrame) -> DataFrame:
-    """Running page count per host; state is one row per host, spread over the cluster."""
+    """Pages per host, exact: one row per host."""
     return pages.groupBy(urls.netloc(F.col("url")).alias("host")).agg(F.count("*").alias("pages"))
 
 
+def summary_row(pages: DataFrame) -> DataFrame:
+    """Pages and a sketch of their hosts, in one row; each task sends one sketch, however many hosts it meets."""
+    # the sketch leaves out empty strings, so the host gets slashes before it
+    host = F.concat(F.lit("//"), urls.netloc(F.col("url")))
+    return pages.agg(F.count("*").alias("pages_crawled"), F.hll_sketch_agg(host, SKETCH_BITS).alias("hosts"))
+
+
 def running_summary(pages: DataFrame, target: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
-    """Keep pages and distinct hosts up to date, one small result folder per batch."""
+    """Keep pages and distinct hosts up to date, one result row per batch.
+
+    A batch adds its own row to that of the batch before it, so neither state nor output grows with the
+    hosts. A repeated batch starts from the same row again and overwrites its own.
+    """
 
     def write(batch: DataFrame, epoch: int) -> None:
-        row = batch.agg(F.sum("pages").alias("pages_crawled"), F.count("*").alias("domains_count"))
-        row.coalesce(1).write.mode("overwrite").parquet(f"{target}/epoch={epoch}")
+        spark, rows = batch.sparkSession, summary_row(batch)
+        before = [e for e in _epochs(spark, target) if e < epoch]
+        if before:
+            rows = rows.unionByName(spark.read.parquet(f"{target}/epoch={before[-1]}"))
+        total = rows.agg(F.sum("pages_crawled").alias("pages_crawled"), F.hll_union_agg("hosts").alias("hosts"))
+        total.coalesce(1).write.mode("overwrite").parquet(f"{target}/epoch={epoch}")
 
-    return _start(host_counts(pages), write, checkpoint, interval, "complete")
+    return _start(pages, write, checkpoint, interval)
 
 
 def newest_summary(spark: SparkSession, target: str) -> DataFrame:
-    rows = spark.read.parquet(target)
-    return rows.orderBy(F.desc("epoch")).limit(1).drop("epoch")
+    """pages_crawled and domains_count (estimated; exact for some hundred hosts) after the last batch."""
+    last = spark.read.parquet(f"{target}/epoch={_epochs(spark, target)[-1]}")
+    return last.select("pages_crawled", F.hll_sketch_estimate("hosts").alias("domains_count"))
 
 
 def once_per_hour(pages: DataFrame, time: str, cfg: Settings = DEFAULT) -> DataFrame:

@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 from pagelake.operators import links as L
 from pagelake.plans import crawl as C
 from pagelake.plans.catalog import ENRICHED
+from pagelake.sources import commits
 from pagelake.sources import pages as SRC
+from pagelake.sources import snapshots as SNAP
 from pagelake.streaming import ingest as STR
 
 
@@ -47,6 +49,60 @@ def test_running_summary(spark, folder, tmp_path):
     assert (got.pages_crawled, got.domains_count) == (hosts.agg(F.sum("pages")).first()[0], hosts.count())
 
 
+def test_summary_of_many_hosts_is_one_row_of_bounded_size(spark, tmp_path):
+    """Three batches of overlapping hosts: the estimate is near, and a repeated batch does not count twice."""
+    path, target = str(tmp_path / "in"), str(tmp_path / "s")
+    hosts = spark.range(0, 60_000, 1, 3).select((F.col("id") % 40_000).alias("h"))
+    hosts.select(F.concat(F.lit("http://h"), "h", F.lit(".test/p")).alias("url"), F.lit("x").alias("html")).write.parquet(path)
+    stream = spark.readStream.schema("url string, html string").option("maxFilesPerTrigger", 1).parquet(path)
+    STR.running_summary(stream, target, str(tmp_path / "c")).awaitTermination()
+    stored = spark.read.parquet(target)
+    assert stored.groupBy("epoch").count().filter("count > 1").count() == 0 and stored.select("epoch").distinct().count() == 3
+    got = STR.newest_summary(spark, target).first()
+    assert got.pages_crawled == 60_000 and abs(got.domains_count - 40_000) < 0.02 * 40_000
+    assert stored.select(F.max(F.octet_length("hosts"))).first()[0] < 20_000
+
+
+def test_batches_merge_into_the_shards_they_touch(spark, tmp_path):
+    path = str(tmp_path / "store")
+
+    def files():
+        return {str(f): f.stat().st_mtime_ns for f in (tmp_path / "store" / "data").rglob("part-*")}
+
+    def batch(rows_):
+        return spark.createDataFrame(rows_, "url string, html string, seq long")
+
+    def stored():
+        return rows(SNAP.read_snapshot(spark, path), "url", "html", "seq")
+
+    first = [(f"http://h{i}.test/", f"a{i}", 1) for i in range(200)]
+    assert len(SNAP.merge_batch(batch(first), path, 0, ["seq"])) == 16
+    before = files()
+    new = [("http://h7.test/", "b", 2), ("http://h7.test/", "older", 1), ("http://h9.test/", "stale", 0), (None, "x", 1)]
+    touched = SNAP.merge_batch(batch(new), path, 1, ["seq"])
+    assert 1 <= len(touched) <= 2
+    want = sorted({u: (u, h, s) for u, h, s in [*first, new[0]]}.values())
+    assert stored() == want
+    assert before.items() <= files().items()  # old snapshots stay for their readers
+    after = files()
+    assert SNAP.merge_batch(batch(new), path, 1, ["seq"]) == [] and files() == after  # a repeated batch
+    assert SNAP.vacuum(spark, path) == len(touched) and stored() == want
+    kept = {f: t for f, t in before.items() if not any(f"shard={s}/" in f for s in touched)}
+    assert kept.items() <= files().items() and len(kept) >= 14
+    # a batch that died before its commit leaves a folder that no state names, and is written again
+    number, _ = commits.read_state(spark, path)
+    batch([("http://h1.test/", "half", 9)]).withColumn("shard", F.lit(0)).write.partitionBy("shard").parquet(f"{path}/data/v={number + 1}")
+    assert stored() == want
+    SNAP.merge_batch(batch([("http://h1.test/", "c", 1)]), path, 2, ["seq"])  # of equal versions the later batch
+    assert stored() == sorted([*(r for r in want if r[0] != "http://h1.test/"), ("http://h1.test/", "c", 1)])
+    shard = SNAP.read_snapshot(spark, path).filter("url = 'http://h1.test/'").first().shard
+    one = SNAP.read_snapshot(spark, path, shard)
+    assert rows(one, "url") == [(u,) for u in sorted(r.url for r in SNAP.read_snapshot(spark, path).filter(F.col("shard") == shard).collect())]
+    assert all(f"shard={shard}" in f for f in one.inputFiles())
+    with pytest.raises(ValueError):
+        SNAP.read_snapshot(spark, str(tmp_path / "none"))
+
+
 def test_frontier_grows_once_per_address(spark, folder, tmp_path):
     target = str(tmp_path / "f")
     STR.grow_frontier(SRC.stream_pages(spark, folder, files_per_batch=1), target, str(tmp_path / "c")).awaitTermination()
