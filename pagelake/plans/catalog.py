@@ -7,6 +7,7 @@ from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from pagelake.config import DEFAULT
 from pagelake.functions import half_up, inline_rows, keys, urls
@@ -16,6 +17,7 @@ from pagelake.operators import index as I
 from pagelake.operators import links as L
 from pagelake.operators import rank as R
 from pagelake.operators import search as S
+from pagelake.operators import segments as SEG
 from pagelake.operators import stats as A
 from pagelake.operators import upsert as U
 from pagelake.operators.media import media, media_json, media_rows
@@ -25,6 +27,7 @@ from pagelake.operators.sanitize import remove_unwanted, sanitize
 from pagelake.plans import crawl as C
 from pagelake.plans import search as P
 from pagelake.sources import pages as SRC
+from pagelake.sources import snapshots as SNAP
 from pagelake.sources import store as ST
 from pagelake.streaming import ingest as STR
 
@@ -538,6 +541,33 @@ def search_stored_index(spark, sf):
     return S.top(S.match_all(parsed, I.read_hits(spark, path, S.terms_of(parsed))), TOP_K)
 
 
+def _segmented_index(spark, sf):
+    """Three batches: all documents (every fifth with an old text), the fifths anew, and every seventh
+    again while every eleventh is deleted."""
+    path, docs = ST.new_path(spark, "segments"), _documents(spark, sf)
+    fifth = F.col("doc_id") % 5 == 0
+    old = docs.withColumn("text", F.when(fifth, F.concat(F.lit("outdated "), F.col("text"))).otherwise(F.col("text")))
+    layout = SEG.Layout(fanout=2)
+    SEG.add_batch(old, "doc_id", ["text"], path, "first", layout=layout)
+    SEG.add_batch(docs.filter(fifth), "doc_id", ["text"], path, "second", layout=layout)
+    kept = F.col("doc_id") % 11 != 0
+    SEG.add_batch(docs.filter((F.col("doc_id") % 7 == 0) & kept), "doc_id", ["text"], path, "third", docs.filter(~kept), layout)
+    SEG.merge_tiers(spark, path, layout)
+    return path
+
+
+def segment_search(spark, sf):
+    """Conjunctions over a stored index of which a third was replaced or deleted."""
+    parsed = S.parse(_frequent_queries(spark, sf))
+    return S.top(S.match_all(parsed, SEG.segment_hits(spark, _segmented_index(spark, sf), S.terms_of(parsed))), TOP_K)
+
+
+def segment_topk(spark, sf):
+    """Any-term top k over the same index, reading only the slots whose bounds reach the k-th score."""
+    found = SEG.top_stored(spark, _segmented_index(spark, sf), S.parse(_queries(spark, sf)), TOP_K)
+    return found.top.select("query_id", "doc_id", "n_matched", "score", "rank")
+
+
 def search_folded(spark, sf):
     """Accents are folded in the texts and in the queries."""
     plain = _queries(spark, sf).withColumn("query", F.translate(F.lower("query"), T.ACCENTED, T.UNACCENTED))
@@ -715,6 +745,18 @@ def stream_ingest(spark, sf):
     return rows.select(F.col("seq").alias("page_id"), "url_hash", "title", "word_count", half_up(F.col("security_score")).alias("security_score"), "is_dangerous")
 
 
+def stream_merge(spark, sf):
+    """Every third page arrives in an old version first; each batch merges into the snapshots of its shards."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet").withColumn("seq", F.lit(1).cast("long"))
+    old = pages.filter("page_id % 3 = 0").withColumns({"seq": F.lit(0).cast("long"), "html": F.lit("<title>old</title>")})
+    folder, store, state = (ST.new_path(spark, name) for name in ("arrivals", "snapshots", "state"))
+    old.unionByName(pages).repartitionByRange(4, "seq", "page_id").write.parquet(folder)
+    stream = SRC.stream_pages(spark, folder, schema=StructType([*SRC.PAGE_SCHEMA, StructField("seq", LongType())]), files_per_batch=1)
+    STR.ingest_merged(stream, store, state, ["seq"]).awaitTermination()
+    numbers = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url")
+    return SNAP.read_snapshot(spark, store).join(numbers, "url").select("page_id", "url_hash", "title", "word_count", half_up(F.col("security_score")).alias("security_score"), "is_dangerous")
+
+
 def stream_summary(spark, sf):
     target, state = ST.new_path(spark, "summary"), ST.new_path(spark, "state")
     STR.running_summary(_page_stream(spark, sf), target, state).awaitTermination()
@@ -749,10 +791,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         edges_ignore, frontier, frontier_next, fetch_timetable, discovery_sites, upsert_replace, upsert_reset,
         upsert_merge, insert_valid, analysis_once, postings, postings_stemmed, term_statistics,
         document_lengths, search_bm25, search_any, search_all_matches, search_phrase, search_boolean,
-        search_shard_topk, search_merged, search_page, search_envelope, search_stored_index, search_folded,
+        search_shard_topk, search_merged, search_page, search_envelope, search_stored_index, segment_search, segment_topk, search_folded,
         snippets, suggest_prefix, tfidf_cosine, tfidf_titles, word_overlap, freshness, rank_composite, neutral_score,
         learned_ranker, shard_stats, store_totals, shard_report, shard_imbalance, latency_smoothed,
         slow_shards, crawl_summary, latency_slow_weight, stats_report, cache_retention, operation_counts, pages_by_domain,
-        popular_pages, stream_ingest, stream_summary, stream_dedup, stream_frontier,
+        popular_pages, stream_ingest, stream_merge, stream_summary, stream_dedup, stream_frontier,
     )
 }

@@ -268,6 +268,7 @@ FREQUENT = f"""qs AS (SELECT item_id AS query_id, array_to_string(list_transform
   lambda t: {{'n': length(t), 't': t}}))[1:3], lambda x: x.t), ' ') AS query FROM benchmark)"""
 PHRASES = f"qs AS (SELECT item_id AS query_id, array_to_string({tokens('text')}[1:2], ' ') AS query FROM benchmark)"
 DOCS_ALL = [FREQUENT, *bm25("documents", "doc_id", tokens("text"))]
+LEFT_DOCS = "left_docs AS (SELECT * FROM documents WHERE doc_id % 11 <> 0)"
 DOCS_ANY = [QUERIES, *bm25("documents", "doc_id", tokens("text"))]
 DOCS_TOP = [*DOCS_ANY, f"tops AS ({top('m', C.TOP_K, 'query_id, doc_id, score')})"]
 
@@ -593,6 +594,8 @@ def _statements() -> dict[str, str]:
         "search_page": with_(*DOCS_ANY) + top("m", 2 * C.TOP_K, "query_id, doc_id, score", low=C.TOP_K),
         "search_envelope": with_("qs AS (SELECT 0 AS query_id, 'the that' AS query)", *bm25("documents", "doc_id", tokens("text")), MATCH_ALL)
         + f"SELECT 'the that' AS query, 'all' AS category, CAST(1 AS BIGINT) AS page, doc_id, score, rank FROM ({top('m2', C.TOP_K, 'query_id, doc_id, score')})",
+        "segment_search": with_(FREQUENT, LEFT_DOCS, *bm25("left_docs", "doc_id", tokens("text")), MATCH_ALL) + top("m2", C.TOP_K, "query_id, doc_id, score"),
+        "segment_topk": with_(QUERIES, LEFT_DOCS, *bm25("left_docs", "doc_id", tokens("text"))) + top("m", C.TOP_K, "query_id, doc_id, n_matched, score"),
         "search_stored_index": with_(*DOCS_ALL, MATCH_ALL) + top("m2", C.TOP_K, "query_id, doc_id, score"),
         "search_folded": with_(f"qs AS (SELECT item_id AS query_id, {folded_query.replace('query', 'text')} AS query FROM benchmark)",
             *bm25("documents", "doc_id", f"regexp_extract_all({fold}, {q(T.INDEX_TOKEN)})"), MATCH_ALL) + "SELECT query_id, doc_id, score FROM m2",
@@ -626,6 +629,7 @@ def _statements() -> dict[str, str]:
             row_number() OVER (PARTITION BY {netloc('url')} ORDER BY crawled_at DESC, page_id, seq) AS rank FROM cl) WHERE rank <= {C.TOP_K}""",
         "popular_pages": with_(*candidates()) + f"SELECT url, count(*) AS popularity FROM cand GROUP BY 1 ORDER BY popularity DESC, url LIMIT {C.TOP_K}",
         "stream_ingest": with_(*page_fields()) + f"""SELECT page_id, sha256(url) AS url_hash, title, CAST({word_count} AS BIGINT) AS word_count, {half_up('score')} AS security_score, unsafe AS is_dangerous FROM pf""",
+        "stream_merge": with_(*page_fields()) + f"""SELECT page_id, sha256(url) AS url_hash, title, CAST({word_count} AS BIGINT) AS word_count, {half_up('score')} AS security_score, unsafe AS is_dangerous FROM pf""",
         "stream_summary": f"SELECT count(*) AS pages_crawled, count(DISTINCT {netloc('url')}) AS domains_count FROM pages",
         "stream_dedup": "SELECT page_id, md5(url || '_' || length(html)) AS analysis_key FROM pages",
         "stream_frontier": with_(*safe_links()) + "SELECT DISTINCT to_url AS url, CAST(0 AS BIGINT) AS priority FROM edge WHERE to_url NOT IN (SELECT url FROM pages)",
