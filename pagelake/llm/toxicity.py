@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelake.llm.text import SLICE_BYTES, fold, mix, slices
+from pagelake.llm.text import SLICE_BYTES, fold, gram_hashes, mix, slices
 from pagelake.sources.store import materialise
 
 
@@ -50,7 +50,6 @@ class Model(NamedTuple):
 _CHUNK, _PIECE = 1 << 12, 1 << 20
 #: Bytes of text hashed at once: what is made of them stays in the processor's cache.
 _SLICE = 1 << 17
-_MIX = np.array([0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 _CLASS = np.arange(256, dtype=np.uint64)
 _CLASS[ord("A") : ord("Z") + 1] += 32
 _CLASS[[0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = 0x20
@@ -59,23 +58,8 @@ _BYTE = mix((_CLASS + np.uint64(77)) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def grams(values: np.ndarray, shape: Shape) -> list[np.ndarray]:
-    """Buckets of the windows of each length, by hashes of windows of 1, 2, 4 ... values, each made of two halves."""
-    halves = [values]
-    while 2 << len(halves) - 1 <= max(shape.lengths):
-        size, h = 1 << len(halves) - 1, halves[-1]
-        n = max(len(h) - size, 0)
-        halves.append(h[:n] * _MIX[len(halves)] + h[size : size + n])
-    found = []
-    for length in shape.lengths:
-        top = length.bit_length() - 1
-        h, size = halves[top], 1 << top
-        for k in range(top - 1, -1, -1):
-            if length >> k & 1:
-                n = max(len(values) - size - (1 << k) + 1, 0)
-                h = h[:n] * _MIX[-1 - k] + halves[k][size : size + n]
-                size += 1 << k
-        found.append((h * _MIX[0] >> np.uint64(64 - shape.bits)).astype(np.int32))
-    return found
+    """Buckets of the windows of each length."""
+    return [(gram_hashes(values, k) >> np.uint64(64 - shape.bits)).astype(np.int32) for k in shape.lengths]
 
 
 def features(text: str | None, shape: Shape, piece: int = 1 << 20) -> np.ndarray:
