@@ -27,6 +27,7 @@ import hashlib
 import re
 import uuid
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -133,9 +134,7 @@ def parse_arc(files: DataFrame, with_payload: bool = True) -> DataFrame:
             for path, content in zip(batch.column(0), batch.column(1)):
                 rows, raw = [], content.as_py()
                 raw = gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
-                for offset, field, body in arc_records(raw, path.as_py()):
-                    if field["URL"].startswith(b"filedesc:"):
-                        continue
+                for offset, field, body in islice(arc_records(raw, path.as_py()), 1, None):  # after the version block
                     http = body.startswith(b"HTTP/")
                     cut = body.find(b"\r\n\r\n") + 4 if http else 0
                     head, payload = (body[:cut], body[cut:]) if cut >= 4 else (b"", body)

@@ -41,6 +41,11 @@ def test_pages_of_the_corpus(spark, sf):
     assert converted(spark, rows) == expected(rows)
 
 
+def test_a_page_with_the_address_of_a_version_block_stays(spark):
+    rows = [(1, "filedesc://x.arc", "<p>a</p>"), (2, "http://x/", "<p>a</p>"), (3, "filedesc:", None)]
+    assert converted(spark, rows) == expected(rows)
+
+
 def test_no_rows_null_ids_and_repeated_rows(spark):
     assert converted(spark, []) == []
     got = arc.convert(arc.as_arc(pages(spark, [(None, None, "a"), (4, "http://x/", "a"), (4, "http://x/", "a"), (9, "u", "z" * 400_000)]))).collect()
