@@ -136,3 +136,71 @@ def test_article_of_the_corpus(spark, sf):
         parts = re.split(r"</?(?:p|h1)>", re.sub(r"<br>", " ", re.sub(r"</?b>", "", body)))
         want = [" ".join(html.unescape(p).split()) for p in parts]
         assert found[r.page_id] == "\n".join(p for p in want if p)
+
+
+@pytest.mark.parametrize("page", ["<script " * 1_250_000, "<div " * 2_000_000, "<div>" * 100_000 + "</span>" * 100_000, "<!" * 2_000_000, '<span class="ad">' + "<div>" * 50_000 + "</span>" * 100_000, '</a ">" ' * 200_000, "<li>x<div>" * 50_000])
+def test_broken_pages_take_linear_time(page):
+    import time
+
+    start = time.perf_counter()
+    made = consensus.Page(page)
+    made.votes(), made.text()
+    assert time.perf_counter() - start < 20
+
+
+def test_scan_equals_plain_patterns():
+    """Random pieces of markup: the scan finds what one pattern without possessive parts finds."""
+    import random
+    import re
+
+    plain = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|title)\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>""", re.S | re.I)
+    pick = random.Random(5)
+    pieces = ["<div>", "</div>", "<p x='", "</a \"", "<b ", "'", '"', ">", "<", "<!", "<!-- ", "-->", "</", "<script ", "</script>", "text ", "<a href=\"x>y\">", "<title>", "</title >", "€", "\U0001f600"]
+    for _ in range(20_000):
+        page = "".join(pick.choices(pieces, k=pick.randint(1, 25)))
+        want = [(m.start(), m.end(), m[2] == "/", (m[3] or "").lower(), m[4] or "") for m in plain.finditer(page)]
+        assert list(consensus.tags(page)) == want, page
+
+
+def test_an_article_far_above_its_blocks_gets_the_whole_vote():
+    page = consensus.Page("<body><article>" + "<div>" * 40 + "<p>deep text")
+    assert len(page.path) == 44 and page.votes()[page.path[2]] == (2, 1.0)
+
+
+def test_votes_by_brute_force(spark):
+    """Paths written out in full, scores by walking up from every block, means by counting pages."""
+    import random
+
+    pick = random.Random(11)
+    boxes = ["<div class=a>", "<div class=b>", "<section>", "<article>", "<main>"]
+    bodies = ["".join(pick.choice(boxes) for _ in range(pick.randint(1, 14))) + "<p>" + "w " * pick.randint(1, 40) + "</p></div></section>" + "<p>x</p>" for _ in range(60)]
+    rows = [(i, f"http://{'ab'[i % 2]}.test/{i}", b) for i, b in enumerate(bodies)]
+    made = {i: consensus.Page(b) for i, _, b in rows}
+
+    def full(page, e):
+        return (full(page, page.parent[e]) + (page.path[e],)) if e else ()
+
+    votes = {}
+    for i, page in made.items():
+        score = {full(page, e): 0.0 for e, t in enumerate(page.tag) if e == 0 or t in consensus._CONTAINER}
+        for e, text, linked in page.blocks:
+            share, nearest = 1.0, True
+            while True:
+                if e == 0 or page.tag[e] in consensus._CONTAINER:
+                    share = 1.0 if nearest or page.tag[e] in ("article", "main") else share / 2
+                    nearest = False
+                    score[full(page, e)] += (len(text) - linked) * share
+                if e == 0:
+                    break
+                e = page.parent[e]
+        votes[i] = {p: round(1e6 * s / max(score.values())) for p, s in score.items() if s > 0}
+    want = {}
+    for i in votes:
+        means = {p: [votes[j][p] for j in votes if j % 2 == i % 2 and p in votes[j]] for p in votes[i]}
+        mean = {p: sum(v) / (len(v) + 1) for p, v in means.items()}
+        key = {p: p[-1] if p else consensus.ROOT for p in mean}
+        a = max(mean, key=lambda p: (mean[p], len(p), key[p]))
+        b = max(votes[i], key=lambda p: (votes[i][p], len(p), key[p]))
+        taken = b if votes[i][a] < 750_000 and mean[a] < 750_000 and b[: len(a)] == a else a
+        want[i] = "\n".join(t for e, t, _ in made[i].blocks if full(made[i], e)[: len(taken)] == taken)
+    assert extract(spark, rows) == want
