@@ -15,8 +15,8 @@ equal vectors get equal scores and ties go to the smaller id. The tree, its leaf
 probes are bounded by the shape, whatever the table.
 
 Vectors that are null, all zero or hold null or non-finite components take no part, nor do rows
-without an id and vectors of another length than the most common. Of rows that repeat an id the
-smallest vector counts. An empty table gives an empty result. Other columns are not read.
+without an id and vectors of another length than the most common. Rows that repeat an id are candidates
+and queries each of its own. An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -141,25 +141,24 @@ def matrix(column: pa.Array | pa.ChunkedArray, d: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
 
 
-def best(query: np.ndarray, own: int, ids: np.ndarray, vectors: np.ndarray, rough: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the k best vectors and their scores; ``rough`` are the inner products up to rounding."""
+def best(query: np.ndarray, own: int, row: np.ndarray, ids: np.ndarray, vectors: np.ndarray, rough: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the k best vectors and their scores; ``own`` is the query's row, ``rough`` are the inner products up to rounding."""
     near = np.arange(len(ids))
     if len(ids) > k + 1:
         bar = -np.partition(-rough, k)[k]  # one more than k, for the query's own row
         near = np.flatnonzero(rough >= bar - 1e-9 * (1 + abs(bar)))
-    near = near[ids[near] != own]
+    near = near[row[near] != own]
     score = (vectors[near] * query).sum(1)  # summed in one order, so that equal vectors tie
     order = np.lexsort((ids[near], -score))[:k]
     return near[order], score[order]
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id and embedding (doubles) of the vectors that take part."""
+    """vec_id and embedding (doubles) of the vectors that take part, a row each."""
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    valid = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).filter(
+    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).filter(
         F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite & F.exists("embedding", lambda x: x != 0)
     )
-    return valid.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
 
 
 def _truth(index: DataFrame, probes: np.ndarray, own: np.ndarray, k: int, d: int) -> DataFrame:
@@ -169,9 +168,9 @@ def _truth(index: DataFrame, probes: np.ndarray, own: np.ndarray, k: int, d: int
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids, vectors = batch.column("vec_id").to_numpy(), matrix(batch.column("embedding"), d)
+            row, ids, vectors = batch.column("row").to_numpy(), batch.column("vec_id").to_numpy(), matrix(batch.column("embedding"), d)
             rough = probes @ vectors.T
-            found = [best(q, o, ids, vectors, r, k) for q, o, r in zip(probes, own, rough)]
+            found = [best(q, o, row, ids, vectors, r, k) for q, o, r in zip(probes, own, rough)]
             rows = np.concatenate([f[0] for f in found])
             probe = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
             made = [pa.array(probe), pa.array(ids[rows]), pa.array(np.concatenate([f[1] for f in found])), batch.column("leaf").take(pa.array(rows))]
@@ -205,9 +204,10 @@ def _visits(queries: DataFrame, tree: Tree, held: np.ndarray, visits: int, shape
                         rows.append(i)
                         leaves.append(leaf)
             at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("query_id").take(at), batch.column("embedding").take(at), pa.array(leaves, pa.int32())], ["query_id", "query", "leaf"])
+            made = [batch.column(c).take(at) for c in ("asker", "query_id", "embedding")]
+            yield pa.RecordBatch.from_arrays([*made, pa.array(leaves, pa.int32())], ["asker", "query_id", "query", "leaf"])
 
-    return queries.mapInArrow(run, "query_id long, query array<double>, leaf int")
+    return queries.mapInArrow(run, "asker long, query_id long, query array<double>, leaf int")
 
 
 def _dealt(rows: DataFrame, blocks: DataFrame, own: str, id_: str, other: str) -> DataFrame:
@@ -217,7 +217,11 @@ def _dealt(rows: DataFrame, blocks: DataFrame, own: str, id_: str, other: str) -
 
 
 def search(vectors: DataFrame, is_query: Column, shape: Shape = Shape()) -> DataFrame:
-    """query_id, rank (from 1), vec_id and score of the k nearest found of each query."""
+    """query_id, rank (from 1), vec_id and score of the k nearest found of each query.
+
+    Every row is a candidate, and every query row a query of its own, also where an id repeats; only the
+    query's own row is left out.
+    """
     spark = vectors.sparkSession
     kept = usable(vectors)
     sizes = kept.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
@@ -226,7 +230,7 @@ def search(vectors: DataFrame, is_query: Column, shape: Shape = Shape()) -> Data
     d, k = sizes["d"], shape.k
     kept = kept.filter(F.size("embedding") == d)
     hashed = F.xxhash64("vec_id", F.lit(shape.seed))
-    points = np.array([r.embedding for r in kept.orderBy(hashed, "vec_id").limit(shape.sample).select("embedding").toLocalIterator()], np.float64)
+    points = np.array([r.embedding for r in kept.orderBy(hashed, "vec_id", "embedding").limit(shape.sample).select("embedding").toLocalIterator()], np.float64)
     tree = fit(points, shape)
 
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,11 +238,12 @@ def search(vectors: DataFrame, is_query: Column, shape: Shape = Shape()) -> Data
             leaf = leaf_of(matrix(batch.column("embedding"), d), tree) if batch.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf, pa.int32())], ["vec_id", "embedding", "leaf"])
 
-    index = materialise(kept.mapInArrow(place, "vec_id long, embedding array<double>, leaf int"), "index")
-    queries = index.filter(is_query).select(F.col("vec_id").alias("query_id"), "embedding")
-    probed = queries.orderBy(F.xxhash64("query_id"), "query_id").limit(shape.probes).collect()
+    placed = kept.mapInArrow(place, "vec_id long, embedding array<double>, leaf int")
+    index = materialise(placed.withColumn("row", F.monotonically_increasing_id()), "index")
+    queries = index.filter(is_query).select(F.col("row").alias("asker"), F.col("vec_id").alias("query_id"), "embedding")
+    probed = queries.orderBy(F.xxhash64("query_id"), "query_id", "embedding").limit(shape.probes).collect()
     probes = np.array([r.embedding for r in probed], np.float64).reshape(-1, d)
-    truth = [tuple(r) for r in _truth(index, probes, np.array([r.query_id for r in probed], np.int64), k, d).collect()] if probed else []
+    truth = [tuple(r) for r in _truth(index, probes, np.array([r.asker for r in probed], np.int64), k, d).collect()] if probed else []
     visits = calibrate(tree, probes, truth, shape)
     held = np.zeros(tree.leaves, np.int64)
     for r in index.groupBy("leaf").count().collect():  # one row per leaf
@@ -250,21 +255,21 @@ def search(vectors: DataFrame, is_query: Column, shape: Shape = Shape()) -> Data
     )
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, vectors_ = right["vec_id"].to_numpy(), matrix(right["embedding"], d)
-        asking = left["query_id"].to_numpy()
+        row, ids, vectors_ = right["row"].to_numpy(), right["vec_id"].to_numpy(), matrix(right["embedding"], d)
+        asking, named = left["asker"].to_numpy(), left["query_id"].to_numpy()
         out: list[tuple[np.ndarray, ...]] = []
         if len(ids) and len(asking):
             wanted = matrix(left["query"], d)
             for a in range(0, len(wanted), 256):
-                for q, o, r in zip(wanted[a : a + 256], asking[a : a + 256], wanted[a : a + 256] @ vectors_.T):
-                    rows, score = best(q, o, ids, vectors_, r, k)
-                    out.append((np.full(len(rows), o), ids[rows], score))
-        columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        return pa.table({"query_id": columns[0], "vec_id": columns[1], "score": columns[2]})
+                for q, o, i, r in zip(wanted[a : a + 256], asking[a : a + 256], named[a : a + 256], wanted[a : a + 256] @ vectors_.T):
+                    rows, score = best(q, o, row, ids, vectors_, r, k)
+                    out.append((np.full(len(rows), o), np.full(len(rows), i), ids[rows], score))
+        columns = [np.concatenate(c) for c in zip(*out)] if out else [*(np.zeros(0, np.int64) for _ in range(3)), np.zeros(0)]
+        return pa.table(dict(zip(("asker", "query_id", "vec_id", "score"), columns)))
 
     key = ("leaf", "v_no", "q_no")
-    left = _dealt(visited, blocks, "q", "query_id", "v").select(*key, "query_id", "query")
-    right = _dealt(index, blocks, "v", "vec_id", "q").select(*key, "vec_id", "embedding")
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(compare, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    left = _dealt(visited, blocks, "q", "asker", "v").select(*key, "asker", "query_id", "query")
+    right = _dealt(index, blocks, "v", "row", "q").select(*key, "row", "vec_id", "embedding")
+    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(compare, "asker long, query_id long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("asker").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

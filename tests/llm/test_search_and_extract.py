@@ -56,11 +56,22 @@ def test_recall_on_the_corpus(spark, folder):
 def test_vectors_that_take_no_part(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, None), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (7, [1.0]), (None, [1.0, 1.0]), (8, [0.5, 0.5]), (8, [0.5, 0.5]), (9, []), (10, [-1.0, 0.0])]
-    assert got(spark, rows, bestbin.Shape(), 10) == {0: [(1, 0.5), (8, 0.5), (10, -1.0)], 10: [(1, -0.5), (8, -0.5), (0, -1.0)]}
+    assert got(spark, rows, bestbin.Shape(), 10) == {0: [(1, 0.5), (8, 0.5), (8, 0.5), (10, -1.0)], 10: [(1, -0.5), (8, -0.5), (8, -0.5), (0, -1.0)]}
     assert got(spark, [], bestbin.Shape(), 10) == {} and got(spark, rows[:1], bestbin.Shape(), 10) == {}
     assert got(spark, [(1, [1.0])], bestbin.Shape(), 10) == {}
 
 
+def test_rows_that_repeat_an_id_are_candidates_and_queries_of_their_own(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 3.0]), (0, [0.0, 3.0]), (1, [2.0, 0.0]), (1, [1.0, 1.0])]
+    found = bestbin.search(vectors(spark, rows), F.col("vec_id") % 10 == 0, bestbin.Shape(k=3)).collect()
+    want = []
+    for i, (own, q) in enumerate(rows):
+        if own % 10 == 0:
+            near = sorted((-sum(a * b for a, b in zip(q, v)), j) for n, (j, v) in enumerate(rows) if n != i)[:3]
+            want += [(own, rank, j, -s) for rank, (s, j) in enumerate(near, 1)]
+    assert sorted(map(tuple, found)) == sorted(want)
+
+
 PAGES = "page_id long, url string, html string, host string, paths string, path string, text string"
 
 
