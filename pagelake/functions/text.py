@@ -16,6 +16,7 @@ from pagelake.functions import let
 
 KEYWORD_TOKEN = r"[\p{L}\p{N}_]{%d,}"
 INDEX_TOKEN = r"[\p{L}\p{N}]+"
+NO_TOKEN = r"[^\p{L}\p{N}]+"
 # all white space of Unicode, hard spaces included
 GAP = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
@@ -44,6 +45,20 @@ def index_tokens(text: Column, fold_accents: bool = False) -> Column:
     return F.regexp_extract_all(lowered, F.lit(INDEX_TOKEN), F.lit(0))
 
 
+def spaced_tokens(text: Column, fold_accents: bool = False) -> Column:
+    """The tokens of ``index_tokens`` as one text with spaces between (and perhaps around) them."""
+    lowered = F.lower(text)
+    if fold_accents:
+        lowered = F.translate(lowered, ACCENTED, UNACCENTED)
+    return F.regexp_replace(lowered, NO_TOKEN, " ")
+
+
+def spaced_count(spaced: Column) -> Column:
+    """Number of tokens of a text of ``spaced_tokens``."""
+    trimmed = F.trim(spaced)
+    return F.when(trimmed == "", 0).otherwise(F.length(trimmed) - F.length(F.replace(trimmed, F.lit(" "), F.lit(""))) + 1).cast("long")
+
+
 @lru_cache(maxsize=8)
 def stop_words(languages: tuple[str, ...]) -> tuple[str, ...]:
     """Stop-word lists shipped with Spark ML (fixed, a few hundred words)."""
@@ -82,7 +97,7 @@ def runs_of(located: Column) -> Column:
 
         return let(starts, cut)
 
-    return let(F.array_sort(located), from_sorted)
+    return let(F.sort_array(located), from_sorted)
 
 
 def term_runs(tokens: Column) -> Column:
