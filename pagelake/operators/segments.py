@@ -19,16 +19,20 @@ which other slots can still hold a better document.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from pagelake.config import DEFAULT, Settings
-from pagelake.functions import inline_rows
 from pagelake.functions import text as T
+from pagelake.functions.runs import runs, text_slices
 from pagelake.operators import search as S
-from pagelake.operators.index import PUSHED_TERMS, Hits, _document_frequency, bucket_of, tokens_of
+from pagelake.operators.index import PUSHED_TERMS, Hits, _document_frequency, bucket_of, spaced_text
 from pagelake.operators.ranked import top_per_group
 from pagelake.sources.commits import commit, drop_folders, read_state
 from pagelake.sources.store import broadcast_if_small, materialise
@@ -47,8 +51,50 @@ def _slot(doc: Column, slots: int) -> Column:
     return F.pmod(F.xxhash64(doc), F.lit(slots))
 
 
-def _weight(tf: Column, dl: Column, average: float, cfg: Settings) -> Column:
-    return S.term_weight(F.lit(1.0), tf, dl, F.lit(average), cfg)
+#: Tokens of a task that writes blocks, and those below which no more tasks are used; texts (bytes) turned at once.
+_PART_TOKENS, _LEAST_TOKENS, _TURNED = 8 << 20, 1 << 19, 8 << 20
+
+
+def _blocks(texts: DataFrame, average: float, cfg: Settings) -> DataFrame:
+    """(term, slot, n, most, entries) of texts that lie by slot and document, a slot in one partition."""
+    doc = texts.schema["doc_id"].dataType
+    entries = ArrayType(StructType([StructField("doc_id", doc), *StructType.fromDDL("dl long, tf long, positions array<int>")]))
+    schema = StructType([*StructType.fromDDL("term string, slot long, n int, most double"), StructField("entries", entries)])
+
+    def turned(table: pa.Table) -> pa.RecordBatch:
+        table = table.combine_chunks()
+        texts, slots = table["_text"].combine_chunks(), table["slot"].to_numpy()
+        found = runs(texts)
+        coded = found.term.dictionary_encode()
+        codes, slot = np.asarray(coded.indices, np.int64), slots[found.row]
+        by = np.lexsort((found.row, codes, slot))  # rows lie by document
+        codes, slot, row = codes[by], slot[by], found.row[by]
+        start = np.flatnonzero(np.append(True, (codes[1:] != codes[:-1]) | (slot[1:] != slot[:-1]))) if len(by) else np.zeros(0, np.int64)
+        n = np.diff(np.append(start, len(by)))
+        tf, dl = found.tf[by], found.dl[row]
+        weight = S.term_weight(1.0, tf, dl, average, cfg)
+        most = np.maximum.reduceat(weight, start) if len(start) else np.zeros(0)
+        entry = pa.StructArray.from_arrays(
+            [table["doc_id"].combine_chunks().take(pa.array(row)), pa.array(dl), pa.array(tf), found.positions().take(pa.array(by))], ["doc_id", "dl", "tf", "positions"]
+        )
+        ends = pa.array(np.append(start, len(by)).astype(np.int32))
+        made = [coded.dictionary.take(pa.array(codes[start])), pa.array(slot[start]), pa.array(n.astype(np.int32)), pa.array(most), pa.ListArray.from_arrays(ends, entry)]
+        return pa.RecordBatch.from_arrays(made, ["term", "slot", "n", "most", "entries"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in text_slices(batches, "_text"):
+            # whole slots are turned; the last one may go on
+            last = batch.column("slot").to_numpy()
+            cut = int(np.searchsorted(last, last[-1]))
+            if sum(b.nbytes for b in held) > _TURNED and (cut or held[-1].column("slot")[-1].as_py() != last[0]):
+                yield turned(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held, batch = [], batch.slice(cut)
+            held.append(batch)
+        if held:
+            yield turned(pa.Table.from_batches(held))
+
+    return texts.select("doc_id", F.col("text").alias("_text"), "slot").mapInArrow(run, schema)
 
 
 def _write_segment(spark: SparkSession, path: str, name: str, layout: Layout, cfg: Settings) -> dict:
@@ -57,20 +103,12 @@ def _write_segment(spark: SparkSession, path: str, name: str, layout: Layout, cf
     totals = texts.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("dl")).first()
     n, total = totals["n"], totals["dl"]
     slots, average = max(1, -(-n // layout.slot_docs)), (total / n if n and total else 1.0)
-    rows = inline_rows(texts, ["doc_id", "dl"], F.col("runs"), "term")
-    entry = F.struct("doc_id", "dl", "tf", "positions")
-    blocks = (
-        rows.withColumn("slot", _slot(F.col("doc_id"), slots))
-        .groupBy("term", "slot")
-        .agg(
-            F.count("*").cast("int").alias("n"),
-            F.max(_weight(F.col("tf"), F.col("dl"), average, cfg)).alias("most"),
-            F.array_sort(F.collect_list(entry)).alias("entries"),
-        )
-        .withColumn("bucket", bucket_of(F.col("term")))
-    )
+    # the only exchange: texts meet by slot, so the blocks of a slot are made where its texts are
+    parts = max(min(slots, spark.sparkContext.defaultParallelism, -(-total // _LEAST_TOKENS)), -(-total // _PART_TOKENS), 1)
+    dealt = texts.withColumn("slot", _slot(F.col("doc_id"), slots)).repartition(parts, "slot").sortWithinPartitions("slot", "doc_id")
     (
-        blocks.hint("rebalance", F.col("bucket"))
+        _blocks(dealt, average, cfg)
+        .withColumn("bucket", bucket_of(F.col("term")))
         .sortWithinPartitions("bucket", "term", "slot")
         .write.option("compression", "zstd")
         .partitionBy("bucket")
@@ -118,8 +156,8 @@ def add_batch(
     gone = [] if deleted is None else [deleted.select(F.col(doc).alias("doc_id")).filter("doc_id IS NOT NULL")]
     made = []
     if docs is not None:
-        tokens = docs.filter(F.col(doc).isNotNull()).select(F.col(doc).alias("doc_id"), tokens_of(fields).alias("_tokens"))
-        _write_texts(tokens.select("doc_id", F.size("_tokens").cast("long").alias("dl"), T.term_runs(F.col("_tokens")).alias("runs")), path, name)
+        spaced = docs.filter(F.col(doc).isNotNull()).select(F.col(doc).alias("doc_id"), F.trim(spaced_text(fields)).alias("text"))
+        _write_texts(spaced.select("doc_id", T.spaced_count(F.col("text")).alias("dl"), "text"), path, name)
         made.append(_write_segment(spark, path, name, layout, cfg))
         gone.append(spark.read.parquet(f"{path}/segments/{name}/texts").select("doc_id"))
     ids = gone[0] if len(gone) == 1 else gone[0].union(gone[1])
@@ -134,10 +172,11 @@ def add_batch(
 
 def _bury(spark: SparkSession, path: str, segment: dict, ids: DataFrame, name: str) -> None:
     """Tombstones for the segment's living documents among ``ids``, and the terms that they take along."""
-    texts = spark.read.parquet(f"{path}/segments/{segment['name']}/texts").select("doc_id", "dl", F.col("runs.term").alias("terms"))
+    texts = spark.read.parquet(f"{path}/segments/{segment['name']}/texts")
     hit = _living(texts, _dead(spark, path, segment)).join(ids, "doc_id", "left_semi")
     folder = f"{name}/{segment['name']}"
-    hit.select("doc_id", "dl", "terms").write.parquet(f"{path}/dead/{folder}/docs")
+    terms = F.array_distinct(F.filter(F.split("text", " "), lambda t: t != ""))
+    hit.select("doc_id", "dl", terms.alias("terms")).write.option("compression", "zstd").parquet(f"{path}/dead/{folder}/docs")
     stored = spark.read.parquet(f"{path}/dead/{folder}/docs")
     totals = stored.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("dl")).first()
     if totals["n"]:
@@ -277,17 +316,17 @@ def top_stored(
     first = top_per_group(bounds, ["query_id"], [F.desc("bound"), F.asc("segment"), F.asc("slot")], seeds or k, "slot").drop("rank")
     first = materialise(first, "seeds")
 
-    def scored(slots: DataFrame, name: str) -> DataFrame:
+    def scored(slots: DataFrame) -> DataFrame:
         read = _read_slots(spark, path, state, slots, small, wanted, pushed, layout).withColumn("avg_dl", F.lit(average))
-        return materialise(S._sums(read, cfg), name)
+        return S._sums(read, cfg, ("segment", "slot")).drop("segment", "slot")
 
-    best = scored(first, "seed-scores")
+    best = materialise(scored(first), "seed-scores")
     kth = top_per_group(best, ["query_id"], S.best_first(), k, "doc_id").filter(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
     rest = bounds.join(broadcast_if_small(materialise(kth, "floor")), "query_id", "left")
     # bounds are compared with room for the rounding of scores
     rest = rest.filter(F.col("least").isNull() | (F.col("bound") + 1e-5 >= F.col("least")))
     needed = materialise(rest.join(first.select("query_id", "segment", "slot"), ["query_id", "segment", "slot"], "left_anti"), "needed")
-    both = best.unionByName(scored(needed, "scores"))
+    both = best.unionByName(scored(needed))
     return Found(S.top(both, k), first, needed, bounds)
 
 
@@ -308,27 +347,32 @@ def slot_ranges(numbers: list[int], width: int) -> Column:
 def _read_slots(
     spark: SparkSession, path: str, state: dict, slots: DataFrame, weights: DataFrame, wanted: DataFrame, pushed: Column | None, layout: Layout
 ) -> DataFrame:
-    """(query_id, doc_id, dl, tf, idf) of the queries' postings in their slots.
+    """(query_id, segment, slot, doc_id, dl, tf, idf) of the queries' postings in their slots.
 
-    The scan of a segment gets the ranges that hold its slots, at most ``ranges``; the exact slots follow by a join.
+    The scan of a segment gets the ranges that hold its slots, at most ``ranges``; the exact slots of each query follow by a join.
     """
     bins: dict[int, list[int]] = {}
     width = {i: -(-s["slots"] // layout.ranges) for i, s in enumerate(state["segments"])}
     widths = F.create_map(*(F.lit(x) for pair in width.items() for x in pair))
     for r in slots.select("segment", F.floor(F.col("slot") / F.element_at(widths, F.col("segment"))).alias("bin")).distinct().collect():
         bins.setdefault(r["segment"], []).append(r["bin"])
-    wanted_slots = slots.select("query_id", "segment", "slot").join(weights, "query_id")
-    wanted_slots = broadcast_if_small(materialise(wanted_slots, "slots"))
     rows = None
     for i, s in enumerate(state["segments"]):
         if i not in bins:
             continue
         blocks = _of_terms(spark.read.parquet(f"{path}/segments/{s['name']}/blocks"), wanted, pushed).filter(slot_ranges(bins[i], width[i]))
-        mine = wanted_slots.filter(F.col("segment") == i).drop("segment")
-        read = blocks.join(mine, ["term", "slot"]).select("query_id", "term", "idf", F.inline("entries")).drop("positions")
+        read = blocks.select(F.lit(i).alias("segment"), "slot", "term", F.inline(F.transform("entries", lambda e: F.struct(e["doc_id"].alias("doc_id"), e["dl"].alias("dl"), e["tf"].alias("tf")))))
         read = _living(read, _dead(spark, path, s))
         rows = read if rows is None else rows.unionByName(read)
     if rows is None:
         empty = spark.read.parquet(f"{path}/segments/{state['segments'][0]['name']}/blocks").filter("false")
-        rows = empty.join(weights, "term").select("query_id", "term", "idf", F.inline("entries")).drop("positions")
-    return rows
+        rows = empty.select(F.lit(0).alias("segment"), "slot", "term", F.inline("entries")).drop("positions")
+    # a slot's postings meet once, before they multiply by the queries, and are summed there
+    met = rows.repartition("segment", "slot")
+    asked = slots.groupBy("segment", "slot").agg(F.collect_set("query_id").alias("_queries"))
+    return (
+        met.join(weights, "term")
+        .join(asked, ["segment", "slot"])
+        .filter(F.array_contains("_queries", F.col("query_id")))
+        .drop("_queries")
+    )
