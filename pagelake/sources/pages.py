@@ -25,22 +25,33 @@ def fetched(df: DataFrame) -> DataFrame:
     return df.filter(F.col("status") == 200) if "status" in df.columns else df
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give a small input enough partitions for all cores.
+def spread(df: DataFrame, key: str, parts: int = 0) -> DataFrame:
+    """Give a small input enough partitions for all cores, and any input at least ``parts``.
 
     One row group is one task, so a table of one small file would run on one core. A
-    table with at least as many splits as cores is left alone: nothing is shuffled.
+    table with at least as many splits as cores (and ``parts``) is left alone: nothing is shuffled.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+    wanted = max(df.sparkSession.sparkContext.defaultParallelism, parts)
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted, key)
 
 
-def read_table(spark: SparkSession, path: str, key: str) -> DataFrame:
-    return spread(spark.read.parquet(path), key)
+def read_table(spark: SparkSession, path: str, key: str, task_bytes: int = 0) -> DataFrame:
+    """A stored table; with ``task_bytes`` in tasks of about as many stored bytes, however large its row groups."""
+    df = spark.read.parquet(path)
+    return spread(df, key, -(-_stored_bytes(spark, path) // task_bytes) if task_bytes else 0)
+
+
+def _stored_bytes(spark: SparkSession, path: str) -> int:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(folder).getLength()
+
+
+#: Stored bytes of pages in a task: a page takes milliseconds, its bytes are few, so a shuffle pays.
+PAGE_TASK = 4 << 20
 
 
 def read_pages(spark: SparkSession, path: str, key: str = "url") -> DataFrame:
-    return fetched(read_table(spark, path, key))
+    return fetched(read_table(spark, path, key, PAGE_TASK))
 
 
 def stream_pages(
