@@ -42,6 +42,8 @@ _NONE = np.uint64(0x5BE0CD19137E2179)
 _SALT = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89], np.uint64)
 _NODE = np.uint64(0xC2B2AE3D27D4EB4F)
 _CHUNK = 1 << 12
+_SLICE = 1 << 18  # bytes of text read at once, and
+_BLOCK = 1 << 13  # tokens whose branches are weighed at once: their numbers stay in a core's cache
 
 
 class Shape(NamedTuple):
@@ -103,7 +105,7 @@ def count_words(docs: DataFrame, held: int = 1 << 20) -> DataFrame:
             hashes[:], counts[:] = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["word", "n"])
 
-        for batch in slices(batches):
+        for batch in slices(batches, limit=_SLICE):
             h, c = np.unique(read(batch.column("text")).tokens, return_counts=True)
             hashes.append(h)
             counts.append(c)
@@ -152,7 +154,10 @@ def lookup(tokens: np.ndarray, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarra
     """Count (0 outside the head) and path of each token."""
     if not len(vocab.hashes):
         return np.zeros(len(tokens), np.int64), np.full(len(tokens), -1, np.int32)
-    at = np.minimum(np.searchsorted(vocab.hashes, tokens), len(vocab.hashes) - 1)
+    order = np.argsort(tokens)  # ascending tokens walk through the head once
+    at = np.empty(len(tokens), np.int64)
+    at[order] = np.searchsorted(vocab.hashes, tokens[order])
+    at = np.minimum(at, len(vocab.hashes) - 1)
     found = vocab.hashes[at] == tokens
     return np.where(found, vocab.counts[at], 0), np.where(found, vocab.paths[at], -1)
 
@@ -173,51 +178,60 @@ def choices(text: Text, paths: np.ndarray, bits: int, part: slice) -> Iterator[t
             yield where, node, branch, ((salted * _NODE) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def soften(node: np.ndarray, rows: np.ndarray, bias: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Log probabilities of the sixteen branches."""
-    z = bias[node]
+def soften(node: np.ndarray, rows: np.ndarray, bias: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the sixteen branches (one row each) the logits below their largest, the exponentials of these, and their sums."""
+    z = bias.take(node, 0)
     for r in rows:
-        z += weights[r]
-    z -= z.max(1, keepdims=True)
-    z -= np.log(np.exp(z).sum(1, keepdims=True))
-    return z
+        z += weights.take(r, 0)
+    z = np.ascontiguousarray(z.T)
+    z -= z.max(0)
+    e = np.exp(z)
+    return z, e, e.sum(0)
 
 
-def token_scores(text: Text, paths: np.ndarray, vocab: Vocabulary, weights: np.ndarray, bits: int, block: int = 1 << 15) -> np.ndarray:
+def token_scores(text: Text, paths: np.ndarray, vocab: Vocabulary, weights: np.ndarray, bits: int, block: int = _BLOCK) -> np.ndarray:
     """Natural log probability of the path of each token (within the shared class: of the class)."""
     out = np.zeros(len(paths))
     for a in range(0, len(paths), block):
         part = slice(a, min(a + block, len(paths)))
         for where, node, branch, rows in choices(text, paths, bits, part):
-            out[a + where] += soften(node, rows, vocab.bias, weights)[np.arange(len(where)), branch]
+            z, _, total = soften(node, rows, vocab.bias, weights)
+            out[a + where] += z[branch, np.arange(len(where))] - np.log(total)
     return out
 
 
+def add_slopes(text: Text, paths: np.ndarray, vocab: Vocabulary, weights: np.ndarray, bits: int, g: np.ndarray, h: np.ndarray, block: int = 2 * _BLOCK) -> None:
+    """Add gradient and curvature of the tokens to ``g`` and ``h``, which have a row for each branch."""
+    for a in range(0, len(paths), block):
+        for _, node, branch, rows in choices(text, paths, bits, slice(a, min(a + block, len(paths)))):
+            _, p, total = soften(node, rows, vocab.bias, weights)
+            p /= total
+            curve = p * (1 - p)
+            np.negative(p, out=p)
+            p[branch, np.arange(len(branch))] += 1
+            at, each = rows.ravel(), np.empty(rows.shape)
+            for sums, x in ((g, p), (h, curve)):
+                for k in range(BRANCH):
+                    each[:] = x[k]  # every history's row gets the same numbers
+                    sums[k] += np.bincount(at, each.ravel(), sums.shape[1])
+
+
 def _slopes(docs: DataFrame, vocab, weights, shape: Shape) -> DataFrame:
     """chunk, part, g and h: a task's sums of gradient and curvature, as chunks of doubles."""
     size = (1 << shape.bits) * BRANCH
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc, w = vocab.value, weights.value
-        g, h, seen = np.zeros(size), np.zeros(size), False
-        lanes = np.arange(BRANCH)
-        for batch in slices(batches):
+        g, h, seen = np.zeros((BRANCH, 1 << shape.bits)), np.zeros((BRANCH, 1 << shape.bits)), False
+        for batch in slices(batches, limit=_SLICE):
             text = read(batch.column("text"))
             _, paths = lookup(text.tokens, voc)
-            for a in range(0, len(paths), 1 << 16):
-                seen = True
-                for _, node, branch, rows in choices(text, paths, shape.bits, slice(a, min(a + (1 << 16), len(paths)))):
-                    p = np.exp(soften(node, rows, voc.bias, w))
-                    curve = p * (1 - p)
-                    p = -p
-                    p[np.arange(len(branch)), branch] += 1
-                    for r in rows:
-                        lane = (r[:, None] * BRANCH + lanes).ravel()
-                        g += np.bincount(lane, p.ravel(), size)
-                        h += np.bincount(lane, curve.ravel(), size)
+            add_slopes(text, paths, voc, w, shape.bits, g, h)
+            seen = True
         if seen:
             n = size // _CHUNK
-            made = [pa.array([x[i * _CHUNK : (i + 1) * _CHUNK].astype(np.float32).tobytes() for i in range(n)], pa.binary()) for x in (g, h)]
+            flat = [x.T.astype(np.float32).ravel() for x in (g, h)]
+            made = [pa.array([x[i * _CHUNK : (i + 1) * _CHUNK].tobytes() for i in range(n)], pa.binary()) for x in flat]
             part = pa.array([TaskContext.get().partitionId() % 64] * n, pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), part, *made], ["chunk", "part", "g", "h"])
 
@@ -257,7 +271,7 @@ def _scored(docs: DataFrame, vocab, weights, shape: Shape) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc, w = vocab.value, weights.value
         number = TaskContext.get().partitionId() << 40
-        for batch in slices(batches):
+        for batch in slices(batches, limit=_SLICE):
             text = read(batch.column("text"))
             counts, paths = lookup(text.tokens, voc)
             logs = np.log10(counts + 1.0)

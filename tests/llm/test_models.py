@@ -1,4 +1,6 @@
+import pickle
 import random
+import time
 import zlib
 from collections import Counter
 from math import log10
@@ -93,6 +95,108 @@ def test_probabilities_sum_to_one(spark):
     assert np.exp(logs).sum() == pytest.approx(1.0, abs=1e-9)
 
 
+def plain_branches(text_, paths, vocab, weights, bits):
+    """Per choice the positions, branch, weight rows and log probabilities, for a whole text at once and a row of sixteen each."""
+    for where, node, branch, rows in maxent.choices(text_, paths, bits, slice(0, len(paths))):
+        z = vocab.bias[node] + sum(weights[r] for r in rows)
+        z -= z.max(1, keepdims=True)
+        yield where, branch, rows, z - np.log(np.exp(z).sum(1, keepdims=True))
+
+
+def plain_scores(*args):
+    out = np.zeros(len(args[1]))
+    for where, branch, _, z in plain_branches(*args):
+        out[where] += z[np.arange(len(where)), branch]
+    return out
+
+
+def plain_slopes(*args):
+    size = maxent.BRANCH << args[4]
+    g, h = np.zeros(size), np.zeros(size)
+    for _, branch, rows, z in plain_branches(*args):
+        p = np.exp(z)
+        step = -p
+        step[np.arange(len(branch)), branch] += 1
+        for r in rows:
+            lane = (r[:, None] * maxent.BRANCH + np.arange(maxent.BRANCH)).ravel()
+            g += np.bincount(lane, step.ravel(), size)
+            h += np.bincount(lane, (p * (1 - p)).ravel(), size)
+    return g, h
+
+
+def model_of_many_words(spark):
+    import pyarrow as pa
+
+    r = np.random.default_rng(5)
+    rows = [(i, " ".join(f"w{x}" for x in np.minimum(r.zipf(1.2, 1500), 20_000))) for i in range(40)]
+    vocab = maxent.vocabulary(maxent.count_words(frame(spark, rows)), maxent.Shape())
+    text_ = maxent.read(pa.array([t for _, t in rows]))
+    _, paths = maxent.lookup(text_.tokens, vocab)
+    assert (paths < 0).any() and (paths >= 0).any()
+    # as tasks get them: numpy is slower in places with arrays that were pickled
+    vocab, weights = pickle.loads(pickle.dumps((vocab, r.normal(0, 0.5, (1 << 15, maxent.BRANCH)))))
+    return text_, maxent.lookup(text_.tokens, vocab)[1], vocab, weights, 15
+
+
+def seconds(run, times=3):
+    """CPU seconds of the fastest run, and what it gave."""
+    took = []
+    for _ in range(times):
+        began = time.process_time()
+        out = run()
+        took.append(time.process_time() - began)
+    return min(took), out
+
+
+def test_scoring_takes_half_of_a_plain_pass(spark):
+    args = model_of_many_words(spark)
+    (plain, want), (own, got) = seconds(lambda: plain_scores(*args)), seconds(lambda: maxent.token_scores(*args))
+    assert np.allclose(got, want, rtol=1e-11, atol=1e-11)
+    assert own < 0.6 * plain
+
+
+def test_slopes_equal_a_plain_sum_in_less_time(spark):
+    args = model_of_many_words(spark)
+
+    def run():
+        g, h = np.zeros((maxent.BRANCH, 1 << 15)), np.zeros((maxent.BRANCH, 1 << 15))
+        maxent.add_slopes(*args, g, h)
+        return g.T.ravel(), h.T.ravel()
+
+    (plain, want), (own, got) = seconds(lambda: plain_slopes(*args)), seconds(run)
+    assert all(np.allclose(a, b, rtol=1e-9, atol=1e-9) for a, b in zip(got, want))
+    assert own < 0.75 * plain
+
+
+def test_training_takes_one_damped_step_a_round(spark):
+    """The weights are those of plain sums over the texts of each round."""
+    import pyarrow as pa
+
+    rows = lm_rows()
+    shape = maxent.Shape(prior=2.0)
+    vocab = maxent.vocabulary(maxent.count_words(frame(spark, rows)), shape)
+    turn = F.pmod(F.xxhash64("text"), F.lit(shape.rounds)).alias("turn")
+    parts = [(r.turn, r.text) for r in frame(spark, rows).select(turn, "text").collect()]
+    weights = np.zeros(maxent.BRANCH << shape.bits)
+    for i in range(shape.rounds):
+        text_ = maxent.read(pa.array([t for n, t in parts if n == i], pa.string()))
+        g, h = plain_slopes(text_, maxent.lookup(text_.tokens, vocab)[1], vocab, weights.reshape(-1, maxent.BRANCH), shape.bits)
+        weights += shape.damping * g / (h + shape.prior)
+    assert np.allclose(maxent.train(frame(spark, rows), vocab, shape).ravel(), weights, rtol=1e-4, atol=1e-6)
+
+
+def test_lookup_of_words_in_and_outside_the_head():
+    r = np.random.default_rng(6)
+    hashes = np.unique(r.integers(0, 1 << 64, 500, np.uint64))
+    vocab = maxent.Vocabulary(hashes, np.arange(len(hashes)) + 1, np.arange(len(hashes), dtype=np.int32) - 9, np.zeros((273, 16)), 0, 0, 0, 0)
+    tokens = np.concatenate((r.choice(hashes, 900), r.integers(0, 1 << 64, 300, np.uint64), np.array([0, (1 << 64) - 1], np.uint64)))
+    place = {int(x): i for i, x in enumerate(hashes)}
+    counts, paths = maxent.lookup(tokens, vocab)
+    assert counts.tolist() == [place.get(int(x), -1) + 1 for x in tokens]
+    assert paths.tolist() == [place[int(x)] - 9 if int(x) in place else -1 for x in tokens]
+    assert [len(x) for x in maxent.lookup(tokens[:0], vocab)] == [0, 0]
+
+
 def test_scores_without_rows_or_training_rows(spark):
     assert maxent.scores(frame(spark, [])).count() == 0
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
